@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, packing, simhash
+from lodestone.llm import exact_dedup, packing, rules, simhash, suffix
 
-_MODULES = [packing, exact_dedup, simhash]
+_MODULES = [rules, packing, suffix, exact_dedup, simhash]
 
 
 def queries() -> dict:
