@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, packing, rules, simhash, suffix
+from lodestone.llm import exact_dedup, linededup, mixing, packing, rules, simhash, suffix
 
-_MODULES = [rules, packing, suffix, exact_dedup, simhash]
+_MODULES = [rules, packing, suffix, exact_dedup, mixing, linededup, simhash]
 
 
 def queries() -> dict:

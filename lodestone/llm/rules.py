@@ -10,6 +10,7 @@ is measured whole; repeated rows get a ledger row each, and an empty table gives
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,9 +99,14 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", *MEASURES])
 
 
-def fail_bits() -> Column:
-    """One bit for each failed rule."""
-    return sum((F.when(F.expr(cond), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, cond in RULES.values()), F.lit(0)).cast("long")
+def fail_bits(prefix: str = "") -> Column:
+    """One bit for each failed rule, from the measurements (whose columns may have a prefix)."""
+    bits = F.lit(0)
+    for bit, cond in RULES.values():
+        for m in MEASURES:
+            cond = re.sub(rf"\b{m}\b", prefix + m, cond)
+        bits = bits + F.when(F.expr(cond), F.lit(1 << bit)).otherwise(F.lit(0))
+    return bits.cast("long")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -128,3 +134,19 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The ledger of every whole text of ``documents`` with the base and the default policy's verdicts."""
     rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(BASE.mask)) != 0).withColumn("policy", F.lit(f"{DEFAULT.name}@{DEFAULT.version}"))
+
+
+def passing(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, all columns as they are; no rows move."""
+    at = docs.columns.index("text")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join(f"__{m} long" for m in MEASURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                cols = zip(*[measure(x.as_py()) for x in part.column(at)], strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.int64()) for c in cols]], names=[*part.schema.names, *[f"__{m}" for m in MEASURES]])
+
+    rows = docs.mapInArrow(run, ddl)
+    return rows.where(fail_bits("__").bitwiseAND(F.lit(policy.mask)) == 0).select(*docs.columns)

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT)
     """One row per row of ``docs``: doc_id, fingerprint (hex), component_id (smallest id reachable by links)."""
     fps = stage(fingerprints(docs, shingle))
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    roots = components(links(nodes.select("fp", "rep"), limit))
+    roots = components(links(nodes.select("fp", "rep").where("rep is not null"), limit))
     named = nodes.join(roots, F.col("rep") == F.col("node"), "left")
     named = stage(named.select("fp", "n", F.coalesce("root", "rep").alias("component_id")))
     out = attach(fps, named, "fp", "n", fps.count())
