@@ -94,7 +94,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     end = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(spans, k - 1)["e"]).cast("int")
     start = lambda k, all_lines: F.when(k == n, all_lines).otherwise(F.get(spans, k)["s"]).cast("int")
     kept = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(F.col("__x"), end(k) + 1, start(k, F.size("__x")) - end(k))))
-    out = docs.join(runs, "__uid", "left").withColumn("__x", lines)
+    out = docs.join(runs.hint("merge"), "__uid", "left").withColumn("__x", lines)  # never a broadcast: runs grow with the texts
     out = out.withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     gone = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
     out = out.withColumn("__lines", F.size("__x").cast("long")).withColumn("__deleted", F.coalesce(gone, F.lit(0))).withColumn("__runs", F.when(spans.isNull(), 0).otherwise(n).cast("long"))
