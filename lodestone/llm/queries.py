@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, linededup, mixing, packing, rules, simhash, suffix
+from lodestone.llm import exact_dedup, license, linededup, mixing, packing, pii, rules, simhash, suffix, toxicity
 
-_MODULES = [rules, packing, suffix, exact_dedup, mixing, linededup, simhash]
+_MODULES = [toxicity, pii, rules, packing, suffix, license, exact_dedup, mixing, linededup, simhash]
 
 
 def queries() -> dict:
