@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: text, identifiers, time, scoring. All stay in the JVM."""
