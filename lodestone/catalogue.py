@@ -1,9 +1,518 @@
-"""Registered queries."""
+"""The engine's queries on the driver's tables, and the same in SQL for DuckDB.
 
+``documents`` stand for evidence, ``benchmark`` for questions, ``embeddings`` for encoded records (the first 20 are
+questions; vectors of one label are relevant to each other), ``conversations`` for turns, ``events`` for dated activity
+and ``orders`` with ``lineitem`` for checkpoints with commits.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.functions import ids, scoring, text
+from lodestone.operators import answering, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+XS, YS = [0.0, 0.2, 0.4, 0.6], [0.05, 0.2, 0.7, 0.95]
+_E = "TIMESTAMP '2026-01-01 00:00:00'"
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Whole numbers as longs."""
+    small = (T.IntegerType, T.ShortType, T.ByteType)
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, small) else F.col(f.name) for f in df.schema.fields])
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(_Tables(spark, sf_dir)))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class _Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def ev(self) -> DataFrame:
+        ts = F.expr(f"{_E} + make_dt_interval(cast(doc_id % 90 as int))")
+        return self.documents.select(F.col("doc_id").alias("evidence_id"), "text", F.col("source").alias("session"), F.col("lang").alias("branch"), ts.alias("timestamp"))
+
+    @property
+    def q(self) -> DataFrame:
+        return self.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 12), " ").alias("query"))
+
+    @property
+    def corpus(self) -> DataFrame:
+        return self.embeddings.where("vec_id >= 20").select(F.col("vec_id").alias("evidence_id"), F.col("embedding").alias("vec"))
+
+    @property
+    def asked(self) -> DataFrame:
+        return self.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+    @property
+    def d50(self) -> DataFrame:
+        return dense.knn(self.corpus, self.asked, 50)
+
+    @property
+    def l50(self) -> DataFrame:
+        head = lambda df: df.withColumn("vec", F.slice("vec", 1, 16))
+        return dense.knn(head(self.corpus), head(self.asked), 50)
+
+    @property
+    def payload(self) -> DataFrame:
+        ts = F.expr(f"{_E} + make_dt_interval(cast(vec_id % 60 as int))")
+        return self.embeddings.select(F.col("vec_id").alias("evidence_id"), ts.alias("timestamp"), F.col("label").cast("long").alias("group_id"))
+
+    @property
+    def modes(self) -> DataFrame:
+        m = F.when(F.col("vec_id") % 3 == 0, "latest").when(F.col("vec_id") % 3 == 1, "introduced").otherwise("neutral")
+        return self.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), m.alias("mode"), F.lit(None).cast("timestamp").alias("as_of"))
+
+    @property
+    def same_label(self) -> DataFrame:
+        a = self.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+        return self.embeddings.where("vec_id >= 20").select(F.col("vec_id").alias("evidence_id"), "label").join(a, "label").select("query_id", "evidence_id", F.lit(3).alias("grade"))
+
+    @property
+    def scored(self) -> DataFrame:
+        pos = self.same_label.withColumn("label", F.lit(1)).drop("grade")
+        return self.d50.join(pos, ["query_id", "evidence_id"], "left").select("query_id", "evidence_id", F.round(F.greatest(F.lit(0.0), "score"), 4).alias("score"), F.coalesce("label", F.lit(0)).alias("label"))
+
+    @property
+    def qrels(self) -> DataFrame:
+        g = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 0).otherwise(1 + F.col("doc_id") % 3)
+        return self.labels.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("evidence_id"), g.cast("long").alias("grade"))
+
+    @property
+    def turns(self) -> DataFrame:
+        kind = F.when(F.col("role") == "user", "user_prompt").when(F.col("role") == "assistant", "assistant_response").otherwise("system_event")
+        return self.conversations.select(F.col("conv_id").alias("session_id"), "turn", kind.alias("turn_type"), F.col("text").alias("content"))
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self.events.groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("created_at"), F.count("*").alias("files_touched_count"), F.min("event_type").alias("agent")).withColumn("user_id", F.col("session_id") % 7)
+
+    @property
+    def edges(self) -> DataFrame:
+        s = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+        return self.lineitem.where("l_quantity >= 49").select(s("l_orderkey", "o").alias("src"), s("l_partkey", "p").alias("dst"))
+
+
+_TOK = "[lower(x) for x in regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_.:/-]*|[0-9]+')]"
+_D = f"d AS (SELECT doc_id AS evidence_id, {_TOK} AS w FROM documents), p AS (SELECT evidence_id, length, term, count(*) AS tf FROM (SELECT evidence_id, len(w) AS length, unnest(w) AS term FROM d) GROUP BY ALL), s AS (SELECT greatest(count(*), 1) AS n, sum(len(w)) / greatest(count(*), 1) AS avgdl FROM d), t AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s)"
+_Q = f"qq AS (SELECT item_id AS query_id, {_TOK}[1:12] AS w FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(w) AS term FROM qq) GROUP BY ALL)"
+_W = "idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(1, length) / greatest(avgdl, 1.0)))"
+_BM = f"{_D}, {_Q}, b AS (SELECT query_id, evidence_id, round(sum({_W} * idf * (1 + ln(qtf))), 9) AS score FROM p JOIN t USING (term) JOIN qt USING (term), s GROUP BY ALL), bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM b WHERE score > 0)"
+_EV = f"ev AS (SELECT doc_id AS evidence_id, text, source AS session, lang AS branch, {_E} + to_days(CAST(doc_id % 90 AS INTEGER)) AS timestamp FROM documents)"
+
+
+def _knn(name: str, part: str = "") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS evidence_id, round(list_inner_product(CAST(c.embedding{part} AS DOUBLE[]), CAST(q.embedding{part} AS DOUBLE[])), 9) AS score FROM embeddings c, embeddings q WHERE c.vec_id >= 20 AND q.vec_id < 20)) WHERE rank <= 50)"
+
+
+_DL = f"{_knn('d')}, {_knn('l', '[1:16]')}"
+_FUSE = f"{_DL}, f AS (SELECT query_id, evidence_id, d.rank AS dense_rank, d.score AS dense_score, l.rank AS lexical_rank, l.score AS lexical_score, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS fusion_score FROM d FULL JOIN l USING (query_id, evidence_id))"
+_PAY = f"pay AS (SELECT vec_id AS evidence_id, {_E} + to_days(CAST(vec_id % 60 AS INTEGER)) AS timestamp, CAST(label AS BIGINT) AS group_id FROM embeddings), m AS (SELECT vec_id AS query_id, CASE vec_id % 3 WHEN 0 THEN 'latest' WHEN 1 THEN 'introduced' ELSE 'neutral' END AS mode FROM embeddings WHERE vec_id < 20), la AS (SELECT max(timestamp) AS latest FROM pay)"
+_FRESH = "exp(-ln(2) * greatest(0, (epoch_us(latest) - epoch_us(timestamp)) / 8.64e10) / 30)"
+_UTIL = f"CASE WHEN mode = 'latest' THEN {_FRESH} WHEN mode = 'introduced' THEN 1 - {_FRESH} ELSE 0.0 END"
+_RE = f"{_FUSE}, {_PAY}, r AS (SELECT query_id, evidence_id, group_id, timestamp, {_UTIL} AS temporal_score, round(fusion_score * (1 + 0.2 * ({_UTIL})), 12) AS final_score FROM f JOIN pay USING (evidence_id) JOIN m USING (query_id), la WHERE NOT (coalesce(dense_score < 0.1, false) AND lexical_rank IS NULL))"
+_REL = "rel AS (SELECT q.vec_id AS query_id, c.vec_id AS evidence_id, 3 AS grade FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id < 20 AND c.vec_id >= 20)"
+_SC = f"{_knn('d')}, {_REL}, sc AS (SELECT query_id, evidence_id, rank, round(greatest(0.0, score), 4) AS score, CASE WHEN grade IS NULL THEN 0 ELSE 1 END AS label FROM d LEFT JOIN rel USING (query_id, evidence_id))"
+_QR = "qr AS (SELECT doc_id % 40 AS query_id, doc_id AS evidence_id, CAST(CASE WHEN toxic = 1 OR quality = 0 THEN 0 ELSE 1 + doc_id % 3 END AS BIGINT) AS grade FROM labels)"
+_TU = "tu AS (SELECT conv_id AS session_id, turn, CASE role WHEN 'user' THEN 'user_prompt' WHEN 'assistant' THEN 'assistant_response' ELSE 'system_event' END AS turn_type, text AS content FROM conversations)"
+_SE = "se AS (SELECT user_id AS session_id, min(ts) AS created_at, count(*) AS n, min(event_type) AS agent, user_id % 7 AS user_id FROM events GROUP BY events.user_id)"
+
+
+@_query(f"WITH {_BM} SELECT query_id, evidence_id, score, rank FROM bm WHERE rank <= 50")
+def bm25_topk(t):
+    return lexical.bm25_topk(t.ev, t.q, 50).select("query_id", "evidence_id", "score", "rank")
+
+
+@_query(f"WITH {_D} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl FROM s")
+def bm25_stats(t):
+    return lexical.corpus_stats(t.ev).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@_query(f"WITH {_D} SELECT term, df, round(idf, 9) AS idf FROM t")
+def bm25_terms(t):
+    p = lexical.postings(t.ev)
+    return lexical.term_stats(p, lexical.corpus_stats(t.ev)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@_query(f"WITH {_D} SELECT evidence_id, term, round({_W}, 9) AS weight FROM p JOIN t USING (term), s")
+def bm25_postings(t):
+    p, s = lexical.postings(t.ev), lexical.corpus_stats(t.ev)
+    return lexical.weights(p, lexical.term_stats(p, s), s).withColumn("weight", F.round("weight", 9))
+
+
+@_query(f"WITH {_D}, {_Q} SELECT query_id, term, round(idf * (1 + ln(qtf)), 9) AS weight FROM qt JOIN t USING (term)")
+def query_term_weights(t):
+    p = lexical.postings(t.ev)
+    x = lexical.query_terms(t.q).join(lexical.term_stats(p, lexical.corpus_stats(t.ev)), "term")
+    return x.select("query_id", "term", F.round(scoring.query_weight(F.col("idf"), F.col("qtf")), 9).alias("weight"))
+
+
+@_query(f"WITH {_knn('d')} SELECT query_id, evidence_id, score, rank FROM d")
+def dense_topk(t):
+    return t.d50
+
+
+@_query("SELECT vec_id, round(list_sum([x * x for x in CAST(embedding AS DOUBLE[])]), 6) AS squares, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([x * x for x in CAST(embedding AS DOUBLE[])])), 6) AS first FROM embeddings")
+def l2_normalize(t):
+    e = F.col("embedding")
+    return t.embeddings.select("vec_id", F.round(scoring.dot(e, e), 6).alias("squares"), F.round(scoring.normalized(e)[0], 6).alias("first"))
+
+
+@_query(f"WITH {_FUSE} SELECT query_id, evidence_id, dense_rank, dense_score, lexical_rank, lexical_score, round(fusion_score, 12) AS fusion_score FROM f")
+def rrf_fusion(t):
+    return search.fuse(t.d50, t.l50).withColumn("fusion_score", F.round("fusion_score", 12))
+
+
+@_query(f"WITH {_FUSE} SELECT query_id, evidence_id FROM f WHERE NOT (coalesce(dense_score < 0.3, false) AND lexical_rank IS NULL)")
+def relevance_floor(t):
+    return search.relevance_floor(search.fuse(t.d50, t.l50), 0.3).select("query_id", "evidence_id")
+
+
+def _reranked(t) -> DataFrame:
+    at = t.payload.agg(F.max("timestamp").alias("latest"))
+    hits = search.fuse(t.d50, t.l50).join(t.payload, "evidence_id").join(t.modes, "query_id").crossJoin(F.broadcast(at))
+    return search.temporal_rerank(search.relevance_floor(hits, 0.1), F.col("mode"), F.col("latest"), 0.2, 30)
+
+
+@_query(f"WITH {_RE} SELECT query_id, evidence_id, round(temporal_score, 9) AS temporal_score, final_score FROM r")
+def temporal_rerank(t):
+    return _reranked(t).select("query_id", "evidence_id", F.round("temporal_score", 9).alias("temporal_score"), "final_score")
+
+
+_GROUP = f"{_RE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY final_score DESC, evidence_id) AS n FROM r), g AS (SELECT query_id, group_id, max(CASE WHEN n = 1 THEN evidence_id END) AS evidence_id, round(max(CASE WHEN n = 1 THEN final_score END) + 0.1 * coalesce(sum(CASE WHEN n IN (2, 3) THEN final_score END), 0), 12) AS final_score, count(*) AS group_size, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY n) FILTER (n <= 10) AS members FROM k GROUP BY 1, 2)"
+
+
+@_query(f"WITH {_GROUP} SELECT query_id, group_id, evidence_id, round(final_score, 9) AS final_score, group_size, members, final_rank FROM (SELECT query_id, group_id, evidence_id, final_score, group_size, members, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, evidence_id) AS final_rank FROM g) WHERE final_rank <= 10")
+def hybrid_search(t):
+    out = search.hybrid_search(t.d50, t.l50, t.payload, t.modes)
+    return out.select("query_id", "group_id", "evidence_id", F.round("final_score", 9).alias("final_score"), "group_size", F.array_join(F.transform("group_member_ids", lambda x: x.cast("string")), ",").alias("members"), "final_rank")
+
+
+@_query(f"WITH {_RE} SELECT * FROM (SELECT query_id, evidence_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, evidence_id) AS final_rank FROM r) WHERE final_rank <= 20")
+def final_rank(t):
+    return search.final_rank(_reranked(t), 20).select("query_id", "evidence_id", "final_score", "final_rank")
+
+
+@_query()
+def evolution_diversify(t):
+    return search.diversify(search.final_rank(_reranked(t), 20), 10).select("query_id", "evidence_id", "final_rank")
+
+
+@_query(f"WITH {_EV} SELECT evidence_id, session, branch FROM ev WHERE branch IN ('de', 'fr') AND session = 'src3'")
+def metadata_filter(t):
+    return search.metadata_filter(t.ev, {"branch": ["de", "fr"], "session": "src3"}).select("evidence_id", "session", "branch")
+
+
+@_query(f"WITH {_EV} SELECT evidence_id, timestamp FROM ev WHERE timestamp <= TIMESTAMP '2026-02-15 00:00:00'")
+def asof_filter(t):
+    return search.as_of(t.ev, F.lit("2026-02-15").cast("timestamp")).select("evidence_id", "timestamp")
+
+
+_ASK = ["as of may", "how did it evolve", "first added where", "the latest one", "how does it work", "plain question", "before noon"]
+
+
+@_query("SELECT doc_id, CASE WHEN contains(q, 'as of') OR contains(q, 'before ') THEN 'as_of' WHEN contains(q, 'evolve') OR contains(q, 'history') OR contains(q, 'over time') OR contains(q, 'changed over') THEN 'evolution' WHEN contains(q, 'introduced') OR contains(q, 'first added') OR contains(q, 'originally') THEN 'introduced' WHEN contains(q, 'latest') OR contains(q, 'most recent') OR contains(q, 'newest') THEN 'latest' WHEN contains(q, 'current') OR contains(q, 'now') OR contains(q, 'how does') THEN 'current' ELSE 'neutral' END AS mode FROM (SELECT doc_id, lower(['as of may', 'how did it evolve', 'first added where', 'the latest one', 'how does it work', 'plain question', 'before noon'][1 + doc_id % 7] || ' ' || split_part(text, ' ', 1)) AS q FROM documents)")
+def temporal_mode_classify(t):
+    ask = F.element_at(F.array(*map(F.lit, _ASK)), (1 + F.col("doc_id") % 7).cast("int"))
+    return t.documents.select("doc_id", text.temporal_mode(F.concat(ask, F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)))).alias("mode"))
+
+
+@_query(f"SELECT doc_id, CAST(len(w) AS BIGINT) AS tokens, CAST(len(list_distinct(w)) AS BIGINT) AS kinds FROM (SELECT doc_id, {_TOK} AS w FROM documents)")
+def tokenize_counts(t):
+    w = text.tokens(F.col("text"))
+    return t.documents.select("doc_id", F.size(w).alias("tokens"), F.size(F.array_distinct(w)).alias("kinds"))
+
+
+@_query("SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+[.][A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g')) AS redacted FROM documents WHERE contains(text, '.com') AND NOT regexp_matches(text, '(?i)(api[_-]?key|token|secret|password)\\s*[:=]')")
+def redact_email(t):
+    x = t.documents.where(F.col("text").contains(".com") & ~F.col("text").rlike(r"(?i)(api[_-]?key|token|secret|password)\s*[:=]"))
+    return x.select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
+
+
+@_query("SELECT doc_id, regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+[.][A-Za-z]{2,}') OR regexp_matches(text, '(?i)(api[_-]?key|token|secret|password)\\s*[:=]\\s*[\"'']?[^\\s\"'']{8,}') AS sensitive FROM documents")
+def sensitive_flag(t):
+    return t.documents.select("doc_id", text.is_sensitive(F.col("text")).alias("sensitive"))
+
+
+@_query("SELECT min(doc_id) AS query_id FROM documents GROUP BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
+def whitespace_dedup(t):
+    return benchmark.exact_dedup(t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))).select("query_id")
+
+
+@_query("SELECT page_id, CASE WHEN len(p) = 0 THEN NULL WHEN len(p) >= 3 AND p[1] IN ('cmd', 'internal', 'pkg') THEN array_to_string(p[1:3], '/') ELSE array_to_string(p[1:2], '/') END AS topic FROM (SELECT page_id, [x for x in string_split(regexp_replace(url, '^[a-z]+://', ''), '/') if x <> ''] AS p FROM pages)")
+def topic_key(t):
+    return t.pages.select("page_id", text.topic_key(F.regexp_replace("url", "^[a-z]+://", "")).alias("topic"))
+
+
+@_query()
+def chunk_documents(t):
+    return evidence.chunks(t.documents.select("doc_id", "text")).select("doc_id", "chunk_index", F.length("text").alias("size"), F.sha2("text", 256).alias("digest"))
+
+
+@_query("SELECT doc_id, 'doc:' || left(sha256(CAST(doc_id AS VARCHAR) || '|' || coalesce(nullif(source, 'src3'), 'None') || '|' || lang), 24) AS id FROM documents")
+def stable_ids(t):
+    return t.documents.select("doc_id", ids.stable_id("doc", F.col("doc_id"), F.nullif("source", F.lit("src3")), F.col("lang")).alias("id"))
+
+
+@_query("SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
+def content_hash(t):
+    return t.documents.select("doc_id", ids.content_hash(F.col("text")).alias("hash"))
+
+
+@_query(f"WITH {_TU} SELECT session_id, turn, turn_type FROM tu WHERE turn_type IN ('user_prompt', 'assistant_response') AND regexp_matches(content, '\\S')")
+def turn_filter(t):
+    return evidence.useful_turns(t.turns).select("session_id", "turn", "turn_type")
+
+
+@_query(f"WITH {_TU}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_type ORDER BY turn) AS a, row_number() OVER (PARTITION BY session_id, turn_type ORDER BY turn DESC) AS z FROM tu WHERE turn_type <> 'system_event') SELECT session_id, coalesce(string_agg(content, chr(10) ORDER BY turn) FILTER (turn_type = 'user_prompt' AND a <= 8), '') AS prompts, coalesce(string_agg(content, chr(10) ORDER BY turn) FILTER (turn_type = 'assistant_response' AND z <= 3), '') AS responses FROM k GROUP BY 1")
+def session_cards(t):
+    return evidence.session_cards(t.turns)
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_relationships(t):
+    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_custkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderpriority LIKE '1%' WHERE l_linestatus = 'O' AND l_quantity > 45")
+def orphan_commits(t):
+    c = t.lineitem.where("l_linestatus = 'O' and l_quantity > 45").select("l_orderkey", "l_linenumber")
+    o = t.orders.where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return c.join(o, "l_orderkey", "left")
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(t):
+    return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN '' ELSE 'a,' || lang END AS list FROM documents")
+def json_list_parse(t):
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, F.lit("{not json")).when(k == 1, F.lit('"word"')).otherwise(F.concat(F.lit('["a","'), F.col("lang"), F.lit('"]')))
+    return t.documents.select("doc_id", F.array_join(ids.json_list(raw), ",").alias("list"))
+
+
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%U') AS week FROM events")
+def sunday_week(t):
+    return t.events.select("event_id", scoring.sunday_week(F.col("ts")).alias("week"))
+
+
+
+@_query(f"WITH {_SE}, b AS (SELECT *, sha256('7|' || strftime(created_at, '%Y-%m-%U') || '|' || agent || '|' || CAST(user_id AS VARCHAR) || '|' || CASE WHEN n >= 10 THEN 'large' WHEN n >= 3 THEN 'medium' ELSE 'small' END) AS bucket FROM se), r AS (SELECT session_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY sha256('7|' || CAST(session_id AS VARCHAR)), session_id) AS round FROM b) SELECT session_id, round FROM r ORDER BY round, bucket LIMIT 50")
+def pilot_round_robin(t):
+    return partition.pilot(t.sessions, 50, 7)
+
+
+
+@_query("WITH se AS (SELECT user_id AS session_id, min(ts) AS t FROM events GROUP BY 1) SELECT session_id, CASE WHEN t >= TIMESTAMP '2024-01-10 00:00:00' THEN 'evaluation' WHEN t >= TIMESTAMP '2024-01-03 00:00:00' THEN 'validation' ELSE 'train' END AS partition FROM se")
+def partition_cutoffs(t):
+    return partition.assign(t.sessions.withColumn("group_time", F.col("created_at")), "2024-01-03", "2024-01-10").select("session_id", "partition")
+
+
+@_query(f"WITH {_EV}, p AS (SELECT *, CASE WHEN timestamp >= TIMESTAMP '2026-03-10 00:00:00' THEN 'evaluation' WHEN timestamp >= TIMESTAMP '2026-03-01 00:00:00' THEN 'validation' ELSE 'train' END AS partition FROM ev) SELECT partition, count(*) AS records, count(DISTINCT session) AS sessions FROM p GROUP BY 1")
+def partition_report(t):
+    return partition.report(partition.assign(t.ev.withColumn("group_time", F.col("timestamp")), "2026-03-01", "2026-03-10"))
+
+
+@_query(f"WITH {_EV}, p AS (SELECT *, CASE WHEN timestamp >= TIMESTAMP '2026-03-10 00:00:00' THEN 'evaluation' WHEN timestamp >= TIMESTAMP '2026-03-01 00:00:00' THEN 'validation' ELSE 'train' END AS partition FROM ev) SELECT session, count(DISTINCT partition) AS partitions FROM p GROUP BY 1 HAVING count(DISTINCT partition) > 1")
+def leakage_check(t):
+    return partition.leaks(partition.assign(t.ev.withColumn("group_time", F.col("timestamp")), "2026-03-01", "2026-03-10"), "session")
+
+
+@_query("WITH RECURSIVE e AS (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.node) SELECT node, min(root) AS root FROM c GROUP BY 1")
+def connected_components(t):
+    return partition.connected_components(t.edges)
+
+
+@_query(f"WITH {_DL}, u AS (SELECT query_id, evidence_id, 0 AS source, rank FROM d UNION ALL SELECT query_id, evidence_id, 1, rank FROM l), m AS (SELECT query_id, evidence_id, min(source * 1000 + rank) AS pos FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, evidence_id) AS n, row_number() OVER (PARTITION BY query_id, pos // 1000 ORDER BY pos, evidence_id) AS k FROM m) SELECT query_id, evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, evidence_id) AS pool_rank FROM k WHERE n <= 60 OR k = 1")
+def candidate_pool(t):
+    return benchmark.pool({"dense": t.d50, "lexical": t.l50}, 60)
+
+
+@_query("WITH x AS (SELECT doc_id AS query_id, source, lang FROM documents WHERE doc_id < 20), y AS (SELECT x.query_id, d.doc_id AS evidence_id, CAST((CASE WHEN d.source = x.source THEN 3 ELSE 0 END) + (CASE WHEN d.lang = x.lang THEN 1 ELSE 0 END) AS BIGINT) AS score FROM x, documents d WHERE d.source = x.source OR d.lang = x.lang) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM y) WHERE rank <= 40")
+def metadata_neighbors(t):
+    one = t.ev.select("evidence_id", F.array("session").alias("session_ids"), F.array().cast("array<string>").alias("checkpoint_pks"), F.array("branch").alias("files"))
+    return benchmark.metadata_neighbours(one.where("evidence_id < 20").withColumnRenamed("evidence_id", "query_id"), one, 40)
+
+
+@_query(f"WITH {_EV}, r AS (SELECT session, evidence_id, row_number() OVER (PARTITION BY session ORDER BY timestamp, evidence_id) AS a, row_number() OVER (PARTITION BY session ORDER BY timestamp DESC, evidence_id DESC) AS z FROM ev) SELECT session, evidence_id, row_number() OVER (PARTITION BY session ORDER BY least(a, z), CASE WHEN a <= z THEN 0 ELSE 1 END) AS time_rank FROM r")
+def chrono_interleave(t):
+    return benchmark.chronological(t.ev, "session").select("session", "evidence_id", "time_rank")
+
+
+@_query(f"WITH {_QR}, j AS (SELECT query_id, evidence_id, grade, 0 AS priority, 1 AS ordinal FROM qr UNION ALL SELECT query_id, evidence_id, (grade + 1) % 4, 0, 2 FROM qr UNION ALL SELECT query_id, evidence_id, 3, 1, 0 FROM qr WHERE evidence_id % 5 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, evidence_id ORDER BY grade DESC, priority, ordinal) AS r FROM j) SELECT query_id, evidence_id, CAST(grade AS BIGINT) AS grade, CASE WHEN priority = 1 THEN 'anchor' ELSE 'judge' END AS origin FROM k WHERE r = 1")
+def judgment_dedup_anchor(t):
+    a = t.qrels.withColumn("ordinal", F.lit(1).cast("long"))
+    b = t.qrels.withColumn("grade", (F.col("grade") + 1) % 4).withColumn("ordinal", F.lit(2).cast("long"))
+    return benchmark.judgments(a.unionByName(b), t.qrels.where("evidence_id % 5 = 0").withColumn("grade", F.lit(3).cast("long")))
+
+
+@_query(f"WITH {_knn('d')}, {_REL}, g AS (SELECT d.query_id, d.rank, coalesce(grade, 0) AS grade FROM d LEFT JOIN rel USING (query_id, evidence_id)), a AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN grade > 0 AND rank <= 10 THEN rank END) AS first, count(*) FILTER (grade > 0 AND rank <= 5) AS h5, count(*) FILTER (grade > 0 AND rank <= 20) AS h20, count(*) FILTER (grade > 0) AS h50 FROM g GROUP BY 1), i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN k <= 10 THEN 7 / log2(k + 1) ELSE 0 END) AS ideal FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS k FROM rel) GROUP BY 1) SELECT query_id, round(dcg / ideal, 9) AS ndcg_10, coalesce(1.0 / first, 0.0) AS mrr_10, h5 / 5 AS precision_5, h20 / relevant AS recall_20, h50 / relevant AS recall_50 FROM a JOIN i USING (query_id)")
+def retrieval_metrics(t):
+    return metrics.retrieval_metrics(t.d50.select("query_id", "evidence_id", "rank"), t.same_label, t.asked)
+
+
+@_query(f"WITH {_EV}, x AS (SELECT *, coalesce(sum(least(length(text), 6000)) OVER (PARTITION BY session ORDER BY evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ev WHERE text <> '') SELECT session, evidence_id, CAST(least(length(text), 6000, 24000 - c) AS BIGINT) AS size FROM x WHERE c < 24000")
+def char_budget_packet(t):
+    return benchmark.packet(t.ev, "session", [F.col("evidence_id")]).select("session", "evidence_id", F.length("text").alias("size"))
+
+
+@_query(f"WITH {_EV}, x AS (SELECT *, row_number() OVER w AS r, sum(length(text)) OVER (PARTITION BY session ORDER BY evidence_id ROWS UNBOUNDED PRECEDING) AS c FROM ev WINDOW w AS (PARTITION BY session ORDER BY evidence_id)) SELECT session, evidence_id FROM x WHERE r = 1 OR c <= 40000")
+def context_assembly(t):
+    return benchmark.context(t.ev, "session", [F.col("evidence_id")]).select("session", "evidence_id")
+
+
+_CUM = f"{_SC}, bys AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n, sum(pow(score - label, 2)) AS sq FROM sc GROUP BY 1), run AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM bys)"
+
+
+@_query(f"WITH {_CUM} SELECT round(sum(n * (tp - p / 2)) / (sum(p) * sum(n)), 9) AS roc_auc, round(sum(p * tp / (tp + fp)) / sum(p), 9) AS average_precision, round(sum(sq) / sum(p + n), 9) AS brier FROM run")
+def binary_metrics(t):
+    return metrics.binary_metrics(t.scored)
+
+
+@_query(f"WITH {_CUM} SELECT max_by(score, struct_pack(a := f1, b := score)) AS threshold, max(f1) AS f1 FROM (SELECT score, tp, round(2 * tp / (tp + fp + (SELECT sum(p) FROM bys)), 9) AS f1, (SELECT sum(p) FROM bys) AS total FROM run) WHERE tp >= 0.2 * total")
+def best_threshold(t):
+    return metrics.best_threshold(t.scored, 0.2)
+
+
+@_query(f"WITH {_SC} SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(CAST(label AS DOUBLE)), 9) AS rate FROM sc GROUP BY 1")
+def reliability_bins(t):
+    return metrics.reliability_bins(t.scored)
+
+
+@_query(f"WITH {_SC}, b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, round(avg(score), 9) AS m, round(avg(CAST(label AS DOUBLE)), 9) AS r FROM sc GROUP BY 1) SELECT round(sum(n * abs(m - r)) / sum(n), 6) AS ece FROM b")
+def calibration_error(t):
+    return metrics.calibration_error(t.scored)
+
+
+_INTER = "CASE WHEN {0} <= 0.0 THEN 0.05 WHEN {0} <= 0.2 THEN 0.05 + {0} * (0.2 - 0.05) / 0.2 WHEN {0} <= 0.4 THEN 0.2 + ({0} - 0.2) * ((0.7 - 0.2) / (0.4 - 0.2)) WHEN {0} <= 0.6 THEN 0.7 + ({0} - 0.4) * ((0.95 - 0.7) / (0.6 - 0.4)) ELSE 0.95 END"
+
+
+@_query(f"WITH {_SC} SELECT query_id, evidence_id, round({_INTER.format('score')}, 6) AS probability FROM sc")
+def isotonic_apply(t):
+    return t.scored.select("query_id", "evidence_id", F.round(scoring.interpolate(F.col("score"), XS, YS), 6).alias("probability"))
+
+
+@_query(f"WITH {_DL}, f AS (SELECT query_id, max(score) AS top_score, max(score) - coalesce(max(CASE WHEN rank = 2 THEN score END), min(score)) AS m2, max(score) - coalesce(max(CASE WHEN rank = 10 THEN score END), min(score)) AS m10, round(avg(score), 6) AS mean_10 FROM d WHERE rank <= 10 GROUP BY 1), o AS (SELECT d.query_id, count(*) / 10 AS overlap FROM d JOIN l USING (query_id, evidence_id) WHERE d.rank <= 10 AND l.rank <= 10 GROUP BY 1) SELECT query_id, top_score, round(m2, 6) AS margin_2, round(m10, 6) AS margin_10, mean_10, coalesce(overlap, 0.0) AS overlap_10, round({_INTER.format('top_score')}, 6) AS top_relevance FROM f LEFT JOIN o USING (query_id)")
+def answerability_features(t):
+    r = lambda c: F.round(c, 6).alias(c)
+    return calibration.query_features(t.d50, t.l50, XS, YS).select("query_id", "top_score", r("margin_2"), r("margin_10"), r("mean_10"), "overlap_10", r("top_relevance"))
+
+
+@_query(f"WITH {_FUSE} SELECT query_id, evidence_id FROM f WHERE coalesce(dense_score >= 0.4, false) OR coalesce(lexical_rank <= 5, false)")
+def calibrated_filter(t):
+    return calibration.filter_hits(search.fuse(t.d50, t.l50), 0.4).select("query_id", "evidence_id")
+
+
+@_query("WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+') AS w FROM benchmark), g AS (SELECT query_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w), tf AS (SELECT query_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1), x AS (SELECT query_id, term, tf * idf AS w FROM tf JOIN df USING (term)), n AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM x GROUP BY 1), y AS (SELECT query_id, term, w / n AS w FROM x JOIN n USING (query_id)) SELECT a.query_id AS a, b.query_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM y a JOIN y b ON a.term = b.term AND a.query_id < b.query_id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= 0.05")
+def tfidf_pairs(t):
+    rows = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return benchmark.similar_pairs(rows, 0.05).withColumn("cosine", F.round("cosine", 6))
+
+
+@_query(f"WITH {_QR}, n AS (SELECT query_id, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) AS negatives FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS r FROM qr WHERE grade = 0) WHERE r <= 3 GROUP BY 1) SELECT query_id, evidence_id AS positive_id, negatives FROM qr JOIN n USING (query_id) WHERE grade >= 2")
+def training_triples(t):
+    out = answering.training_triples(t.qrels.select("query_id").distinct(), t.qrels)
+    return out.select("query_id", "positive_id", F.array_join(F.transform("negative_ids", lambda x: x.cast("string")), ",").alias("negatives"))
+
+
+@_query(f"WITH {_QR} SELECT query_id, evidence_id AS positive_id FROM qr WHERE grade >= 2 AND EXISTS (SELECT 1 FROM qr z WHERE z.query_id = qr.query_id AND z.grade = 0) AND (query_id % 5 = 0 OR evidence_id % 7 = 0)")
+def isolation_check(t):
+    part = lambda c, k: F.when(F.col(c) % k == 0, "evaluation").otherwise("train")
+    q = t.qrels.select("query_id").distinct().withColumn("partition", part("query_id", 5))
+    e = t.qrels.select("evidence_id").distinct().withColumn("partition", part("evidence_id", 7))
+    return answering.isolation_breaches(answering.training_triples(q, t.qrels), q, e)
+
+
+@_query("SELECT event_type AS stage, count(*) AS requests, CAST(sum(event_id % 100) AS BIGINT) AS tokens, CAST(sum(user_id) AS BIGINT) AS cost FROM events GROUP BY ROLLUP (event_type)")
+def api_usage_rollup(t):
+    return answering.usage(t.events.select(F.col("event_type").alias("stage"), (F.col("event_id") % 100).alias("tokens"), F.col("user_id").alias("cost")))
+
+
+@_query("SELECT count(*) AS records, count(*) - count(DISTINCT sha256(text)) AS duplicate_ids, count(*) FILTER (coalesce(text, '') = '') AS empty, CAST(max(length(text)) AS BIGINT) AS longest FROM documents")
+def evidence_quality(t):
+    return evidence.quality(t.documents.select(F.sha2("text", 256).alias("evidence_id"), "text"))
+
+
+@_query("SELECT source AS source_file, count(*) AS n FROM documents GROUP BY 1")
+def source_counts(t):
+    return t.documents.groupBy(F.col("source").alias("source_file")).agg(F.count("*").alias("n"))
+
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, unnest([0, 1, 2]) AS section, unnest(['pre' || chr(10), 'diff --git a' || chr(10) || '+' || l_partkey || chr(10), 'diff --git b' || chr(10) || '-x']) AS body FROM lineitem WHERE l_quantity >= 50")
+def diff_sections(t):
+    patch = F.concat(F.lit("pre\ndiff --git a\n+"), F.col("l_partkey").cast("string"), F.lit("\ndiff --git b\n-x"))
+    return t.lineitem.where("l_quantity >= 50").select("l_orderkey", "l_linenumber", F.posexplode(text.diff_sections(patch)).alias("section", "body"))
+
+
+@_query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'src/' || l_partkey || '.py,b.txt' AS files FROM lineitem WHERE l_quantity >= 50")
+def changed_files(t):
+    listing = F.concat(F.lit("M\t1\tsrc/"), F.col("l_partkey").cast("string"), F.lit(".py\nno tab here\nA\tb.txt"))
+    return t.lineitem.where("l_quantity >= 50").select("l_orderkey", "l_linenumber", F.array_join(text.changed_files(listing), ",").alias("files"))
+
+
+@_query(f"WITH {_QR} SELECT DISTINCT query_id FROM qr WHERE query_id NOT IN (SELECT query_id FROM qr WHERE grade = 3)")
+def missing_answers(t):
+    return answering.missing_answers(t.qrels.select("query_id").distinct(), t.qrels.select("query_id", (F.col("grade") == 3).alias("valid")))
+
+
+@_query("SELECT item_id AS query_id, CAST(len(string_split_regex(trim(text), '\\s+')) AS BIGINT) AS words FROM benchmark")
+def word_counts(t):
+    return t.benchmark.select(F.col("item_id").alias("query_id"), text.word_count(F.col("text")).alias("words"))
+
+
+@_query(f"WITH {_knn('d')}, {_REL}, g AS (SELECT w, query_id, evidence_id, coalesce(grade, 0) AS grade, row_number() OVER (PARTITION BY w, query_id ORDER BY score * (1 + w * (evidence_id % 5)) DESC, evidence_id) AS k FROM d LEFT JOIN rel USING (query_id, evidence_id), (SELECT unnest([0.0, 0.1, 0.2, 0.5]) AS w)), m AS (SELECT w, round(avg(dcg), 9) AS ndcg FROM (SELECT w, query_id, sum(CASE WHEN k <= 10 THEN (pow(2, grade) - 1) / log2(k + 1) ELSE 0 END) AS dcg FROM g GROUP BY 1, 2) GROUP BY 1) SELECT CAST(w AS DOUBLE) AS weight, ndcg FROM m ORDER BY ndcg DESC, w LIMIT 1")
+def tuning_argmax(t):
+    grid = t.spark.createDataFrame([(k, w) for k, w in enumerate([0.0, 0.1, 0.2, 0.5])], "trial int, weight double")
+    hits = metrics.graded(t.d50, t.same_label).crossJoin(F.broadcast(grid))
+    w = lexical.Window.partitionBy("trial", "query_id").orderBy(F.desc(F.col("score") * (1 + F.col("weight") * (F.col("evidence_id") % 5))), "evidence_id")
+    gain = F.when(F.col("k") <= 10, (F.pow(2.0, F.col("grade")) - 1) / F.log2(F.col("k") + 1.0)).otherwise(0.0)
+    dcg = hits.withColumn("k", F.row_number().over(w)).groupBy("trial", "weight", "query_id").agg(F.sum(gain).alias("dcg"))
+    by = dcg.groupBy("trial", "weight").agg(F.round(F.avg("dcg"), 9).alias("ndcg")).withColumn("mrr", F.lit(0.0))
+    return calibration.best_trial(by).select("weight", "ndcg")
+
+
+@_query()
+def isotonic_fit(t):
+    xs, ys = calibration.isotonic(t.scored)
+    return t.spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(xs, ys, strict=True))], "knot long, score double, rate double")
+
+
+@_query()
+def encoded_topk(t):
+    encoder = dense.hashing_encoder()
+    return dense.knn(dense.encode(t.ev, encoder), dense.encode(t.q.withColumnRenamed("query", "text"), encoder, "Query: ", "query_id"), 10)
+
+
+@_query()
+def offline_answers(t):
+    hits = lexical.bm25_topk(t.ev, t.q, 3).groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids")).join(t.q, "query_id")
+    return answering.complete(hits.select("query_id", F.to_json(F.struct("query", "evidence_ids")).alias("request")))
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
