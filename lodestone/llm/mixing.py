@@ -5,7 +5,7 @@ one of them hits of a lexicon learned from the same rows. It gives each document
 ``high``, ``low`` and ``toxic``. Projected gradient descent then fits a nonnegative rate for each document, so that
 the expected tokens of each domain, summed over rates and posteriors, match the target weights in least squares (each
 domain's error weighted by the inverse of its share at rate one), with a small pull to rate one. Documents with equal bins have equal posteriors, hence equal rates at every step; so a step
-is one aggregation over the table of bins (a few hundred rows at most) that the documents were counted into.
+is one aggregation over the table of bins (144 rows at most) that the documents were counted into.
 
 Everything is DataFrame operations. Null texts count as empty, with no tokens. Null ids get the draw of zero. Labelled rows
 without a document, and null labels, are ignored; without any labels the posterior is uniform. Repeated rows are separate
@@ -26,7 +26,7 @@ DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.92, "low": 0.06, "toxic": 0.02}
 #: At most so many labelled rows are fitted on (by hash of the id), and so many words are kept in the lexicon.
 SAMPLE, LEXICON = 200_000, 200
-PULL, STEP, ROUNDS, EXACT = 0.002, 0.9, 40, 1e-5
+PULL, STEP, ROUNDS, EXACT = 0.002, 0.9, 30, 1e-4
 _BINS = ["b_symbols", "b_upper", "b_unique", "b_hits"]
 _ONLY = ["doc_id", "text"]
 
@@ -117,28 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier(tuple(lexicon), prior, tables)
 
 
-def rates(cells: DataFrame, targets: dict[str, float]) -> Column:
-    """The fitted rate as a column over ``p``; ``cells`` has p (posteriors) and tokens, a row for each kind of document.
+def fit_rates(cells: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """``cells`` (p: posteriors, tokens; a row for each kind of document) with the fitted rate of each; staged.
 
-    ``p`` alone decides a document's rate, so the column holds for the documents themselves.
+    A round sums the expected tokens of each domain and moves all rates against the gradient; it is written, so plans stay short.
     """
+    cells = stage(cells.withColumn("rate", F.lit(1.0)))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rate = F.lit(1.0)
     if not total:
-        return rate
-    share = sum(targets.values())
-    want = [targets[d] / share for d in DOMAINS]
-    last = share_now = None
+        return cells
+    want = [targets[d] / sum(targets.values()) for d in DOMAINS]
+    last = at_one = None
     for _ in range(ROUNDS):
-        sums = cells.select("p", "tokens", rate.alias("r")).agg(*[F.sum(F.col("tokens") / float(total) * F.col("p")[k] * F.col("r")).alias(d) for k, d in enumerate(DOMAINS)]).first()
-        share_now = share_now or [max(x, 1e-6) for x in sums]
-        error = [(sums[k] - want[k]) / share_now[k] for k in range(len(DOMAINS))]
+        sums = cells.agg(*[F.sum(F.col("tokens") / float(total) * F.col("p")[k] * F.col("rate")).alias(d) for k, d in enumerate(DOMAINS)]).first()
+        at_one = at_one or [max(x, 1e-6) for x in sums]
+        error = [(sums[k] - want[k]) / at_one[k] for k in range(len(DOMAINS))]
         if last and max(abs(a - b) for a, b in zip(error, last, strict=True)) < EXACT:
             break
         last = error
         slope = sum((F.col("p")[k] * F.lit(e) for k, e in enumerate(error)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - STEP * PULL) + STEP * PULL - STEP * slope)
-    return rate
+        cells = stage(cells.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") * (1 - STEP * PULL) + STEP * PULL - STEP * slope)))
+    return cells
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, thin: bool = False) -> DataFrame:
@@ -150,13 +149,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """
     model = fit(docs, labels, sample)
     out = features(docs, list(model.lexicon)).withColumn("p", model.posteriors())
-    cells = stage(out.groupBy(*_BINS).agg(F.first("p").alias("p"), F.sum("tokens").alias("tokens")).coalesce(1))
-    rate = rates(cells, targets)
+    cells = out.groupBy(*_BINS).agg(F.first("p").alias("p"), F.sum("tokens").alias("tokens")).coalesce(1)
+    cells = fit_rates(cells, targets)
+    rate = F.col("rate")
     if thin:
         ok = F.col("p")[0] == F.array_max("p")
         least = cells.where(ok).agg(F.min(rate)).first()[0]
         rate = F.least(F.lit(1.0), F.when(ok, F.lit(1.0)).otherwise(rate / F.lit(least or 1.0)))
-    out = out.withColumn("rate", rate)
+    known = cells.select(*_BINS, rate.alias("rate"))  # a row for each combination of bins: 144 at most
+    out = out.join(F.broadcast(known), _BINS)
     draw = F.coalesce(F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30), F.lit(0.0))
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).drop(*_BINS)
 
