@@ -140,15 +140,15 @@ def fit_rates(cells: DataFrame, targets: dict[str, float]) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, thin: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, thin: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with p (posteriors), tokens, rate and copies: how often the document is to be used.
 
     ``copies`` rounds the rate up or down by a hash of the id, right in expectation. ``thin`` divides the rates by the least
     rate of documents that are likeliest ``high`` and cuts them at one: shares stay near the targets, no document
-    is used twice, and none of these goes.
+    is used twice, and none of these goes. Measured rows are written once, without the columns to ``drop``.
     """
     model = fit(docs, labels, sample)
-    out = features(docs, list(model.lexicon)).withColumn("p", model.posteriors())
+    out = stage(features(docs, list(model.lexicon)).drop(*drop)).withColumn("p", model.posteriors())
     cells = out.groupBy(*_BINS).agg(F.first("p").alias("p"), F.sum("tokens").alias("tokens")).coalesce(1)
     cells = fit_rates(cells, targets)
     rate = F.col("rate")
@@ -165,5 +165,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """Posteriors, rate and number of uses of each of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = mix(docs.select(*_ONLY), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = mix(docs.select(*_ONLY), spark.read.parquet(f"{sf_dir}/labels.parquet"), drop=("text",))
     return out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
