@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("mixing", mix), ("packing", pack)]
-#: Fingerprints, posteriors and packing are beyond SQL; tests/llm holds each operator against brute force (the whole chain is not yet).
+#: Fingerprints, posteriors and packing are beyond SQL; tests/llm/test_pipeline.py holds the chain, stage by stage, against plain Python.
 ORACLE_SQL = None
 
 
