@@ -1,10 +1,13 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Words are lower-cased, stripped of punctuation and written as fixed-width codes, so that matches are of whole words and
-not of syllables. One dictionary is trained on windows of ordinary labelled texts, the other on the windows of toxic
-ones that set them apart (around words that toxic texts have far more often) over the same ordinary ground. A window
-that the toxic dictionary compresses better by ``gap`` bytes is a hit; gap and the score's curve are calibrated on the
-training rows. A text's score is a logistic function of its hits, their share and the largest gap.
+not of syllables. Two pairs of dictionaries are compared. In the first both are trained with zstandard, one on the
+windows of ordinary labelled texts, the other on those of toxic ones. In the second a list of words (those that toxic
+texts have far more often) is laid over the ordinary one, so that its gaps are of listed words only. A window that the
+toxic side of a pair compresses better by the pair's ``gap`` bytes is a hit. A text's score is a logistic function of
+each pair's hits, their share, the largest and the mean gap. Dictionaries and list are made of three quarters of the
+training texts; gaps and the curve are calibrated on the others, by a hash of the text, as texts that a dictionary was
+trained on compress better by it than new ones. Where the others lack a class, all texts serve for both.
 
 Labels are learned from rows whose crc32 of the id, as text, leaves a remainder mod 5; at most ``TOXIC`` and
 ``ORDINARY`` of them, by hash. Labels, language, source and id never enter a score. Null and empty texts have no window
@@ -68,27 +71,34 @@ def _windows(codes: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    gap: int
+    #: Ordinary and toxic dictionary of the trained pair, then of the word list's.
+    pairs: tuple[tuple[bytes, bytes], ...]
+    gap: tuple[int, ...]
     weights: tuple[float, ...]
 
     def gaps(self, coder: Coder, tools, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves, for each window of the text."""
-        a, b = tools
-        return np.array([len(a.compress(w)) - len(b.compress(w)) for w in _windows(coder.encode(text))], dtype=np.int64)
+        """Bytes that the toxic dictionary saves: a row for each pair, a column for each window of the text."""
+        windows = _windows(coder.encode(text))
+        return np.array([[len(a.compress(w)) - len(b.compress(w)) for w in windows] for a, b in tools], dtype=np.int64)
 
     def tools(self):
-        return _compressor(self.ordinary), _compressor(self.toxic)
+        return [(_compressor(a), _compressor(b)) for a, b in self.pairs]
+
+    def hits(self, gaps: np.ndarray) -> int:
+        """Windows that reach the gap of any pair."""
+        return int((gaps >= np.array(self.gap)[:, None]).any(axis=0).sum())
 
     def score(self, gaps: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(_features(gaps, self.gap) @ np.array(self.weights), -30, 30))))
 
 
-def _features(gaps: np.ndarray, gap: int) -> np.ndarray:
-    hits = int((gaps >= gap).sum())
-    n = max(1, len(gaps))
-    return np.array([1.0, min(hits, 1), np.log1p(hits), 10 * hits / n, min(int(gaps.max(initial=0)), 4 * gap) / gap, np.log1p(n) / 5])
+def _features(gaps: np.ndarray, gap: tuple[int, ...]) -> np.ndarray:
+    n = max(1, gaps.shape[1])
+    out = [1.0, np.log1p(n) / 5]
+    for g, least in zip(gaps, gap, strict=True):
+        hits = int((g >= least).sum())
+        out += [min(hits, 1), np.log1p(hits), 10 * hits / n, min(int(g.max(initial=0)), 4 * least) / least, float(g.sum()) / n / 8]
+    return np.array(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.01) -> np.ndarray:
@@ -114,14 +124,9 @@ def _telling(codes: list[bytes], y: np.ndarray) -> set[bytes]:
     return {w for w, n in found[1].items() if n >= least and (n + 0.5) / (n1 + 1) > 8 * (found[0][w] + 0.5) / (n0 + 1)}
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """A model of labelled texts."""
-    coder, y = Coder(), np.array(labels, dtype=np.int64)
-    codes = [coder.encode(t) for t in texts]
-    rate = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -30.0
-    if not 0 < y.sum() < len(y):
-        return Model(b"\0" * CODE, b"\0" * CODE, 1, (rate, 0.0, 0.0, 0.0, 0.0, 0.0))
-    ground = _train([w for c, label in zip(codes, y, strict=True) if not label for w in _windows(c)][:200_000])
+def _pairs(codes: list[bytes], y: np.ndarray) -> tuple[tuple[bytes, bytes], ...]:
+    """The trained pair, and the word list's."""
+    trained = [_train([w for c, label in zip(codes, y, strict=True) if label == kind for w in _windows(c)][:200_000]) for kind in (0, 1)]
     words = _telling(codes, y)
     apart = []
     for c, label in zip(codes, y, strict=True):
@@ -129,16 +134,30 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
             apart += [c[k : k + CODE] for k in range(0, len(c), CODE) if c[k : k + CODE] in words]
     # each telling word once for the text that a match is looked up in, most frequent nearest its end
     order = [w for w, _ in reversed(Counter(apart).most_common(SIZE // (4 * CODE)))]
-    ground = ground if ground[:4] != b"\x37\xa4\x30\xec" else ground[-(SIZE - 4096) :]
-    ordinary, toxic = b"\1" * (CODE * len(order)) + ground, b"".join(order) + ground
-    model = Model(ordinary, toxic, 1, ())
-    tools = model.tools()
-    gaps = [model.gaps(coder, tools, t) for t in texts]
-    top = np.array([g.max(initial=0) for g in gaps])
-    # the threshold that tells the training texts apart best, by their largest gap
-    gap = max(range(2, 9), key=lambda k: (top >= k)[y == 1].mean() - (top >= k)[y == 0].mean())
+    ground = trained[0] if trained[0][:4] != b"\x37\xa4\x30\xec" else trained[0][-(SIZE - 4096) :]
+    return (trained[0] or b"\0" * CODE, trained[1] or b"\0" * CODE), (b"\1" * (CODE * len(order)) + ground or b"\0" * CODE, b"".join(order) + ground or b"\0" * CODE)
+
+
+def fit(texts: list[str | None], labels: list[int]) -> Model:
+    """A model of labelled texts."""
+    coder, y = Coder(), np.array(labels, dtype=np.int64)
+    codes = [coder.encode(t) for t in texts]
+    rate = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -30.0
+    if not 0 < y.sum() < len(y):
+        return Model(((b"\0" * CODE, b"\0" * CODE),) * 2, (1, 1), (rate,) + (0.0,) * 11)
+    apart = np.array([zlib.crc32((t or "").encode()) % 4 == 0 for t in texts])
+    if not all(0 < y[k].sum() < k.sum() for k in (apart, ~apart)):
+        made = judged = np.arange(len(y))
+    else:
+        made, judged = np.flatnonzero(~apart), np.flatnonzero(apart)
+    model = Model(_pairs([codes[k] for k in made], y[made]), (1, 1), ())
+    tools, y = model.tools(), y[judged]
+    gaps = [model.gaps(coder, tools, texts[k]) for k in judged]
+    top = np.array([g.max(axis=1, initial=0) for g in gaps])
+    # the thresholds that tell the texts apart best, by their largest gap
+    gap = tuple(max(range(2, 4 * CODE), key=lambda k: (t >= k)[y == 1].mean() - (t >= k)[y == 0].mean()) for t in top.T)
     w = _logistic(np.array([_features(g, gap) for g in gaps]), y.astype(float))
-    return Model(ordinary, toxic, gap, tuple(w.tolist()))
+    return Model(model.pairs, gap, tuple(w.tolist()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> tuple[list, list]:
@@ -159,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 512)
                 gaps = [model.gaps(coder, tools, x.as_py()) for x in part.column(1)]
                 s = [model.score(g) for g in gaps]
-                cols = [part.column(0), pa.array(s), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([len(g) for g in gaps], pa.int64()), pa.array([int((g >= model.gap).sum()) for g in gaps], pa.int64())]
+                cols = [part.column(0), pa.array(s), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([g.shape[1] for g in gaps], pa.int64()), pa.array([model.hits(g) for g in gaps], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", "n_windows", "n_hits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, n_windows long, n_hits long")

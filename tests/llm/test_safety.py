@@ -91,6 +91,24 @@ def test_toxicity(spark):
     assert out[9000].predicted == out[9001].predicted == 0 and len(out) == len(rows) + 3
 
 
+def test_toxicity_without_telling_words():
+    rng = random.Random(8)
+    vocab = [f"{a}{b}{c}{d}{e}" for a in "bdfgkp" for b in "aeiou" for c in "lmnrst" for d in "aeiou" for e in "bcdfghjk"]
+
+    def text(bad):  # toxic texts have half of the words somewhat more often, none of them eight times as often
+        own, other = (vocab[::2], vocab[1::2]) if bad else (vocab[1::2], vocab[::2])
+        return " ".join(rng.choice(own if rng.random() < 0.65 else other) for _ in range(500))
+
+    ys = [k % 2 for k in range(800)]
+    texts = [text(y) for y in ys]
+    coder = toxicity.Coder()
+    assert not toxicity._telling([coder.encode(t) for t in texts[:600]], np.array(ys[:600]))
+    m = toxicity.fit(texts[:600], ys[:600])
+    tools = m.tools()
+    got = [m.score(m.gaps(coder, tools, t)) >= 0.5 for t in texts[600:]]
+    assert np.mean(np.array(got) == np.array(ys[600:])) > 0.9
+
+
 def test_toxicity_without_labels():
     for texts, ys in (([], []), (["a b"], [0]), (["a b"], [1])):
         m = toxicity.fit(texts, ys)
