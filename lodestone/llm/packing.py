@@ -13,6 +13,7 @@ to nothing. A text of any length is cut into pieces of ``capacity``, the first o
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ class TokenBytes(dict):
     """Ids, as little-endian 32-bit bytes, of a chunk of text between spaces.
 
     The byte-level pattern never crosses a space that a non-space follows, so chunks (each with its leading
-    space) can be encoded apart, and a corpus repeats most of them.
+    space) can be encoded apart, and a corpus repeats most of them. Added tokens of the JSON file are cut out first,
+    leftmost and longest, and have their own ids.
     """
 
     def __init__(self, path: str):
@@ -47,6 +49,12 @@ class TokenBytes(dict):
 
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that depend on what is beside them aren't supported")
+        self._added = {t["content"]: np.asarray([t["id"]], dtype="<u4").tobytes() for t in added}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, chunk: str) -> bytes:
@@ -59,6 +67,12 @@ class TokenBytes(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, 4 bytes each."""
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        # every other part is an added token
+        return b"".join([self._added[p] if k % 2 else self._plain(p) for k, p in enumerate(self._cut.split(text))])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         parts = _GAP.split(text)

@@ -68,6 +68,17 @@ def test_chunks_encode_as_whole_texts(tokenizer, text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, own, end = Tokenizer.from_file(path), packing.TokenBytes(path), "<|endoftext|>"
+    assert t.encode(f"hello {end} world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for text in (end, end * 3, f"hello {end} world", f"a{end}b", f" {end}\n\n {end} ", f"<|endoftext{end}|>", f"x  {end}  y", f"it{end}'s \t{end}\té 1{end}2"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pack(spark, tokenizer):
     import public_tokenizers
 
