@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines; long ones in overlapping windows) are told apart by a multinomial logistic regression over word
+Lines (long ones in overlapping windows) are counted as paragraphs; notices wrapped over the lines of a block, which
+blank lines end, and several notices of a line are found as spans that share half of a template's trigrams. An entry
+belongs to the line it begins in; only overlapping entries of one family are merged. Windows and spans are told apart by a multinomial logistic regression over word
 1- to 3-grams of the licence notices that it knows. It is trained on those notices, varied with fixed seeds, against
 ordinary sentences and notices of no known family. A prediction needs a probability over a calibrated threshold, or
 the paragraph's class is unknown; and a template of the predicted family must confirm it by shared trigrams.
@@ -67,6 +69,14 @@ class Scanner:
     threshold: float
     templates: dict[str, list[set[str]]]
 
+    def __post_init__(self):
+        #: The templates, as family and number, that have a trigram.
+        self.places: dict[str, list[tuple[str, int]]] = {}
+        for family, sets in self.templates.items():
+            for i, grams_of in enumerate(sets):
+                for g in grams_of:
+                    self.places.setdefault(g, []).append((family, i))
+
     def probabilities(self, words: list[str]) -> np.ndarray:
         at = [self.vocabulary[g] for g in set(grams(words)) if g in self.vocabulary]
         z = self.weights[-1].copy()
@@ -90,24 +100,81 @@ class Scanner:
         return (UNKNOWN, float(p[k])) if mentions else (NONE, float(p[-1]))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str, float]]]:
-        """How many paragraphs, and (paragraph, class, probability) of those with a licence."""
-        found, n = [], 0
-        for k, line in enumerate((text or "").split("\n")):
-            words = words_of(line)
-            if not words:
-                continue
-            n += 1
-            if len(words) <= WINDOW:
-                parts = [words]
-            else:
-                known = np.fromiter((w in self.known for w in words), bool, len(words)).cumsum()
-                at = [a for a in range(0, len(words) - WINDOW + STRIDE, STRIDE) if known[min(a + WINDOW, len(words)) - 1] - (known[a - 1] if a else 0) >= 3]
-                parts = [words[a : a + WINDOW] for a in at]
-            best = max((self.classify(p) for p in parts), key=lambda c: (c[0] not in (NONE, UNKNOWN), c[0] == UNKNOWN, c[1]), default=(NONE, 1.0))
-            if best[0] != NONE:
-                found.append((k, *best))
+        """How many paragraphs, and (paragraph, class, probability) of each notice."""
+        found, n, block = [], 0, []
+        for k, line in enumerate([*(text or "").split("\n"), ""]):
+            if words := words_of(line):
+                n += 1
+                block.append((k, words))
+            if not line.strip() and block:
+                found += self._scan_block(block)
+                block = []
         return n, found
 
+    def _scan_block(self, lines: list[tuple[int, list[str]]]) -> list[tuple[int, str, float]]:
+        words = [w for _, ws in lines for w in ws]
+        flags = [w in self.known for w in words]
+        spans = self._spans(words, flags)
+        out, base = [], 0
+        starts = []
+        for _, ws in lines:
+            starts.append(base)
+            end = base + len(ws)
+            hits = []
+            for a in [base] if len(ws) <= WINDOW else range(base, end - WINDOW + STRIDE, STRIDE):
+                z = min(a + WINDOW, end)
+                if sum(flags[a:z]) >= 3:
+                    hits.append((a, z, *self.classify(words[a:z])))
+            # a span tells more than a window that it lies in
+            sure = [h for h in hits if h[2] not in (NONE, UNKNOWN) and not self._other(h, spans)]
+            near = any(a < end and base < z for a, z, *_ in spans)
+            out += sure or ([] if near else sorted((h for h in hits if h[2] == UNKNOWN), key=lambda h: -h[3])[:1])
+            base = end
+        merged: list[list] = []
+        for a, z, c, p in sorted(out + spans, key=lambda h: h[:2]):
+            last = next((m for m in reversed(merged) if m[2] == c and a < m[1]), None) if c != UNKNOWN else None
+            if last:
+                last[1], last[3] = max(last[1], z), max(last[3], p)
+            else:
+                merged.append([a, z, c, p])
+        at = np.searchsorted(starts, [m[0] for m in merged], side="right") - 1
+        return [(lines[k][0], c, p) for k, (_, _, c, p) in zip(at, merged, strict=True)]
+
+    @staticmethod
+    def _other(hit: tuple, spans: list[tuple]) -> bool:
+        own = [s for s in spans if s[0] < hit[1] and hit[0] < s[1]]
+        return bool(own) and all(s[2] != hit[2] for s in own)
+
+    def _spans(self, words: list[str], flags: list[bool]) -> list[tuple[int, int, str, float]]:
+        """(start, end, family, probability) of spans that share half of a template's trigrams; the fullest of those that overlap."""
+        at: dict[tuple[str, int], list[int]] = {}
+        for k in range(len(words) - 2):
+            if flags[k] and flags[k + 1] and flags[k + 2]:
+                for t in self.places.get(" ".join(words[k : k + 3]), ()):
+                    at.setdefault(t, []).append(k)
+        tried = []
+        for (family, i), ks in at.items():
+            size = len(self.templates[family][i])
+            if len(ks) < CONFIRM * size:
+                continue
+            groups = [[ks[0]]]
+            for k in ks[1:]:
+                # a new group at a gap, and where the template starts anew
+                if k - groups[-1][-1] > size + 2 or k - groups[-1][0] > 2 * (size + 2):
+                    groups.append([])
+                groups[-1].append(k)
+            for g in groups:
+                shared = len({" ".join(words[k : k + 3]) for k in g})
+                if shared >= CONFIRM * size:
+                    tried.append((shared, shared / size, g[0], g[-1] + 3, family))
+        kept: list[tuple[int, int, str, float]] = []
+        for _, _, a, z, family in sorted(tried, key=lambda t: (-t[0], -t[1], t[2], FAMILIES.index(t[4]))):
+            if all(z <= b or y <= a for b, y, *_ in kept):
+                c, p = self.classify(words[a:z])
+                if c == family:
+                    kept.append((a, z, c, p))
+        return sorted(kept)
+
 
 def _varied(rng: random.Random, notice: str) -> list[str]:
     words = words_of(notice)

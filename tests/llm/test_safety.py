@@ -126,3 +126,17 @@ def test_licences(spark):
     got = {r.doc_id: (r.n_paragraphs, r.families) for r in licences.scan(table(spark, rows, extra=True), s).collect()}
     assert got == {0: (0, ""), 1: (0, ""), 2: (1, ""), 3: (2, "CC-BY-NC,proprietary"), 4: (1, "")}
     assert licences.scan(table(spark, []), s).count() == 0
+
+
+def test_every_notice_of_a_paragraph():
+    s = licences.train()
+    told = lambda text: [(k, c) for k, c, _ in s.scan(text)[1]]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    filler = " ".join(f"word{k % 97}" for k in range(150))
+    assert told(f"{mit} {apache}") == [(0, "MIT"), (0, "Apache-2.0")]
+    assert told(f"{mit} {filler} {apache} {filler} {mit}") == [(0, "MIT"), (0, "Apache-2.0"), (0, "MIT")]
+    assert told(f"{mit}\n\n{apache}\n{mit}") == [(0, "MIT"), (2, "Apache-2.0"), (3, "MIT")]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    assert told(gpl) == [(0, "GPL-3.0")]
+    assert told(f"{filler}\n * " + gpl.replace("\n", "\n * ") + f"\n\n{mit}") == [(1, "GPL-3.0"), (6, "MIT")]
+    assert told("no notice\nat all in these\nlines of text") == []
