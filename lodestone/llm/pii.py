@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts: leftmost, without overlap
-in a kind, checked by value. They are the seeds. Every other token with a digit is an instance, and the two words
-before it are its lexical pattern. On the bipartite graph of patterns and instance values confidence goes back and
+in a kind, checked by value. They are the seeds, each with the two words before its start in the whole text. Every
+token with a digit that no seed overlaps is an instance too, and the two words before it are its lexical pattern. On the bipartite graph of patterns and instance values confidence goes back and
 forth: a pattern has the mean confidence of its distinct values, with one more unconfirmed; a value that is no seed
 the chance that not all of its patterns are wrong. Patterns with enough seeds and confidence then give the values
 in their place as identifiers not seen before, kind ``id``; base spans stay.
@@ -88,20 +88,33 @@ def _told(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
+def _tidy(left: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(left)), r"[\x20\x09-\x0D]+", " ")
+
+
+def _seeds(text: Column, spans: Column) -> Column:
+    """Array of (start, end, x, left) of the spans; left is the two words before the start's own word, read backwards from it."""
+    back = F.reverse(text)
+    two = lambda s: F.regexp_extract(F.substring(back, F.length(back) - s["start"] + 1, F.greatest(s["start"], F.lit(1))), r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1)
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["x"].alias("x"), _tidy(F.reverse(F.when(s["start"] > 0, two(s)).otherwise(""))).alias("left")))
+
+
 def instances(rows: DataFrame) -> DataFrame:
-    """A row for each token with a digit: rid, start, end, value, pattern, seed (it holds a valid base match)."""
-    x = rows.select("rid", F.posexplode("tokens").alias("k", "t"))
-    ends = F.sum(F.col("t.g") + F.length("t.x")).over(Window.partitionBy("rid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("at", ends - F.length("t.x")).where("length(t.x) >= 5")
-    left = F.lower(F.regexp_extract("t.before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 0))
-    seed = F.lit(False)
-    for k in KINDS:
-        m = F.regexp_extract("t.x", PATTERNS[k], 0)
-        seed = seed | F.when(F.col("t.x").rlike(HINTS[k]) & (m != ""), _valid(k, m)).otherwise(False)
+    """A row for each valid base span, and for each token with a digit apart from these: rid, start, end, value, pattern, seed."""
+    x = rows.select("rid", F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("own"), F.posexplode("tokens").alias("k", "t"))
+    by = Window.partitionBy("rid").orderBy("k")
+    ends = F.sum(F.col("t.g") + F.length("t.x")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    # tokens are whole words, so the two before one reach back over two tokens at most
+    ahead = F.concat(F.coalesce(F.lag("t.x", 2).over(by), F.lit("")), F.coalesce(F.lag("t.before", 1).over(by), F.lit("")), F.coalesce(F.lag("t.x", 1).over(by), F.lit("")), "t.before")
+    x = x.withColumn("at", ends - F.length("t.x")).withColumn("ahead", F.reverse(ahead)).where("length(t.x) >= 5")
+    left = F.reverse(F.regexp_extract("ahead", r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1))
     lead = F.length(F.regexp_extract("t.x", r"^[^\p{L}\p{N}+]*", 0))
     core = F.regexp_replace("t.x", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    out = x.select("rid", (F.col("at") + lead).cast("int").alias("start"), core.alias("value"), F.regexp_replace(F.trim(left), r"[\x20\x09-\x0D]+", " ").alias("pattern"), seed.alias("seed"))
-    return out.where("pattern != '' and length(value) >= 5").withColumn("end", F.col("start") + F.length("value"))
+    out = x.select("rid", (F.col("at") + lead).cast("int").alias("start"), core.alias("value"), _tidy(left).alias("pattern"), F.lit(False).alias("seed"), "own")
+    out = out.withColumn("end", F.col("start") + F.length("value"))
+    out = out.where(~F.exists("own", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("own")
+    seeds = rows.select("rid", F.explode("seeds").alias("s")).select("rid", F.col("s.start").alias("start"), F.col("s.x").alias("value"), F.col("s.left").alias("pattern"), F.lit(True).alias("seed"), F.col("s.end").alias("end"))
+    return out.unionByName(seeds).where("pattern != '' and length(value) >= 5")
 
 
 def score(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
@@ -125,15 +138,16 @@ def score(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure:
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """One row per row of ``docs``: doc_id, the valid spans of each kind, and ``id``: spans that patterns discovered."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    told = F.transform(_pairs(text, INSTANCE), lambda p: F.struct(p["x"].alias("x"), F.length(p["g"]).alias("g"), F.right(p["g"], F.lit(80)).alias("before")))
+    told = F.transform(_pairs(text, INSTANCE), lambda p: F.struct(p["x"].alias("x"), F.length(p["g"]).alias("g"), F.reverse(F.regexp_extract(F.reverse(p["g"]), r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,2}", 0)).alias("before")))
     tokens = F.when(text.rlike("[0-9]"), told).otherwise(F.array().cast(_TOKENS))
-    rows = docs.select("doc_id", *[c.alias(k) for k, c in base_spans(text).items()], tokens.alias("tokens"))
+    rows = docs.select("doc_id", *[c.alias(k) for k, c in base_spans(text).items()], tokens.alias("tokens"), text.alias("text"))
+    rows = rows.withColumn("seeds", _seeds(F.col("text"), F.concat(*KINDS))).drop("text")
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()))
     found = stage(instances(rows))
     trusted, values = score(found, rounds, support, sure)
     new = found.where("not seed").join(trusted.select("pattern"), "pattern", "left_semi").join(values.where(F.col("conf") >= sure).select("value"), "value", "left_semi")
     ids = new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("id"))
-    out = rows.drop("tokens").join(ids.hint("merge"), "rid", "left").drop("rid")
+    out = rows.drop("tokens", "seeds").join(ids.hint("merge"), "rid", "left").drop("rid")
     own = F.concat(*[F.col(k) for k in KINDS])
     new = F.filter("id", lambda s: ~F.exists(own, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return out.withColumn("id", F.coalesce(new, F.array().cast("array<struct<start:int,end:int>>")))

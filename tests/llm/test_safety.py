@@ -66,6 +66,16 @@ def test_patterns_discover_identifiers(spark):
     assert all(not v for d, v in got.items() if d != 20)
 
 
+def test_every_base_span_is_a_seed(spark):
+    phones = [f"+1 (743) 555-38{k:02d}" for k in range(10, 18)]
+    rows = [(k, f"you may dial at once {p} for help", None, None, 0) for k, p in enumerate(phones)]
+    rows += [(10 + k, f"then write straight to {n}.doe@example.com please", None, None, 0) for k, n in enumerate(["jane", "john", "mary", "paul", "lisa", "omar", "nina", "tess"])]
+    rows += [(30, "you may dial at once 743x5553824 for help", None, None, 0), (31, "room 10 floor 20 write straight to k77(at)example for it", None, None, 0)]
+    got = {r.doc_id: [rows_text[s.start : s.end] for s in r["id"]] for r in pii.find(table(spark, rows)).collect() for rows_text in [dict(x[:2] for x in rows)[r.doc_id]]}
+    assert got[30] == ["743x5553824"] and got[31] == ["k77(at)example"]
+    assert all(not v for d, v in got.items() if d < 30)
+
+
 def toxic_rows(n=600):
     rng = random.Random(12)
     vocab = [f"{a}{b}{c}" for a in "bdfgkp" for b in "aeiou" for c in "lmnrst"]
