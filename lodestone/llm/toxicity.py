@@ -1,18 +1,20 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Words are lower-cased, stripped of punctuation and written as fixed-width codes, so that matches are of whole words and
-not of syllables. Two pairs of dictionaries are compared. In the first both are trained with zstandard, one on the
-windows of ordinary labelled texts, the other on those of toxic ones. In the second a list of words (those that toxic
-texts have far more often) is laid over the ordinary one, so that its gaps are of listed words only. A window that the
-toxic side of a pair compresses better by the pair's ``gap`` bytes is a hit. A text's score is a logistic function of
-each pair's hits, their share, the largest and the mean gap. Dictionaries and list are made of three quarters of the
-training texts; gaps and the curve are calibrated on the others, by a hash of the text, as texts that a dictionary was
+not of syllables. Two dictionaries are trained with zstandard, one on the windows of toxic labelled texts, the other on
+those of ordinary ones. Before that, windows are cut to the words that a class has in ``LEAST`` documents or more and
+``ODDS`` times as often as the other, as what both share would fill either dictionary alike and tell nothing. Each window of
+a text, with a run of zeros behind it so that its block is always worth compressing, is then compressed by both; the
+bytes that the toxic one saves are its gap. A text's score is a logistic function of how many windows reach the
+calibrated gap, of their share, the largest and the mean gap. Dictionaries are made of three quarters of the training
+texts; the gap and the curve are calibrated on the others, by a hash of the text, as texts that a dictionary was
 trained on compress better by it than new ones. Where the others lack a class, all texts serve for both.
 
 Labels are learned from rows whose crc32 of the id, as text, leaves a remainder mod 5; at most ``TOXIC`` and
-``ORDINARY`` of them, by hash. Labels, language, source and id never enter a score. Null and empty texts have no window
-and get the score of none. Without toxic or ordinary training rows every score is the base rate, or zero. Whole texts are
-scored, in any length; repeated rows score alike, and an empty table gives an empty result.
+``ORDINARY`` of them, by hash. Of rows with one id the least text is learned from, once, with the highest label. Labels,
+language, source and id never enter a score. Null and empty texts have no window and get the score of none. Without toxic
+or ordinary training rows every score is the base rate, or zero. Whole texts are scored, in any length; repeated rows
+score alike, other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 
 TOXIC, ORDINARY = 3000, 5000
 CODE, WINDOW, STEP = 8, 8, 8
-SIZE = 1 << 15
+SIZE, LEAST, ODDS = 1 << 13, 4, 8
+#: Behind each window: its match pays for the block's tables, so that what else a dictionary saves shows byte by byte.
+RUN = bytes(32)
 _CACHED = 300_000
 _APART = str.maketrans({c: " " for c in "0123456789!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\n\t\r\x0b\x0c"})
 
@@ -51,7 +55,7 @@ class Coder(dict):
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content[:4] != b"\x37\xa4\x30\xec" else zstandard.ZstdCompressionDict(content)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters.from_level(3, min_match=5, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
@@ -60,9 +64,13 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 def _train(windows: list[bytes], size: int = SIZE) -> bytes:
     """A trained dictionary; where the samples are too few to train on, their own bytes."""
     try:
-        return zstandard.train_dictionary(size, windows, k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(size, windows, k=2 * CODE, d=CODE).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(windows)[-size:]
+        return b"".join(windows)[-size:] or bytes(CODE)
+
+
+def _words(codes: bytes) -> list[bytes]:
+    return [codes[k : k + CODE] for k in range(0, len(codes), CODE)]
 
 
 def _windows(codes: bytes) -> list[bytes]:
@@ -71,34 +79,26 @@ def _windows(codes: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    #: Ordinary and toxic dictionary of the trained pair, then of the word list's.
-    pairs: tuple[tuple[bytes, bytes], ...]
-    gap: tuple[int, ...]
+    ordinary: bytes
+    toxic: bytes
+    gap: int
     weights: tuple[float, ...]
 
-    def gaps(self, coder: Coder, tools, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves: a row for each pair, a column for each window of the text."""
-        windows = _windows(coder.encode(text))
-        return np.array([[len(a.compress(w)) - len(b.compress(w)) for w in windows] for a, b in tools], dtype=np.int64)
-
-    def tools(self):
-        return [(_compressor(a), _compressor(b)) for a, b in self.pairs]
+    def tools(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+        return _compressor(self.ordinary), _compressor(self.toxic)
 
-    def hits(self, gaps: np.ndarray) -> int:
-        """Windows that reach the gap of any pair."""
-        return int((gaps >= np.array(self.gap)[:, None]).any(axis=0).sum())
+    def gaps(self, coder: Coder, tools, text: str | None) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window of the text."""
+        a, b = tools
+        return np.array([len(a.compress(w + RUN)) - len(b.compress(w + RUN)) for w in _windows(coder.encode(text))], dtype=np.int64)
 
     def score(self, gaps: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(_features(gaps, self.gap) @ np.array(self.weights), -30, 30))))
 
 
-def _features(gaps: np.ndarray, gap: tuple[int, ...]) -> np.ndarray:
-    n = max(1, gaps.shape[1])
-    out = [1.0, np.log1p(n) / 5]
-    for g, least in zip(gaps, gap, strict=True):
-        hits = int((g >= least).sum())
-        out += [min(hits, 1), np.log1p(hits), 10 * hits / n, min(int(g.max(initial=0)), 4 * least) / least, float(g.sum()) / n / 8]
-    return np.array(out)
+def _features(gaps: np.ndarray, gap: int) -> np.ndarray:
+    n, hits = max(1, len(gaps)), int((gaps >= gap).sum())
+    return np.array([1.0, np.log1p(n) / 5, min(hits, 1), np.log1p(hits), 10 * hits / n, min(int(gaps.max(initial=0)), 4 * gap) / gap, float(gaps.sum()) / n / 4])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.01) -> np.ndarray:
@@ -114,28 +114,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.01) -> np.ndarray:
     return w
 
 
-def _telling(codes: list[bytes], y: np.ndarray) -> set[bytes]:
-    """Codes of words that toxic texts have far more often than ordinary ones."""
-    found = [Counter(), Counter()]
+def _residues(codes: list[bytes], y: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Distinct windows of the ordinary and of the toxic texts, cut to the words that tell their class."""
+    found, n = (Counter(), Counter()), [max(1, int((y == kind).sum())) for kind in (0, 1)]
     for c, label in zip(codes, y, strict=True):
-        found[int(label)].update({c[k : k + CODE] for k in range(0, len(c), CODE)})
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    least = max(2, n1 // 200)
-    return {w for w, n in found[1].items() if n >= least and (n + 0.5) / (n1 + 1) > 8 * (found[0][w] + 0.5) / (n0 + 1)}
-
-
-def _pairs(codes: list[bytes], y: np.ndarray) -> tuple[tuple[bytes, bytes], ...]:
-    """The trained pair, and the word list's."""
-    trained = [_train([w for c, label in zip(codes, y, strict=True) if label == kind for w in _windows(c)][:200_000]) for kind in (0, 1)]
-    words = _telling(codes, y)
-    apart = []
+        found[int(label)].update(set(_words(c)))
+    out: tuple[dict, dict] = ({}, {})
     for c, label in zip(codes, y, strict=True):
-        if label:
-            apart += [c[k : k + CODE] for k in range(0, len(c), CODE) if c[k : k + CODE] in words]
-    # each telling word once for the text that a match is looked up in, most frequent nearest its end
-    order = [w for w, _ in reversed(Counter(apart).most_common(SIZE // (4 * CODE)))]
-    ground = trained[0] if trained[0][:4] != b"\x37\xa4\x30\xec" else trained[0][-(SIZE - 4096) :]
-    return (trained[0] or b"\0" * CODE, trained[1] or b"\0" * CODE), (b"\1" * (CODE * len(order)) + ground or b"\0" * CODE, b"".join(order) + ground or b"\0" * CODE)
+        own, other, kind = found[int(label)], found[1 - int(label)], int(label)
+        for w in _windows(c):
+            left = b"".join(x for x in _words(w) if own[x] >= LEAST and own[x] * (n[1 - kind] + 1) > ODDS * (other[x] + 0.5) * n[kind])
+            if left:
+                out[kind][left] = None
+    return list(out[0]), list(out[1])
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
@@ -144,27 +135,27 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     codes = [coder.encode(t) for t in texts]
     rate = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -30.0
     if not 0 < y.sum() < len(y):
-        return Model(((b"\0" * CODE, b"\0" * CODE),) * 2, (1, 1), (rate,) + (0.0,) * 11)
+        return Model(bytes(CODE), bytes(CODE), 1, (rate,) + (0.0,) * 6)
     apart = np.array([zlib.crc32((t or "").encode()) % 4 == 0 for t in texts])
     if not all(0 < y[k].sum() < k.sum() for k in (apart, ~apart)):
         made = judged = np.arange(len(y))
     else:
         made, judged = np.flatnonzero(~apart), np.flatnonzero(apart)
-    model = Model(_pairs([codes[k] for k in made], y[made]), (1, 1), ())
+    model = Model(*map(_train, _residues([codes[k] for k in made], y[made])), 1, ())
     tools, y = model.tools(), y[judged]
     gaps = [model.gaps(coder, tools, texts[k]) for k in judged]
-    top = np.array([g.max(axis=1, initial=0) for g in gaps])
-    # the thresholds that tell the texts apart best, by their largest gap
-    gap = tuple(max(range(2, 4 * CODE), key=lambda k: (t >= k)[y == 1].mean() - (t >= k)[y == 0].mean()) for t in top.T)
+    top = np.array([g.max(initial=0) for g in gaps])
+    # the threshold that tells the texts apart best, by their largest gap
+    gap = max(range(2, 4 * CODE), key=lambda k: (top >= k)[y == 1].mean() - (top >= k)[y == 0].mean())
     w = _logistic(np.array([_features(g, gap) for g in gaps]), y.astype(float))
-    return Model(model.pairs, gap, tuple(w.tolist()))
+    return Model(model.ordinary, model.toxic, gap, tuple(w.tolist()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> tuple[list, list]:
     """Texts and labels to learn from: a bounded number of rows that aren't held out."""
-    own = labels.where("toxic is not null").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    own = own.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(toxic).union(own.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(ordinary))
-    rows = docs.select("doc_id", "text").join(own, "doc_id").orderBy("doc_id").collect()
+    own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    own = own.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic).union(own.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ordinary))
+    rows = docs.select("doc_id", "text").join(own, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
@@ -178,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 512)
                 gaps = [model.gaps(coder, tools, x.as_py()) for x in part.column(1)]
                 s = [model.score(g) for g in gaps]
-                cols = [part.column(0), pa.array(s), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([g.shape[1] for g in gaps], pa.int64()), pa.array([model.hits(g) for g in gaps], pa.int64())]
+                cols = [part.column(0), pa.array(s), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([len(g) for g in gaps], pa.int64()), pa.array([int((g >= model.gap).sum()) for g in gaps], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", "n_windows", "n_hits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, n_windows long, n_hits long")
