@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group counts as hot when it holds over 1/HOT_SHARE of the rows, so at most HOT_SHARE groups can be hot.
@@ -69,6 +69,32 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return near.unionByName(far)
 
 
+#: Bits for each id of a bitmap, and its bounds (4 KiB to 32 MiB).
+_ID_BITS, _LEAST_BITS, _MOST_BITS, _BLOCK = 8, 1 << 15, 1 << 28, 1 << 15
+
+
+def bit_set(bitmap: Column, slot: Column) -> Column:
+    """Whether the bit of ``slot`` is set in the ``bitmap`` of its block."""
+    p = F.pmod(slot, F.lit(_BLOCK))
+    byte = F.conv(F.hex(bitmap.substr((p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod(p, F.lit(8)).cast("int") + 1)) != 0
+
+
+def touched(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with __maybe, false only where the ``key`` isn't among ``ids``: rows that need no join don't move.
+
+    A bitmap of hashes, of at most 32 MiB whatever the input, is broadcast; once it fills up, more rows are let through.
+    """
+    m, n = _LEAST_BITS, ids.count()
+    while m < min(n * _ID_BITS, _MOST_BITS):
+        m *= 2
+    slot = F.pmod(F.xxhash64(key), F.lit(m))
+    block = (slot / _BLOCK).cast("long")
+    bits = stage(ids.select(slot.alias("s"), block.alias("__block")).groupBy("__block").agg(F.bitmap_construct_agg(F.pmod("s", F.lit(_BLOCK))).alias("__bits")))
+    out = rows.withColumn("__block", block).join(F.broadcast(bits), "__block", "left")
+    return out.withColumn("__maybe", F.coalesce(bit_set(F.col("__bits"), slot), F.lit(False))).drop("__block", "__bits")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a long, b long): columns node, root (the smallest member).
 

@@ -99,22 +99,29 @@ def test_every_pair_within_four_bits_shares_a_chain():
         assert any((a ^ b) & mask == 0 and list(simhash._forest(fp, start, 4)) for start, mask in keys)
 
 
-def brute_spans(rows, length):
+def covered(rows, units, length, elsewhere):
+    """Positions of units in strings of ``length`` that start elsewhere too, by row; or that another row has."""
     seen = {}
-    for d, t, *_ in rows:
-        b = (t or "").encode()
-        for p in range(len(b) - length + 1):
-            seen.setdefault(b[p : p + length], []).append((d, p))
-    cover = {d: set() for d, *_ in rows}
+    for k, u in enumerate(units):
+        for p in range(len(u) - length + 1):
+            seen.setdefault(tuple(u[p : p + length]), []).append((k, p))
+    cover = [set() for _ in rows]
     for at in seen.values():
-        if len(at) > 1:
-            for d, p in at:
-                cover[d].update(range(p, p + length))
+        if len(at) > 1 and (not elsewhere or len({k for k, _ in at}) > 1):
+            for k, p in at:
+                cover[k].update(range(p, p + length))
+    return cover
+
+
+def runs(positions):
+    return sum(1 for p in positions if p - 1 not in positions)
+
+
+def brute_spans(rows, length, words=51):
+    data = [(t or "").encode() for _, t, *_ in rows]
     out = set()
-    for d, t, *_ in rows:
-        b, c = (t or "").encode(), cover[d]
-        runs = sum(1 for p in c if p - 1 not in c)
-        out.add((d, len(b), len(c), runs, hashlib.sha256(bytes(x for p, x in enumerate(b) if p not in c)).hexdigest()))
+    for r, b, c, w in zip(rows, data, covered(rows, data, length, False), covered(rows, [b.split() for b in data], words, True), strict=True):
+        out.add((r[0], len(b), len(c), runs(c), hashlib.sha256(bytes(x for p, x in enumerate(b) if p not in c)).hexdigest(), runs(w), len(w)))
     return out
 
 
@@ -126,22 +133,51 @@ def test_suffix_repeats(spark):
         rows.append((len(rows), "".join(parts[k][: int(rng.integers(40, 150))] for k in rng.integers(0, 6, 8)), None, None, 0))
     want = brute_spans(rows, 400)
     assert {tuple(r) for r in suffix.remove_repeats(table(spark, rows, extra=True)).collect()} == want
-    want = brute_spans(rows, 90)
+    want = brute_spans(rows, 90, 14)
     for group in (suffix.GROUP, 2):
-        assert {tuple(r) for r in suffix.remove_repeats(table(spark, rows), 90, 30, group).collect()} == want
+        assert {tuple(r) for r in suffix.remove_repeats(table(spark, rows), 90, 30, group, 14, 4).collect()} == want
     assert suffix.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_passages_need_another_document(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+    a, b = word(60), word(60)
+    # twice in one text alone; once alone and once in two texts, with other white space; 50 words only
+    texts = [f"{a} {word(9)} {a}", f"{b} {word(20)} {b}", word(30) + "\n" + b.replace(" ", "  "), word(50), "x " * 300]
+    rows = [(k, t, None, None, 0) for k, t in enumerate([*texts, texts[3] + " tail"])]
+    got = suffix.remove_repeats(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in got} == {0: (0, 0), 1: (2, 120), 2: (1, 60), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+    assert {tuple(r) for r in got} == brute_spans(rows, 400)
+
+
+def test_suffix_groups_hold_every_occurrence(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    part = word(500)
+    rows = [(k, word(50 * k + 50) + part + word(70), None, None, 0) for k in range(4)]
+    found = suffix.groups(table(spark, rows).selectExpr("doc_id uid", "text")).distinct().collect()
+    union = {k: {p for r in found if r.uid == k for p in range(r.s, r.e)} for k in range(4)}
+    assert union == {k: set(range(50 * k + 50, 50 * k + 550)) for k in range(4)}
+    assert all(len({r.uid for r in found if r.repeat == x}) == 4 for x in {r.repeat for r in found})
+
+
 def test_suffix_long_texts_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    long = "".join(rng.choice(list("abcdefgh"), 30000))
+    long = "".join(rng.choice(list("abcdefgh    "), 30000))
     rows = [(1, long + long[5000:5600] + "x" * 900, None, None, 0), (2, long[29000:], None, None, 0), (3, "y" * 399 + long[100:499], None, None, 0)]
-    roll = suffix.Roller()
-    whole = suffix._of_texts(roll, [rows[0][1].encode()], np.array([1]), 400, 128)
-    a = {tuple(x) for b in whole for x in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+
+    def anchors():
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([rows[0][1]])], names=["uid", "text"])
+        found = [tuple(x) for b in suffix._find(400, 128, 51, 8)(iter([batch])) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        assert len(found) == len(set(found))
+        return set(found)
+
+    whole = anchors()
     monkeypatch.setattr(suffix, "_CHUNK", 2000)
-    b = {tuple(x) for b in suffix._of_texts(roll, [rows[0][1].encode()], np.array([1]), 400, 128) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)}
-    assert a == b
+    assert anchors() == whole
     monkeypatch.undo()
     assert {tuple(r) for r in suffix.remove_repeats(table(spark, rows)).collect()} == brute_spans(rows, 400)
 
