@@ -275,8 +275,12 @@ def repeats(before: list[bytes], after: list[bytes], length: int, unit: int = 1,
     return out
 
 
-def _search(length: int, unit: int):
-    """Repeats in each anchor's group: kind, the digest of what repeats, and where, for members that are one occurrence."""
+def _search(length: int, unit: int, each: bool):
+    """Repeats in each anchor's group, and where, for members that are one occurrence.
+
+    With ``each`` there is a row for every repeat, with its digest; else one for what a member's repeats, which all hold
+    the anchor, cover together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,8 +293,9 @@ def _search(length: int, unit: int):
                 for m, spans in zip(x, found, strict=True):
                     # all windows of a context that several documents have repeat already
                     if m["n"] == 1 or (unit > 1 and m["uid"] == m["other"]):
-                        for a, b in set(spans):
-                            told = hashlib.blake2b(m["before"][: a * unit] + b"|" + m["after"][: b * unit], digest_size=16).digest()
+                        own = set(spans) if each else {(max(a for a, _ in spans), max(b for _, b in spans))} if spans else ()
+                        for a, b in own:
+                            told = hashlib.blake2b(m["before"][: a * unit] + b"|" + m["after"][: b * unit], digest_size=16).digest() if each else None
                             rows.append((told, m["h"], m["uid"], m["pos"], m["n"], a, b))
             if rows:
                 types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
@@ -356,11 +361,11 @@ def groups(texts: DataFrame, kind: int = BYTES_KIND, length: int = LENGTH, gram:
 
     A repeat that is longer than its anchors' contexts comes in parts that overlap.
     """
-    found, members, near = _tree(texts, {kind: (length, gram)}, group)
+    found, members, near = _tree(texts, {kind: (length, gram)}, group, True)
     return _spread(found, members, near.where(F.col("kind") == kind), {kind: (length, gram)}).select("repeat", "uid", "s", "e")
 
 
-def _tree(texts: DataFrame, sizes: dict[int, tuple[int, int]], group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tree(texts: DataFrame, sizes: dict[int, tuple[int, int]], group: int, each: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Anchors, their members (occurrences with one context), and the repeats found in the trees."""
     b, w = sizes.get(BYTES_KIND, (1 << 40, 1)), sizes.get(WORDS_KIND, (1 << 40, 1))
     found = stage(texts.select("uid", "text").mapInArrow(_find(*b, *w), "kind byte, uid long, pos int, h long, ctx binary"))
@@ -381,7 +386,7 @@ def _tree(texts: DataFrame, sizes: dict[int, tuple[int, int]], group: int) -> tu
     for kind, (length, _) in sizes.items():
         unit = CODE if kind == WORDS_KIND else 1
         own = ctx.where(F.col("kind") == kind)
-        tree = own.where("not hot").groupBy("h").agg(F.collect_list(F.struct("h", "uid", "other", "pos", "n", "before", "after")).alias("x")).select("x").mapInArrow(_search(length, unit), _FOUND)
+        tree = own.where("not hot").groupBy("h").agg(F.collect_list(F.struct("h", "uid", "other", "pos", "n", "before", "after")).alias("x")).select("x").mapInArrow(_search(length, unit, each), _FOUND)
         wide = own.where("hot").select("h", "uid", "other", "pos", "n", "before", "after").mapInArrow(_windows(length, unit), "w binary, h long, uid long, other long, pos int, n long, left int")
         wide = stage(wide)
         if unit == 1:  # a window that holds two anchors is hashed for both

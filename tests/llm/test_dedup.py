@@ -155,7 +155,7 @@ def test_suffix_groups_hold_every_occurrence(spark):
     rng = np.random.default_rng(7)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
     part = word(500)
-    rows = [(k, word(50 * k + 50) + part + word(70), None, None, 0) for k in range(4)]
+    rows = [(k, word(50 * k + 49) + str(k) + part + str(k + 4) + word(70), None, None, 0) for k in range(4)]
     found = suffix.groups(table(spark, rows).selectExpr("doc_id uid", "text")).distinct().collect()
     union = {k: {p for r in found if r.uid == k for p in range(r.s, r.e)} for k in range(4)}
     assert union == {k: set(range(50 * k + 50, 50 * k + 550)) for k in range(4)}
