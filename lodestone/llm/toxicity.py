@@ -3,7 +3,8 @@
 Words are lower-cased, stripped of punctuation and written as fixed-width codes, so that matches are of whole words and
 not of syllables. Two dictionaries are trained with zstandard, one on the windows of toxic labelled texts, the other on
 those of ordinary ones. Before that, windows are cut to the words that a class has in ``LEAST`` documents or more and
-``ODDS`` times as often as the other, as what both share would fill either dictionary alike and tell nothing. Each window of
+``ODDS`` times as often as the other, as what both share would fill either dictionary alike and tell nothing; of the odds
+listed, those count whose dictionaries tell the calibration texts apart best. Each window of
 a text, with a run of zeros behind it so that its block is always worth compressing, is then compressed by both; the
 bytes that the toxic one saves are its gap. A text's score is a logistic function of how many windows reach the
 calibrated gap, of their share, the largest and the mean gap. Dictionaries are made of three quarters of the training
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 TOXIC, ORDINARY = 3000, 5000
 CODE, WINDOW, STEP = 8, 8, 8
-SIZE, LEAST, ODDS = 1 << 13, 4, 8
+SIZE, LEAST, ODDS = 1 << 13, 4, (8.0, 1.5)
 #: Behind each window: its match pays for the block's tables, so that what else a dictionary saves shows byte by byte.
 RUN = bytes(32)
 _CACHED = 300_000
@@ -114,7 +115,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.01) -> np.ndarray:
     return w
 
 
-def _residues(codes: list[bytes], y: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def _residues(codes: list[bytes], y: np.ndarray, odds: float) -> tuple[list[bytes], list[bytes]]:
     """Distinct windows of the ordinary and of the toxic texts, cut to the words that tell their class."""
     found, n = (Counter(), Counter()), [max(1, int((y == kind).sum())) for kind in (0, 1)]
     for c, label in zip(codes, y, strict=True):
@@ -123,7 +124,7 @@ def _residues(codes: list[bytes], y: np.ndarray) -> tuple[list[bytes], list[byte
     for c, label in zip(codes, y, strict=True):
         own, other, kind = found[int(label)], found[1 - int(label)], int(label)
         for w in _windows(c):
-            left = b"".join(x for x in _words(w) if own[x] >= LEAST and own[x] * (n[1 - kind] + 1) > ODDS * (other[x] + 0.5) * n[kind])
+            left = b"".join(x for x in _words(w) if own[x] >= LEAST and own[x] * (n[1 - kind] + 1) > odds * (other[x] + 0.5) * n[kind])
             if left:
                 out[kind][left] = None
     return list(out[0]), list(out[1])
@@ -141,14 +142,20 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         made = judged = np.arange(len(y))
     else:
         made, judged = np.flatnonzero(~apart), np.flatnonzero(apart)
-    model = Model(*map(_train, _residues([codes[k] for k in made], y[made])), 1, ())
-    tools, y = model.tools(), y[judged]
-    gaps = [model.gaps(coder, tools, texts[k]) for k in judged]
-    top = np.array([g.max(initial=0) for g in gaps])
-    # the threshold that tells the texts apart best, by their largest gap
-    gap = max(range(2, 4 * CODE), key=lambda k: (top >= k)[y == 1].mean() - (top >= k)[y == 0].mean())
-    w = _logistic(np.array([_features(g, gap) for g in gaps]), y.astype(float))
-    return Model(model.ordinary, model.toxic, gap, tuple(w.tolist()))
+    found = []
+    for odds in ODDS:
+        model = Model(*map(_train, _residues([codes[k] for k in made], y[made], odds)), 1, ())
+        tools, told = model.tools(), y[judged]
+        gaps = [model.gaps(coder, tools, texts[k]) for k in judged]
+        top = np.array([g.max(initial=0) for g in gaps])
+        # the threshold that tells the texts apart best, by their largest gap
+        gap = max(range(2, 4 * CODE), key=lambda k: (top >= k)[told == 1].mean() - (top >= k)[told == 0].mean())
+        x = np.array([_features(g, gap) for g in gaps])
+        w = _logistic(x, told.astype(float))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        loss = -np.log(np.where(told == 1, p, 1 - p)).mean()
+        found.append((loss, Model(model.ordinary, model.toxic, gap, tuple(w.tolist()))))
+    return min(found, key=lambda f: f[0])[1]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> tuple[list, list]:

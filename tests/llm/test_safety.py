@@ -112,13 +112,37 @@ def test_toxicity_without_telling_words():
     ys = [k % 2 for k in range(800)]
     texts = [text(y) for y in ys]
     coder = toxicity.Coder()
-    assert not toxicity._telling([coder.encode(t) for t in texts[:600]], np.array(ys[:600]))
+    assert toxicity._residues([coder.encode(t) for t in texts[:600]], np.array(ys[:600]), 8.0) == ([], [])
     m = toxicity.fit(texts[:600], ys[:600])
     tools = m.tools()
     got = [m.score(m.gaps(coder, tools, t)) >= 0.5 for t in texts[600:]]
     assert np.mean(np.array(got) == np.array(ys[600:])) > 0.9
 
 
+def test_toxicity_lengths_are_those_of_plain_compression():
+    rows = toxic_rows()
+    m = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    gaps = m.gaps(toxicity.Coder(), m.tools(), rows[0][1])
+    import xxhash
+    import zstandard
+
+    words = re.findall(r"[a-z]+", rows[0][1].lower())
+    codes = [xxhash.xxh64_digest(w.encode()) for w in words]
+    size = []
+    for content in (m.ordinary, m.toxic):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(3, min_match=5, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(compression_params=p)
+        size.append([len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(b"".join(codes[k : k + 8]) + bytes(32))) for k in range(0, len(codes), 8)])
+    assert gaps.tolist() == [a - b for a, b in zip(*size, strict=True)] and gaps.max() >= m.gap
+
+
+def test_toxicity_learns_once_from_repeated_ids(spark):
+    docs = table(spark, [(1, "b", None, None, 0), (1, "a", None, None, 0), (3, None, None, None, 0)], extra=True)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels) == (["a", None], [1, 0])
+
+
 def test_toxicity_without_labels():
     for texts, ys in (([], []), (["a b"], [0]), (["a b"], [1])):
         m = toxicity.fit(texts, ys)
