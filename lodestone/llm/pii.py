@@ -1,14 +1,19 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts: leftmost, without overlap
-in a kind, checked by value. They are the seeds, each with the two words before its start in the whole text. Every
-token with a digit that no seed overlaps is an instance too, and the two words before it are its lexical pattern. On the bipartite graph of patterns and instance values confidence goes back and
-forth: a pattern has the mean confidence of its distinct values, with one more unconfirmed; a value that is no seed
-the chance that not all of its patterns are wrong. Patterns with enough seeds and confidence then give the values
-in their place as identifiers not seen before, kind ``id``; base spans stay.
-
-Everything is DataFrame operations; one scan reads the texts, and what moves is instances. Null texts count as empty.
-Any number of rows may share an id, or have none. Positions are in code points. An empty table gives an empty result.
+in a kind, checked by value. They are seed entities, and so are tokens that look like secrets (``SECRET``). Every other
+token with a digit, of ``SHORTEST`` to ``LONGEST`` code points and apart from base spans, is an instance too. Lexical patterns are
+induced from what stands around an instance in the whole text, and from its shape (letters, digits, marks): the two words before
+it, the word before it with the shape, the shape with the word behind it, and the shape alone (not of secrets, as their look made
+them seeds). On the bipartite graph of patterns and instance values confidence goes back and forth: a pattern has the mean
+confidence of its distinct values, with one more unconfirmed; a value that is no seed the chance that not all of its
+patterns with ``SUPPORT`` seeds are wrong. It ends when the patterns' mean moves by less than ``STILL`` and as many are
+trusted as before, or after ``ROUNDS``. Patterns with enough seeds and confidence then give the values in their place as
+identifiers, kind ``id``; base spans stay. A secret is given only where a trusted pattern has it.
+
+Everything is DataFrame operations; one scan reads the texts, and what moves is instances. Work is linear in a text's
+length. Null texts count as empty. Any number of rows may share an id, or have none; other columns are ignored. Positions are in
+code points. Repeated rows give equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,40 +22,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm._common import attach, stage
+from lodestone.llm._common import attach, stage, touched
 
 KINDS = ("email", "ip", "card", "phone")
-#: The loops that end a pattern are possessive: nothing follows, so they match alike, and never run out of stack.
+#: Loops are possessive where nothing that follows can match in them, and a match starts where a run does (or the last match
+#: ended), so that every run is read once.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must have for the pattern to be worth a look.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-INSTANCE = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
-ROUNDS, SUPPORT, SURE = 3, 3, 0.7
-_SPANS = "array<struct<start:int,end:int,x:string>>"
-_TOKENS = "array<struct<x:string,g:int,before:string>>"
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "token": "[0-9]"}
+#: A word with a digit.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Digests and keys by their look: hexadecimal of the usual lengths with letters and digits, and known prefixes.
+SECRET = r"^(?:(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})|(?:sk-|ghp_|AKIA)[A-Za-z0-9_-]{16,})$"
+ROUNDS, STILL, SUPPORT, SURE = 20, 1e-3, 3, 0.7
+SHORTEST, LONGEST = 5, 256
+_BLOCK = 1024
+_FOUND = "array<struct<start:int,end:int,x:string,left:string,right:string>>"
 
 
-def _pairs(text: Column, pattern: str) -> Column:
-    """Array of (x, g): the pattern's matches, each with the gap ahead of it."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("x"), g.alias("g")))
+def _last_words(s: Column) -> Column:
+    """The end of ``s``: two words, with what parts them from the rest."""
+    return F.reverse(F.regexp_extract(F.reverse(s), r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,2}+[\x20\x09-\x0D]?", 0))
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, x) of the pattern's matches."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _matches(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``rows`` (with a column text) with, for each pattern, an array of start, end, x, left and right of its matches.
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["g"])
-        end = start + F.length(p["x"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["x"].alias("x")))).alias("out"))
+    Left are the last two words before, right is the next behind. Each step is a projection of its own, so that
+    arrays are made once and not again for every element; positions add up in blocks, not along the whole array.
+    """
+    keep = rows.columns
+    own = lambda k: F.col("text").rlike(HINTS[k])
+    none = F.array().cast("array<string>")
+    found = [F.when(own(k), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"f_{k}") for k, p in patterns.items()]
+    gaps = [F.when(own(k), F.split("text", p, -1)).otherwise(none).alias(f"g_{k}") for k, p in patterns.items()]
+    rows = rows.select(*keep, *found, *gaps)
 
-    return F.aggregate(_pairs(text, pattern), first, step, lambda acc: acc["out"])
+    def told(k: str) -> Column:
+        f, g = F.col(f"f_{k}"), F.col(f"g_{k}")
+        at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+        def one(x: Column, i: Column) -> Column:
+            left = F.concat(at(f, i - 2), _last_words(at(g, i - 1)), at(f, i - 1), _last_words(F.get(g, i)))
+            right = F.regexp_extract(F.concat(F.get(g, i + 1), at(f, i + 1)), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)
+            return F.struct(x.alias("x"), F.length(F.get(g, i)).alias("g"), F.length(x).alias("n"), _last_words(left).alias("left"), right.alias("right"))
+
+        return F.transform(f, one).alias(f"t_{k}")
+
+    rows = rows.select(*keep, *[told(k) for k in patterns])
+
+    def blocks(k: str) -> Column:
+        t = F.col(f"t_{k}")
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, v: F.struct((acc["at"] + v["g"] + v["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v["g"])).alias("out"))
+        each = F.transform(F.sequence(F.lit(0), ((F.size(t) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(t, b * _BLOCK + 1, F.lit(_BLOCK)), first, step))
+        return F.when(F.size(t) > 0, each).otherwise(F.array().cast("array<struct<at:int,out:array<int>>>")).alias(f"b_{k}")
+
+    rows = rows.select(*keep, *[f"t_{k}" for k in patterns], *[blocks(k) for k in patterns])
+    before = lambda k: F.aggregate(f"b_{k}", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"]))).alias(f"o_{k}")
+    rows = rows.select(*keep, *[f"t_{k}" for k in patterns], *[f"b_{k}" for k in patterns], *[before(k) for k in patterns])
+
+    def placed(k: str) -> Column:
+        starts = F.flatten(F.zip_with(f"b_{k}", F.slice(f"o_{k}", F.lit(1), F.size(f"b_{k}")), lambda b, o: F.transform(b["out"], lambda s: s + o)))
+        return F.zip_with(f"t_{k}", starts, lambda v, s: F.struct(s.alias("start"), (s + v["n"]).alias("end"), v["x"].alias("x"), v["left"].alias("left"), v["right"].alias("right"))).cast(_FOUND).alias(k)
+
+    return rows.select(*keep, *[placed(k) for k in patterns])
 
 
 def _digits(x: Column) -> Column:
@@ -77,53 +118,59 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Valid spans of each kind."""
-    none = F.array().cast(_SPANS)
-    good = {k: (lambda kind: lambda s: _valid(kind, s["x"]))(k) for k in KINDS}
-    return {k: F.when(text.rlike(HINTS[k]), F.filter(_spans(text, PATTERNS[k]), good[k])).otherwise(none) for k in KINDS}
-
-
 def _told(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
-def _tidy(left: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(left)), r"[\x20\x09-\x0D]+", " ")
+def _plain(words: Column) -> Column:
+    """Words in lower case, with one space between and 0 for numbers."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " "))), "[0-9]+", "0"), r"^[^\p{L}\p{N}=:#]+(?=[\p{L}\p{N}])", "")
 
 
-def _seeds(text: Column, spans: Column) -> Column:
-    """Array of (start, end, x, left) of the spans; left is the two words before the start's own word, read backwards from it."""
-    back = F.reverse(text)
-    two = lambda s: F.regexp_extract(F.substring(back, F.length(back) - s["start"] + 1, F.greatest(s["start"], F.lit(1))), r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1)
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["x"].alias("x"), _tidy(F.reverse(F.when(s["start"] > 0, two(s)).otherwise(""))).alias("left")))
+def shape(value: Column) -> Column:
+    """Digits as 9, runs of letters as a, hexadecimal of 16 and more by its length; marks as they are."""
+    hexed = value.rlike(r"^(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}$")
+    plain = F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a")
+    return F.when(hexed, F.concat(F.lit("hex"), F.length(value).cast("string"))).otherwise(plain)
 
 
 def instances(rows: DataFrame) -> DataFrame:
-    """A row for each valid base span, and for each token with a digit apart from these: rid, start, end, value, pattern, seed."""
-    x = rows.select("rid", F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("own"), F.posexplode("tokens").alias("k", "t"))
-    by = Window.partitionBy("rid").orderBy("k")
-    ends = F.sum(F.col("t.g") + F.length("t.x")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    # tokens are whole words, so the two before one reach back over two tokens at most
-    ahead = F.concat(F.coalesce(F.lag("t.x", 2).over(by), F.lit("")), F.coalesce(F.lag("t.before", 1).over(by), F.lit("")), F.coalesce(F.lag("t.x", 1).over(by), F.lit("")), "t.before")
-    x = x.withColumn("at", ends - F.length("t.x")).withColumn("ahead", F.reverse(ahead)).where("length(t.x) >= 5")
-    left = F.reverse(F.regexp_extract("ahead", r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1))
-    lead = F.length(F.regexp_extract("t.x", r"^[^\p{L}\p{N}+]*", 0))
-    core = F.regexp_replace("t.x", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    out = x.select("rid", (F.col("at") + lead).cast("int").alias("start"), core.alias("value"), _tidy(left).alias("pattern"), F.lit(False).alias("seed"), "own")
-    out = out.withColumn("end", F.col("start") + F.length("value"))
-    out = out.where(~F.exists("own", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("own")
-    seeds = rows.select("rid", F.explode("seeds").alias("s")).select("rid", F.col("s.start").alias("start"), F.col("s.x").alias("value"), F.col("s.left").alias("pattern"), F.lit(True).alias("seed"), F.col("s.end").alias("end"))
-    return out.unionByName(seeds).where("pattern != '' and length(value) >= 5")
+    """A row for each valid base span, and each token with a digit apart from these: rid, start, end, value, base, seed, patterns."""
+    t = rows.select("rid", F.explode("token").alias("s"))
+    lead = F.length(F.regexp_extract("s.x", r"^[^\p{L}\p{N}+]*+", 0))
+    core = F.regexp_replace("s.x", r"^[^\p{L}\p{N}+]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    start = (F.col("s.start") + lead).cast("int")
+    t = t.select("rid", start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), "s.left", "s.right", F.lit(False).alias("base"))
+    b = rows.select("rid", F.explode(F.concat(*KINDS)).alias("s")).select("rid", "s.start", "s.end", F.col("s.x").alias("value"), "s.left", "s.right", F.lit(True).alias("base"))
+    x = t.where(F.length("value").between(SHORTEST, LONGEST)).unionByName(b)
+    by = Window.partitionBy("rid").orderBy("start", F.desc("base"), "end")
+    past = F.max(F.when(F.col("base"), F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), "base", F.desc("end"))  # frames that grow cost one pass
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("past", F.coalesce(past, F.lit(0))).withColumn("ahead", F.coalesce(ahead, F.col("end")))
+    x = x.where("base or (past <= start and ahead >= end)").where(F.length("value").between(SHORTEST, LONGEST)).drop("past", "ahead")
+    secret = ~F.col("base") & F.col("value").rlike(SECRET)
+    two, behind = _plain(F.col("left")), _plain(F.col("right"))
+    x = x.withColumn("two", two).withColumn("one", F.substring_index(two, " ", -1)).withColumn("behind", behind).withColumn("shape", shape(F.col("value"))).withColumn("secret", secret)
+    told = lambda ok, *parts: F.when(ok, F.concat(*parts))
+    bar, one = F.lit("|"), F.col("one") != ""
+    patterns = F.array_compact(F.array(
+        told(F.col("two").contains(" "), F.lit("l2:"), "two"),
+        told(one, F.lit("l1:"), "one", bar, "shape"),
+        told(F.col("behind") != "", F.lit("r1:"), "shape", bar, "behind"),
+        told(~F.col("secret"), F.lit("s:"), "shape"),
+    ))
+    return x.select("rid", "start", "end", "value", "base", (F.col("base") | F.col("secret")).alias("seed"), patterns.alias("patterns"))
 
 
 def score(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
-    """Patterns that are trusted (pattern, conf) and the confidence of values (value, conf)."""
-    edges = stage(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    """Patterns that are trusted (pattern, conf, m: distinct values) and the confidence of values (value, conf)."""
+    edges = stage(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     # a value counts once for each pattern, and its seeds are those of any place
     values = stage(edges.groupBy("value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.when(F.max("seed"), 1.0).otherwise(0.0).alias("conf")))
     total = edges.count()
-    patterns = None
+    trust = (F.col("seeds") >= support) & (F.col("p") >= sure)
+    patterns = last = None
     for _ in range(rounds):
         rated = attach(edges.select("pattern", "value"), values.select("value", "n", "conf", "seed"), "value", "n", total)
         patterns = stage(rated.groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("p"), F.count_if("seed").alias("seeds"), F.count("*").alias("m")))
@@ -131,26 +178,32 @@ def score(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure:
         back = attach(edges.select("pattern", "value", "seed"), known.select("pattern", "p", "m"), "pattern", "m", total)
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))
         values = stage(back.groupBy("value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.when(F.max("seed"), 1.0).otherwise(1 - wrong).alias("conf")))
-    trusted = patterns.where((F.col("seeds") >= support) & (F.col("p") >= sure)).select("pattern", F.col("p").alias("conf"), "m")
-    return trusted, values
+        now = patterns.agg(F.coalesce(F.avg("p"), F.lit(0.0)), F.count_if(trust)).first()
+        if last and now[1] == last[1] and abs(now[0] - last[0]) < STILL:
+            break
+        last = now
+    return patterns.where(trust).select("pattern", F.col("p").alias("conf"), "m"), values.select("value", "conf")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """One row per row of ``docs``: doc_id, the valid spans of each kind, and ``id``: spans that patterns discovered."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    told = F.transform(_pairs(text, INSTANCE), lambda p: F.struct(p["x"].alias("x"), F.length(p["g"]).alias("g"), F.reverse(F.regexp_extract(F.reverse(p["g"]), r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,2}", 0)).alias("before")))
-    tokens = F.when(text.rlike("[0-9]"), told).otherwise(F.array().cast(_TOKENS))
-    rows = docs.select("doc_id", *[c.alias(k) for k, c in base_spans(text).items()], tokens.alias("tokens"), text.alias("text"))
-    rows = rows.withColumn("seeds", _seeds(F.col("text"), F.concat(*KINDS))).drop("text")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = _matches(rows, {**PATTERNS, "token": TOKEN}).drop("text")
+    for kind in KINDS:
+        rows = rows.withColumn(kind, F.filter(kind, (lambda k: lambda s: _valid(k, s["x"]))(kind)))
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()))
     found = stage(instances(rows))
     trusted, values = score(found, rounds, support, sure)
-    new = found.where("not seed").join(trusted.select("pattern"), "pattern", "left_semi").join(values.where(F.col("conf") >= sure).select("value"), "value", "left_semi")
-    ids = new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("id"))
-    out = rows.drop("tokens", "seeds").join(ids.hint("merge"), "rid", "left").drop("rid")
-    own = F.concat(*[F.col(k) for k in KINDS])
-    new = F.filter("id", lambda s: ~F.exists(own, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    return out.withColumn("id", F.coalesce(new, F.array().cast("array<struct<start:int,end:int>>")))
+    open_ = found.where("not base")
+    counts = stage(open_.groupBy("value").agg(F.count("*").alias("c")).join(values.where(F.col("conf") >= sure).select("value"), "value"))
+    new = attach(open_.select("rid", "start", "end", "value", F.explode("patterns").alias("pattern")), stage(trusted.select("pattern", "m")), "pattern", "m", open_.count())
+    new = attach(new.select("rid", "start", "end", "value").distinct(), counts, "value", "c", open_.count())
+    ids = stage(new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("id")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    out = touched(rows.drop("token"), ids.select("rid"), "rid")
+    near = out.where("__maybe").drop("__maybe").join(ids.hint("merge"), "rid", "left")
+    out = near.unionByName(out.where("not __maybe").drop("__maybe").withColumn("id", none)).drop("rid")
+    return out.withColumn("id", F.coalesce("id", none))
 
 
 def op2_contextual_pii(spark, sf_dir: str) -> DataFrame:
@@ -159,4 +212,5 @@ def op2_contextual_pii(spark, sf_dir: str) -> DataFrame:
     base = F.array_join(F.concat(*[_told(k, F.col(k)) for k in KINDS]), ",")
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     spans = F.array_join(F.concat(*[_told(k, F.col(k)) for k in (*KINDS, "id")]), ",")
-    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("id").cast("long").alias("n_id"))
+    whole = sum((F.size(k) for k in (*KINDS, "id")), F.lit(0)).cast("long").alias("n_spans")
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("id").cast("long").alias("n_id"), whole)

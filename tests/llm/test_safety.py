@@ -76,6 +76,49 @@ def test_every_base_span_is_a_seed(spark):
     assert all(not v for d, v in got.items() if d < 30)
 
 
+def test_secrets_teach_their_context(spark):
+    rng = random.Random(5)
+    rows = [(k, f"set token = {rng.getrandbits(160):040x}a"[:52] + " in the file", None, None, 0) for k in range(8)]
+    rows += [(20, "set token = hunter2-and-3 in the file", None, None, 0), (21, f"the commit {rng.getrandbits(160):040x} is old, chapter 12345 too", None, None, 0)]
+    got = {r.doc_id: [t[s.start : s.end] for s in r["id"]] for r in pii.find(table(spark, rows)).collect() for t in [dict(x[:2] for x in rows)[r.doc_id]]}
+    assert got[20] == ["hunter2-and-3"] and got[21] == []
+    assert all(len(got[k]) == 1 for k in range(8))
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    texts = ["x" * 1_000_000 + " x@y 1", "7" * 1_000_000, "1." * 300_000, "+1 " * 200_000, "a@" * 300_000 + "1", "a1 b2@c.de " * 30_000]
+    rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    began = time.time()
+    got = {r.doc_id: {k: len(r[k]) for k in pii.KINDS} for r in pii.find(table(spark, rows), rounds=1).collect()}
+    assert time.time() - began < 100
+    assert {k: {kind: n for kind, n in v.items() if n} for k, v in got.items()} == {0: {}, 1: {}, 2: {"ip": 75_000}, 3: {}, 4: {}, 5: {"email": 30_000}}
+
+
+def test_graph_scores(spark):
+    rng = random.Random(9)
+    found = [(f"v{rng.randrange(30)}", k) for k in range(90)]
+    seeds = {f"v{k}" for k in range(0, 30, 2)}
+    found = [(v, v in seeds, [f"p{rng.randrange(6)}", f"q{rng.randrange(12)}"]) for v, _ in found]
+    df = spark.createDataFrame(found, "value string, seed boolean, patterns array<string>")
+    for rounds in (1, 6):
+        trusted, values = pii.score(df, rounds, 3, 0.5)
+        edges = {(p, v) for v, _, ps in found for p in ps}
+        conf, last = {v: float(v in seeds) for v, *_ in found}, None
+        for _ in range(rounds):
+            of = {p: [v for q, v in edges if q == p] for p, _ in edges}
+            p = {q: sum(conf[v] for v in vs) / (len(vs) + 1) for q, vs in of.items()}
+            ok = {q: sum(v in seeds for v in vs) >= 3 for q, vs in of.items()}
+            conf = {v: 1.0 if v in seeds else 1 - float(np.prod([1 - p[q] for q, w in edges if w == v and ok[q]])) for v in conf}
+            now = (sum(p.values()) / len(p), sum(ok[q] and p[q] >= 0.5 for q in p))
+            if last and now[1] == last[1] and abs(now[0] - last[0]) < pii.STILL:
+                break
+            last = now
+        assert {r.pattern: round(r.conf, 6) for r in trusted.collect()} == {q: round(p[q], 6) for q in p if ok[q] and p[q] >= 0.5}
+        assert {r.value: round(r.conf, 6) for r in values.collect()} == {v: round(c, 6) for v, c in conf.items()}
+
+
 def toxic_rows(n=600):
     rng = random.Random(12)
     vocab = [f"{a}{b}{c}" for a in "bdfgkp" for b in "aeiou" for c in "lmnrst"]
