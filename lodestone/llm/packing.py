@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     before = by_part.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     places = _places(plan_packing(counts, capacity))
-    own = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = pieces.withColumn("own", own).join(before, ["part", "length"]).withColumn("rank", F.col("own") + F.col("before"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(places), _PIECES + ", sequence_id long, offset long")
 

@@ -155,9 +155,9 @@ def links(nodes: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame
     if not 0 <= limit <= 4:
         raise ValueError("the ring of five segments holds budgets up to 4 bits")
     keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits")) for k, (_, mask) in enumerate(_keys())])
-    rows = nodes.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.kind", "k.bits")
-    shared = stage(rows.groupBy("kind", "bits").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = rows.join(shared, ["kind", "bits"])
+    rows = nodes.select("fp", "rep", F.explode(keys).alias("k"))
+    shared = stage(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = attach(rows, shared, "k", "n", shared.agg(F.sum("n")).first()[0] or 0).select("fp", "rep", "n", "k.kind", "k.bits")
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.when(parts == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), parts).cast("int"))
     # a part meets itself and every other: (low, high), of which one is its own
