@@ -79,8 +79,8 @@ def changed_files(listing: Column) -> Column:
 
 
 def title(turn_type: Column, tool: Column) -> Column:
-    kind = F.initcap(F.translate(turn_type, "_", " "))
-    return F.when(tool.isNotNull() & (tool != ""), F.concat(kind, F.lit(": "), tool)).otherwise(kind)
+    """The kind of turn before its tool; without a tool, in plain words."""
+    return F.when(tool.isNotNull() & (tool != ""), F.concat_ws(": ", turn_type, tool)).otherwise(F.translate(turn_type, "_", " "))
 
 
 def ngrams(text: Column) -> Column:
@@ -90,6 +90,7 @@ def ngrams(text: Column) -> Column:
     return F.concat(w, pairs)
 
 
+# These words, in this order, decide the mode.
 TEMPORAL_RULES = [
     ("as_of", ("as of", "before ")),
     ("evolution", ("evolve", "history", "over time", "changed over")),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,14 +17,8 @@ def answer_errors(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, errors of answers (query_id, answerability, claims: array of text and citation_ids)."""
     c = answers.select("query_id", F.explode("claims").alias("c")).select("query_id", F.explode("c.citation_ids").alias("evidence_id"))
     lost = c.join(evidence.select("evidence_id"), "evidence_id", "left_anti").groupBy("query_id").agg(F.count_distinct("evidence_id").alias("lost"))
-    x, n = answers.join(lost, "query_id", "left"), F.size("claims")
-    checks = [
-        ("missing_citation", F.coalesce("lost", F.lit(0)) > 0),
-        ("unsupported_with_claims", (F.col("answerability") == "unsupported") & (n > 0)),
-        ("supported_without_claims", (F.col("answerability") != "unsupported") & (n == 0)),
-        ("uncited_claim", F.exists("claims", lambda q: F.size(q["citation_ids"]) == 0)),
-    ]
-    return x.select("query_id", F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks])).alias("errors"))
+    x = answers.join(lost, "query_id", "left")
+    return x.select("query_id", _answer_checks(F.col("answerability"), F.col("claims"), F.coalesce("lost", F.lit(0)) > 0).alias("errors"))
 
 
 def citations(answers: DataFrame, refs: DataFrame) -> DataFrame:
@@ -32,14 +28,33 @@ def citations(answers: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def answer_metrics(answers: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """One row of means: citation precision and recall, groundedness, agreement, false answers."""
+    """query_id and seven metrics of each answer to a known query.
+
+    answers: query_id, answerability, temporal_mode, claims (text, citation_ids), valid, validation_errors;
+    queries: query_id, answerability, temporal_mode, claim_texts.
+    """
+    from lodestone.operators.metrics import semantic_coverage
+
     c = answers.select("query_id", F.explode("claims").alias("c")).select("query_id", F.explode("c.citation_ids").alias("evidence_id")).distinct()
     good = qrels.where("grade > 0").select("query_id", "evidence_id", F.lit(1).alias("ok"))
     by = c.join(good, ["query_id", "evidence_id"], "left").groupBy("query_id").agg(F.count("*").alias("cited"), F.count("ok").alias("right"))
     need = good.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    x = answers.select("query_id", F.col("answerability").alias("said"), "valid").join(queries.select("query_id", F.col("answerability").alias("truth")), "query_id").join(by, "query_id", "left").join(need, "query_id", "left").fillna(0)
-    share = lambda a, b: F.avg(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0))
-    return x.agg(share("right", "cited").alias("citation_precision"), share("right", "relevant").alias("citation_recall"), F.avg(F.col("valid").cast("double")).alias("groundedness"), F.avg((F.col("said") == F.col("truth")).cast("double")).alias("agreement"), F.avg(F.when(F.col("truth") == "unsupported", (F.col("said") != "unsupported").cast("double"))).alias("false_answers"))
+    truth = queries.select("query_id", F.col("answerability").alias("truth"), F.col("temporal_mode").alias("mode"), F.size("claim_texts").alias("wanted"))
+    wanted = queries.join(answers.select("query_id"), "query_id", "left_semi").select("query_id", F.explode("claim_texts").alias("text"))
+    told = semantic_coverage(wanted, answers.select("query_id", F.explode("claims").alias("c")).select("query_id", F.col("c.text").alias("text")))
+    x = answers.join(truth, "query_id").join(by, "query_id", "left").join(need, "query_id", "left").join(told, "query_id", "left").fillna(0, ["cited", "right", "relevant"])
+    share = lambda a, b, none: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(none)
+    late = F.exists("validation_errors", lambda e: F.lower(e).contains("temporal"))
+    return x.select(
+        "query_id",
+        F.when(F.col("wanted") > 0, F.coalesce("claim_coverage", F.lit(0.0))).otherwise(1.0).alias("claim_coverage"),
+        share("right", "cited", F.when(F.col("relevant") > 0, 0.0).otherwise(1.0)).alias("citation_precision"),
+        share("right", "relevant", F.lit(1.0)).alias("citation_recall"),
+        F.col("valid").cast("double").alias("groundedness"),
+        (F.col("answerability") == F.col("truth")).cast("double").alias("answerability_correct"),
+        ((F.col("truth") == "unsupported") & (F.size("claims") > 0)).cast("double").alias("unsupported_false_answer"),
+        ((F.col("temporal_mode") == F.col("mode")) & ~F.coalesce(late, F.lit(False))).cast("double").alias("temporal_correctness"),
+    )
 
 
 Provider = Callable[[dict], dict]
@@ -53,26 +68,123 @@ def offline(request: dict) -> dict:
     return {"answerability": "supported", "claims": [{"text": str(request.get("query", "")), "citation_ids": list(ids)}]}
 
 
-def complete(requests: DataFrame, provider: Provider = offline, retries: int = 3, key: str = "query_id") -> DataFrame:
-    """key, response, error, calls of requests (key, request as JSON): calls the provider, again after errors, ``retries`` times at most."""
+#: What a message or status of a failed call must hold for another try to help.
+PASSING = ("408", "409", "429", "500", "502", "503", "504", "timeout", "timed out")
+
+
+def strict_schema(schema: dict) -> dict:
+    """The JSON schema as strict providers want it: references written out, all properties required, no others."""
+    known = schema.get("$defs", {})
+
+    def strict(node: object) -> object:
+        if isinstance(node, list):
+            return [strict(x) for x in node]
+        if not isinstance(node, dict):
+            return node
+        if str(node.get("$ref", "")).startswith("#/$defs/"):
+            name = node["$ref"].rsplit("/", 1)[1]
+            if name not in known:
+                raise ValueError(f"the schema lacks {name}")
+            return strict(known[name])
+        out = {k: v for k, v in node.items() if k not in ("default", "$defs")}
+        if isinstance(node.get("properties"), dict) or node.get("type") == "object":
+            # maps of any keys have none
+            out["properties"] = node.get("properties") if isinstance(node.get("properties"), dict) else {}
+            out |= {"required": list(out["properties"]), "additionalProperties": False}
+        return {k: ({n: strict(x) for n, x in v.items()} if k == "properties" else v if k == "required" else strict(v)) for k, v in out.items()}
+
+    return strict(schema)
+
+
+def _called(provider: Provider, request: str, retries: int, wait: float, required: tuple[str, ...]) -> tuple[str | None, str | None, int]:
+    """response, error, calls; errors that pass are tried again after waits that double, up to half a minute."""
+    calls = 0
+    while True:
+        calls += 1
+        try:
+            response = provider(json.loads(request))
+            if lacking := [k for k in required if k not in response]:
+                raise ValueError(f"the response lacks {', '.join(lacking)}")
+            return json.dumps(response, sort_keys=True), None, calls
+        except Exception as e:  # a value for the caller, as one bad request must not end the batch
+            passing = not isinstance(e, ValueError | KeyError | TypeError) or any(x in str(e).lower() for x in PASSING)
+            if calls > retries or not passing:
+                return None, str(e), calls
+            time.sleep(min(wait * 2 ** (calls - 1), 30.0))
+
+
+def complete(requests: DataFrame, provider: Provider = offline, retries: int = 3, key: str = "query_id", wait: float = 0.0, at_once: int = 4, required: tuple[str, ...] = ()) -> DataFrame:
+    """key, response, error, calls of requests (key, request as JSON), ``at_once`` of a task's at a time.
+
+    A call that fails is made again, ``retries`` times at most, unless its error is of the request or the response itself.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, request in zip(f[key], f["request"], strict=True):
-                error, calls, response = None, 0, None
-                while response is None and calls <= retries:
-                    calls += 1
-                    try:
-                        response = json.dumps(provider(json.loads(request)), sort_keys=True)
-                    except Exception as e:  # a value for the caller, as one bad request must not end the batch
-                        error = str(e)
-                out.append((k, response, None if response else error, calls))
-            yield pd.DataFrame(out, columns=[key, "response", "error", "calls"])
+        with ThreadPoolExecutor(at_once) as threads:
+            for f in frames:
+                for k in range(0, len(f), 16 * at_once):
+                    part = f.iloc[k : k + 16 * at_once]
+                    found = list(threads.map(lambda r: _called(provider, r, retries, wait, required), part["request"]))
+                    yield pd.DataFrame({key: part[key].to_numpy(), "response": [x[0] for x in found], "error": [x[1] for x in found], "calls": [x[2] for x in found]})
 
     return requests.select(key, "request").mapInPandas(run, f"{key} {dict(requests.dtypes)[key]}, response string, error string, calls int")
 
 
+ANSWER = "struct<answerability:string,temporal_mode:string,answer:string,limitations:array<string>,claims:array<struct<text:string,citation_ids:array<string>>>>"
+
+
+def answer_queries(asked: DataFrame, evidence: DataFrame, provider: Provider = offline, validator: Provider | None = None, regenerations: int = 3) -> DataFrame:
+    """Answers of questions (query_id, query, mode, evidence_ids), made again while their checks fail, ``regenerations`` times at most.
+
+    Questions without evidence are unsupported, and valid, without a call. A round asks the provider for all open questions, with the
+    errors of the round before, and checks citations against what was shown; the last answer stands, valid or not.
+    """
+    from lodestone.operators.partition import _saved
+
+    empty = F.from_json(F.lit('{"answerability":"unsupported","claims":[],"limitations":["no evidence"]}'), ANSWER)
+    shape = lambda df, answer, valid, errors: df.select("query_id", answer.alias("a"), valid.alias("valid"), errors.alias("validation_errors"), "mode")
+    no_errors = F.array().cast("array<string>")
+    out = shape(asked.where(F.size("evidence_ids") == 0), empty, F.lit(True), no_errors)
+    open_ = _saved(asked.where(F.size("evidence_ids") > 0).select("query_id", "query", "mode", "evidence_ids", no_errors.alias("errors")))
+    done = []
+    for attempt in range(regenerations + 1):
+        request = F.to_json(F.struct("query", F.col("mode").alias("temporal_mode"), "evidence_ids", F.col("errors").alias("previous_errors"), F.lit(attempt).alias("attempt")))
+        got = complete(open_.select("query_id", request.alias("request")), provider).join(open_, "query_id")
+        got = got.withColumn("a", F.coalesce(F.from_json("response", ANSWER), empty))
+        shown = got.select("query_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_semi").groupBy("query_id").agg(F.collect_set("evidence_id").alias("shown"))
+        got = got.join(shown, "query_id", "left").withColumn("claims", F.coalesce(F.col("a.claims"), F.array().cast("array<struct<text:string,citation_ids:array<string>>>")))
+        bad = _answer_checks(F.col("a.answerability"), F.col("claims"), F.exists("claims", lambda c: F.size(F.array_except(c["citation_ids"], F.coalesce("shown", no_errors))) > 0))
+        failed = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("provider: "), "error"))).otherwise(bad)
+        got = _saved(got.withColumn("errors", failed).select("query_id", "query", "mode", "evidence_ids", "a", "errors"))
+        if validator:
+            told = complete(got.where(F.size("errors") == 0).select("query_id", F.to_json(F.struct("query", "a", "evidence_ids")).alias("request")), validator)
+            told = told.select("query_id", F.coalesce(F.from_json(F.get_json_object("response", "$.errors"), "array<string>"), no_errors).alias("more"))
+            got = _saved(got.join(told, "query_id", "left").withColumn("errors", F.concat("errors", F.coalesce("more", no_errors))).drop("more"))
+        last = attempt == regenerations
+        good = got if last else got.where(F.size("errors") == 0)
+        done.append(shape(good, F.col("a"), F.size("errors") == 0, F.col("errors")))
+        if last:
+            break
+        open_ = got.where(F.size("errors") > 0).select("query_id", "query", "mode", "evidence_ids", "errors")
+        if not open_.limit(1).count():
+            break
+    for x in done:
+        out = out.unionByName(x)
+    claims = F.coalesce(F.col("a.claims"), F.array().cast("array<struct<text:string,citation_ids:array<string>>>"))
+    return out.select("query_id", F.col("a.answerability").alias("answerability"), F.coalesce(F.col("a.temporal_mode"), "mode").alias("temporal_mode"), claims.alias("claims"), F.col("a.answer").alias("answer"), F.coalesce(F.col("a.limitations"), no_errors).alias("limitations"), "valid", "validation_errors")
+
+
+def _answer_checks(answerability, claims, lost):
+    n = F.size(claims)
+    checks = [
+        ("missing_citation", F.coalesce(lost, F.lit(False))),
+        ("unsupported_with_claims", (answerability == "unsupported") & (n > 0)),
+        ("supported_without_claims", (answerability != "unsupported") & (n == 0)),
+        ("uncited_claim", F.exists(claims, lambda q: F.size(q["citation_ids"]) == 0)),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
+
+
 def cached_complete(requests: DataFrame, cache: DataFrame, provider: Provider = offline, **options) -> DataFrame:
     """Responses by the hash of the request: those in ``cache`` (request_hash, response), and new ones for the rest."""
     r = requests.withColumn("request_hash", F.sha2("request", 256))
@@ -86,12 +198,22 @@ def missing_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def training_triples(queries: DataFrame, qrels: DataFrame, negatives: int = 3) -> DataFrame:
-    """query_id, positive_id, negative_ids: each positive with up to three judged zero, in order of id."""
-    pos = qrels.where("grade >= 2").join(queries.select("query_id"), "query_id", "left_semi").select("query_id", F.col("evidence_id").alias("positive_id"))
+    """query_id, positive_id, negative_ids, excluded_positive_ids: each positive with up to three judged zero, in order of id.
+
+    Where queries have ``positive_ids``, these are the positives that no judgment calls zero; else grades of two and more. What is
+    related is never a negative, and the others that are related are named, for batches to keep apart.
+    """
+    if "positive_ids" in queries.columns:
+        named = queries.select("query_id", F.explode(F.array_distinct("positive_ids")).alias("evidence_id")).join(qrels.select("query_id", "evidence_id", "grade"), ["query_id", "evidence_id"], "left")
+        pos = named.where("coalesce(grade, 3) > 0").select("query_id", F.col("evidence_id").alias("positive_id"))
+    else:
+        pos = qrels.where("grade >= 2").join(queries.select("query_id"), "query_id", "left_semi").select("query_id", F.col("evidence_id").alias("positive_id"))
+    related = qrels.where("grade > 0").select("query_id", "evidence_id").union(pos).distinct()
     w = Window.partitionBy("query_id").orderBy("evidence_id")
-    neg = qrels.where("grade = 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= negatives)
+    neg = qrels.where("grade = 0").join(related, ["query_id", "evidence_id"], "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= negatives)
     neg = neg.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("negative_ids"))
-    return pos.join(neg, "query_id")
+    others = related.groupBy("query_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("related"))
+    return pos.join(neg, "query_id").join(others, "query_id").select("query_id", "positive_id", "negative_ids", F.array_except("related", F.array("positive_id")).alias("excluded_positive_ids"))
 
 
 def isolation_breaches(examples: DataFrame, queries: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -101,17 +223,28 @@ def isolation_breaches(examples: DataFrame, queries: DataFrame, evidence: DataFr
 
 
 def conflict_free_batches(examples: list[dict], size: int) -> list[list[int]]:
-    """Batches of positions in which no example's positive is another's, or one it must not count as negative."""
-    bans = [{e["positive_id"], *e.get("excluded_positive_ids", [])} for e in examples]
-    batches: list[list[int]] = []
+    """Batches of positions in which no example's positive is another's, or one it must not count as negative.
+
+    A batch is told by the positives it has and those it bans, so an example is held against a batch, not its members.
+    """
+    batches: list[tuple[list[int], set, set]] = []
+    open_: list[int] = []
     for i, e in enumerate(examples):
-        for b in batches:
-            if len(b) < size and all(e["positive_id"] not in bans[j] and examples[j]["positive_id"] not in bans[i] for j in b):
-                b.append(i)
+        own, bans = e["positive_id"], {e["positive_id"], *e.get("excluded_positive_ids", [])}
+        for b in open_:
+            at, has, banned = batches[b]
+            if own not in banned and has.isdisjoint(bans):
+                at.append(i)
+                has.add(own)
+                banned |= bans
+                if len(at) == size:
+                    open_.remove(b)
                 break
         else:
-            batches.append([i])
-    return batches
+            batches.append(([i], {own}, set(bans)))
+            if size > 1:
+                open_.append(len(batches) - 1)
+    return [at for at, _, _ in batches]
 
 
 def usage(calls: DataFrame) -> DataFrame:

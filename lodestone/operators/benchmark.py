@@ -66,6 +66,40 @@ def chronological(rows: DataFrame, by: str, mode: str = "neutral") -> DataFrame:
     return rows.withColumn("time_rank", F.row_number().over(order)).drop("__a", "__z")
 
 
+def generation_groups(evidence: DataFrame, of_topic: int = 12, of_session: int = 8) -> DataFrame:
+    """group_id, evidence_id, place of the sources to ask about together: topics with their first parents, and sessions that no topic covers.
+
+    evidence: evidence_id, evidence_type, parent_ids, session_ids. A group's own record has place 0.
+    """
+    topics = evidence.where("evidence_type = 'topic'").select("evidence_id", "parent_ids", "session_ids")
+    covered = topics.select(F.explode("session_ids").alias("session")).distinct()
+    sessions = evidence.where("evidence_type = 'session'").select("evidence_id", "parent_ids", "session_ids")
+    # a session's record stays unless all of its sessions are covered
+    open_ = sessions.select("evidence_id", F.explode("session_ids").alias("session")).join(covered, "session", "left_anti").select("evidence_id").distinct()
+    heads = topics.select("evidence_id", "parent_ids", F.lit(of_topic).alias("most")).unionByName(sessions.join(open_, "evidence_id", "left_semi").select("evidence_id", "parent_ids", F.lit(of_session).alias("most")))
+    members = heads.select(F.col("evidence_id").alias("group_id"), "most", F.posexplode("parent_ids").alias("k", "evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_semi")
+    members = members.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("k"))).where("place <= most")
+    return heads.select(F.col("evidence_id").alias("group_id"), "evidence_id", F.lit(0).alias("place")).unionByName(members.select("group_id", "evidence_id", "place"))
+
+
+def required_ids(queries: DataFrame) -> DataFrame:
+    """evidence_id of all records that queries name as sources or positives; an index must hold them."""
+    named = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("primary_positive_ids", "supporting_positive_ids", "generation_source_ids")])
+    return queries.select(F.explode(named).alias("evidence_id")).distinct()
+
+
+def prompt_items(rows: DataFrame) -> DataFrame:
+    """What a prompt shows of a record: item, a struct of id, type, title, text, time, session ids, commits and up to thirty files."""
+    at = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    return rows.withColumn("item", F.struct("evidence_id", "evidence_type", "title", "text", at.alias("timestamp"), "session_ids", "commit_shas", F.slice("files", 1, 30).alias("files")))
+
+
+def trace_rows(hits: DataFrame, variant: str) -> DataFrame:
+    """Ranked hits as rows of a trace: what evaluation and calibration read again."""
+    names = ("query_id", "evidence_id", "final_rank", "dense_rank", "dense_score", "lexical_rank", "lexical_score", "fusion_score", "temporal_score", "final_score", "group_id", "timestamp")
+    return hits.select(F.lit(variant).alias("variant"), *[F.col(c) if c in hits.columns else F.lit(None).alias(c) for c in names])
+
+
 def query_errors(queries: DataFrame) -> DataFrame:
     """query_id, errors: what forbids a query by its own text."""
     q, n = F.col("query"), text.word_count(F.col("query"))
@@ -73,6 +107,33 @@ def query_errors(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks])).alias("errors"))
 
 
+_CLAIMS = "array<struct<claim_id:string,text:string,supporting_evidence_ids:array<string>,evidence_quotes:map<string,string>>>"
+
+
+def all_query_errors(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, errors: by text, by answerability, and by the records that a query and its claims name.
+
+    queries: query_id, query, answerability, partition, expected_claims, primary_positive_ids, supporting_positive_ids,
+    generation_source_ids; evidence: evidence_id, partition, text.
+    """
+    none = F.array().cast("array<string>")
+    q = queries.withColumn("expected_claims", F.coalesce(F.col("expected_claims").cast(_CLAIMS), F.array().cast(_CLAIMS)))
+    for c in ("primary_positive_ids", "supporting_positive_ids", "generation_source_ids"):
+        q = q.withColumn(c, F.coalesce(c, none))
+    named = F.concat("generation_source_ids", "primary_positive_ids", "supporting_positive_ids", F.flatten(F.transform("expected_claims", lambda c: c["supporting_evidence_ids"])))
+    known = evidence.select("evidence_id", F.col("partition").alias("of"), "text")
+    at = q.select("query_id", "partition", F.explode(F.array_distinct(named)).alias("evidence_id")).join(known.drop("text"), "evidence_id", "left")
+    by_id = at.groupBy("query_id").agg(F.count_if(F.col("of").isNull()).alias("missing"), F.count_if(F.col("of") != F.col("partition")).alias("foreign"))
+    quotes = q.select("query_id", F.explode("expected_claims").alias("c")).select("query_id", F.explode("c.evidence_quotes").alias("evidence_id", "quote"))
+    quotes = quotes.join(known, "evidence_id", "left").groupBy("query_id").agg(F.count_if(~F.coalesce(F.col("text").contains(F.col("quote")), F.lit(False))).alias("unquoted"))
+    x = q.join(query_errors(q), "query_id").join(by_id, "query_id", "left").join(quotes, "query_id", "left").fillna(0, ["missing", "foreign", "unquoted"])
+    claims, positives = F.size("expected_claims") > 0, F.size("primary_positive_ids") + F.size("supporting_positive_ids") > 0
+    unsupported = F.col("answerability") == "unsupported"
+    checks = [("missing_evidence", F.col("missing") > 0), ("other_partition", F.col("foreign") > 0), ("unsupported_with_evidence", unsupported & (claims | positives)), ("supported_without_evidence", ~unsupported & ~(claims & positives)), ("quote_unresolved", F.col("unquoted") > 0)]
+    more = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
+    return x.select("query_id", F.concat("errors", more).alias("errors"))
+
+
 def citation_errors(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, missing, foreign, unquoted: cited ids that don't exist, of other partitions, or without their quote."""
     cited = queries.select("query_id", F.col("partition").alias("own"), F.explode("quotes").alias("evidence_id", "quote"))
@@ -80,6 +141,60 @@ def citation_errors(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     return x.groupBy("query_id").agg(F.count_if(F.col("text").isNull()).alias("missing"), F.count_if(F.col("partition") != F.col("own")).alias("foreign"), F.count_if(~F.col("text").contains(F.col("quote"))).alias("unquoted"))
 
 
+def constraint_errors(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with errors of their values: records, queries, scores or judgments."""
+    n = text.word_count(F.col("query")) if kind == "queries" else None
+    checks = {
+        "records": lambda: [("no_source", F.size("source_refs") < 1)],
+        "queries": lambda: [("length", (n < 4) | (n > 40))],
+        "scores": lambda: [(c, ~F.col(c).between(1, 5)) for c in ("groundedness", "answerability", "sufficiency", "naturalness")],
+        "judgments": lambda: [("grade", ~F.col("grade").between(0, 3))],
+    }[kind]()
+    return rows.withColumn("errors", F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in checks])))
+
+
+def summary(queries: DataFrame) -> DataFrame:
+    """field, value, queries: how many have each answerability, partition, scope and temporal mode; and a digest of all (field hash)."""
+    fields = ("answerability", "partition", "scope", "temporal_mode")
+    rows = queries.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("queries"))
+    own = queries.select(F.sha2(F.to_json(F.struct(*sorted(queries.columns))), 256).alias("d"))
+    whole = own.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("value"), F.count("*").alias("queries"))  # a benchmark's queries
+    return rows.unionByName(whole.select(F.lit("hash").alias("field"), "value", "queries"))
+
+
+def rejections(assessments: DataFrame) -> DataFrame:
+    """issue, n over assessments that weren't accepted: accepted, deterministic_errors, critic_failures, scores (with issues and accepted)."""
+    x = assessments.where(~F.coalesce("accepted", F.lit(False)))
+    own = F.array_compact(F.array(F.when(F.size("deterministic_errors") > 0, F.lit("deterministic")), F.when(F.size("critic_failures") > 0, F.lit("critic_failure"))))
+    issues = ("ambiguity_issue", "leakage_issue", "temporal_issue")
+    of = lambda s: F.array_compact(F.array(*[F.when(F.coalesce(s[i], F.lit("")) != "", F.lit(i)) for i in issues], F.when(~F.coalesce(s["accepted"], F.lit(False)), F.lit("critic_rejected"))))
+    return x.select(F.explode(F.concat(own, F.flatten(F.transform("scores", of)))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def candidate_pool(dense: DataFrame, lexical: DataFrame, neighbours: DataFrame, dated: DataFrame, queries: DataFrame, limit: int = 100, per_source: int = 40) -> DataFrame:
+    """The pool of four rankings of ``per_source``: dense, lexical, by shared metadata, and by time as the query's mode asks.
+
+    dated: query_id, evidence_id, timestamp of records that may be asked for; queries: query_id, mode.
+    """
+    x = dated.join(queries.select("query_id", "mode"), "query_id")
+    new, plain = F.col("mode").isin("current", "latest"), F.col("mode") == "neutral"
+    timed = chronological(x.where(new), "query_id", "latest").unionByName(chronological(x.where(plain), "query_id")).unionByName(chronological(x.where(~new & ~plain), "query_id", "evolution"))
+    timed = timed.where(F.col("time_rank") <= per_source).select("query_id", "evidence_id", F.col("time_rank").alias("rank"))
+    cut = lambda df: df.where(F.col("rank") <= per_source)
+    return pool({"dense": cut(dense), "lexical": cut(lexical), "metadata": cut(neighbours), "time": timed}, limit)
+
+
+def ordered_judgments(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("partition", "query_id", "evidence_id")
+
+
+def shuffled(rows: DataFrame, by: str, seed: int, item: str = "evidence_id") -> DataFrame:
+    """``rows`` with ``place``: a fixed shuffle of each group's items."""
+    from lodestone.functions import ids
+
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(ids.seeded_rank(seed, F.col(by), F.col(item)), item)))
+
+
 def accepted(scores: DataFrame, passes: int = 1) -> DataFrame:
     """query_id, accepted: every pass is there, and good enough in each score."""
     good = F.col("accepted") & (F.col("groundedness") == 5) & (F.col("answerability") >= 4) & (F.col("sufficiency") >= 4) & (F.col("naturalness") >= 3) & (F.coalesce(F.col("issue"), F.lit("")) == "")

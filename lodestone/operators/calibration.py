@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import scoring
 
-FEATURES = ("top_score", "margin_2", "margin_10", "mean_10", "overlap_10", "top_relevance")
+FEATURES = ("top_score", "margin_2", "margin_10", "overlap_10", "likely_10", "mean_relevance_5")
 GATE_AUC, GATE_BALANCED, GATE_RECALL = 0.65, 0.60, 0.80
 
 
@@ -25,13 +25,17 @@ def relevance(hits: DataFrame, xs: list[float], ys: list[float]) -> DataFrame:
     return hits.withColumn("relevance_probability", scoring.interpolate(F.col("dense_score"), xs, ys))
 
 
-def query_features(dense: DataFrame, lexical: DataFrame, xs: list[float], ys: list[float]) -> DataFrame:
-    """query_id and six features of its rankings (rank, score); missing ranks take the last score."""
+def query_features(dense: DataFrame, lexical: DataFrame, xs: list[float], ys: list[float], likely: float = 0.5) -> DataFrame:
+    """query_id and six features of its rankings (rank, score); ranks that are missing of ten take the last score."""
     at = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("score"))), F.min("score"))
-    d = dense.where("rank <= 10").groupBy("query_id").agg(F.max("score").alias("top_score"), (at(1) - at(2)).alias("margin_2"), (at(1) - at(10)).alias("margin_10"), F.round(F.avg("score"), 9).alias("mean_10"))
+    d = dense.where("rank <= 10").withColumn("p", scoring.interpolate(F.col("score"), xs, ys))
+    n, last = F.count("*"), F.min_by("p", F.struct("score", -F.col("rank")))
+    lacking = F.greatest(F.lit(0), 10 - n)
+    over = F.count_if(F.col("p") >= likely) + F.when(last >= likely, lacking).otherwise(0)
+    five = (F.sum(F.when(F.col("rank") <= 5, F.col("p")).otherwise(0.0)) + last * F.greatest(F.lit(0), 5 - n)) / 5
+    d = d.groupBy("query_id").agg(F.max("score").alias("top_score"), (at(1) - at(2)).alias("margin_2"), (at(1) - at(10)).alias("margin_10"), over.cast("double").alias("likely_10"), five.alias("mean_relevance_5"))
     both = dense.where("rank <= 10").join(lexical.where("rank <= 10").select("query_id", "evidence_id"), ["query_id", "evidence_id"]).groupBy("query_id").agg((F.count("*") / 10).alias("overlap_10"))
-    out = d.join(both, "query_id", "left").fillna(0.0, ["overlap_10"])
-    return out.withColumn("top_relevance", scoring.interpolate(F.col("top_score"), xs, ys))
+    return d.join(both, "query_id", "left").fillna(0.0, ["overlap_10"]).select("query_id", *FEATURES)
 
 
 def answerability(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> dict:
@@ -55,6 +59,12 @@ def folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)))
 
 
+def stratified_folds(rows: DataFrame, key: str, label: str = "label", k: int = 5) -> DataFrame:
+    """Folds that each have their share of both labels: rows of a label are dealt in the order of a hash."""
+    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)  # one row for each query
+    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+
+
 def out_of_fold(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Isotonic predictions of each fold from the others: the rows with ``predicted``."""
     f, out = folds(rows, group, k), None
@@ -65,6 +75,78 @@ def out_of_fold(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
     return out.drop("fold")
 
 
+def answer_out_of_fold(rows: DataFrame, key: str = "query_id", k: int = 5) -> DataFrame:
+    """Answerability of each fold from the others: the rows (features, label) with ``predicted``."""
+    f, out = stratified_folds(rows, key, k=k), None
+    for j in range(k):
+        train, part = f.where(F.col("fold") != j), f.where(F.col("fold") == j)
+        if train.select("label").distinct().count() < 2:
+            part = part.withColumn("predicted", F.lit(train.agg(F.avg("label")).first()[0] or 0.0))
+        else:
+            part = answer_probability(part, answerability(train)).withColumnRenamed("answerability_probability", "predicted")
+        out = part if out is None else out.unionByName(part)
+    return out.drop("fold")
+
+
+def fit(pairs: DataFrame, queries: DataFrame, version: str = "1") -> dict:
+    """The calibration of dense scores and of queries, with out-of-fold metrics and gates.
+
+    pairs: query_id, score, label of judged hits; queries: query_id, label (answerable) and the two rankings' features
+    but those that need the relevance fit, given as a function of it.
+    """
+    from lodestone.operators import metrics
+
+    rows = pairs.withColumn("score", F.round("score", metrics.PLACES))
+    xs, ys = isotonic(rows)
+    raw = metrics.best_threshold(rows).first()["threshold"]
+    held = out_of_fold(rows, "query_id").select("label", F.round("predicted", metrics.PLACES).alias("score"))
+    likely = metrics.best_threshold(held).first()["threshold"]
+    relevance = {"x_thresholds": list(map(float, xs)), "y_thresholds": list(map(float, ys)), "raw_score_threshold": raw, "probability_threshold": likely, "enabled_for_filtering": False}
+    relevance["metrics"] = {**metrics.binary_metrics(held, likely).first().asDict(), **metrics.calibration_error(held).first().asDict()}
+    out = {"version": version, "relevance": relevance}
+    asked = queries(xs, ys, likely)
+    if asked.select("label").distinct().count() == 2:
+        told = answer_out_of_fold(asked).select("label", F.round("predicted", metrics.PLACES).alias("score"))
+        at = metrics.best_threshold(told, GATE_RECALL, "balanced_accuracy").first()["threshold"]
+        m = metrics.binary_metrics(told, at).first().asDict()
+        out["answerability"] = {**answerability(asked), "probability_threshold": at, "metrics": m, "enabled_for_abstention": abstention_gate(m["roc_auc"] or 0.0, m["balanced_accuracy"], m["recall"])}
+    return out
+
+
+def runtime(hits: DataFrame, features: DataFrame, artifact: dict) -> DataFrame:
+    """Hits with what the calibration says of them and of their query; none of an abstained query where that is on."""
+    hits = annotate(hits, artifact)
+    if "answerability" not in artifact:
+        return hits
+    model = artifact["answerability"]
+    p = answer_probability(features, model).select("query_id", "answerability_probability")
+    out = hits.join(p, "query_id", "left").withColumn("answerability_threshold", F.lit(model["probability_threshold"]))
+    return out.where(F.col("answerability_probability") >= F.lit(model["probability_threshold"])) if model["enabled_for_abstention"] else out
+
+
+def annotate(hits: DataFrame, artifact: dict, exact_ranks: int = 5) -> DataFrame:
+    """Hits with relevance_probability, calibration_version, passes_relevance_threshold, calibration_filtering_enabled and
+    lexical_rescue; those that don't pass go where filtering is on."""
+    r = artifact["relevance"]
+    rescue = F.coalesce(F.col("lexical_rank") <= exact_ranks, F.lit(False))
+    ok = F.coalesce(F.col("dense_score") >= r["raw_score_threshold"], F.lit(False)) | rescue
+    p = F.coalesce(scoring.interpolate(F.col("dense_score"), r["x_thresholds"], r["y_thresholds"]), F.lit(0.0))
+    enabled = bool(r.get("enabled_for_filtering"))
+    out = hits.withColumn("relevance_probability", p).withColumn("calibration_version", F.lit(artifact["version"])).withColumn("passes_relevance_threshold", ok)
+    out = out.withColumn("calibration_filtering_enabled", F.lit(enabled)).withColumn("lexical_rescue", rescue)
+    return out.where("passes_relevance_threshold") if enabled else out
+
+
+def impact(ranking: DataFrame, qrels: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """stage (before, after a hard threshold on the score) and the means of the retrieval metrics."""
+    from lodestone.operators import metrics
+
+    kept = ranking.where(F.col("score") >= threshold)
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "evidence_id")))
+    told = lambda name, r: metrics.means(metrics.retrieval_metrics(r.select("query_id", "evidence_id", "rank"), qrels, queries)).select(F.lit(name).alias("stage"), "*")
+    return told("before", ranking).unionByName(told("after", kept))
+
+
 def filter_hits(hits: DataFrame, threshold: float, enabled: bool = True, exact_ranks: int = 5) -> DataFrame:
     """Hits over the threshold or among the first lexical ranks; only annotated where the filter is off."""
     ok = F.coalesce(F.col("dense_score") >= threshold, F.lit(False)) | F.coalesce(F.col("lexical_rank") <= exact_ranks, F.lit(False))

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import dot
-from lodestone.operators.lexical import ROUND, _bounded, top
+from lodestone.operators.lexical import _bounded, top
 
-DIMENSIONS = 64
+DIMENSIONS, ROUND = 64, 9
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
@@ -84,3 +84,14 @@ def refresh_vectors(docs: DataFrame, known: DataFrame, encoder: Callable) -> Dat
     kept = known.join(docs.select("evidence_id"), "evidence_id", "left_semi")
     fresh = encode(docs.join(known.select("evidence_id"), "evidence_id", "left_anti"), encoder)
     return kept.select("evidence_id", "vec").unionByName(fresh)
+
+
+def validation_margin(examples: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: margin, the mean of how much nearer the query is to the positive than to its first negative.
+
+    examples: query_id, positive_id, negative_ids; vectors: evidence_id, vec; asked: query_id, vec.
+    """
+    x = examples.where("size(negative_ids) > 0").select("query_id", "positive_id", F.col("negative_ids")[0].alias("negative_id"))
+    of = lambda name: vectors.select(F.col("evidence_id").alias(f"{name}_id"), F.col("vec").alias(name))
+    x = x.join(asked.select("query_id", F.col("vec").alias("q")), "query_id").join(of("positive"), "positive_id").join(of("negative"), "negative_id")
+    return x.agg(F.round(F.avg(dot(F.col("q"), F.col("positive")) - dot(F.col("q"), F.col("negative"))), 6).alias("margin"))

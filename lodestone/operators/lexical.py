@@ -9,14 +9,25 @@ from pyspark.sql.window import Window
 from lodestone.functions import scoring
 from lodestone.functions.text import tokens
 
-ROUND = 9
+#: Scores are sums of many terms; rounding makes equal texts tie, whatever the order of the sums.
+ROUND = 6
+
+
+def tokenized(docs: DataFrame, id_col: str = "evidence_id", text_col: str = "text") -> DataFrame:
+    """id, length, tfs (array of term and tf) of each text: tokens are made once, and terms counted without a shuffle."""
+    w = docs.select(id_col, F.array_sort(tokens(F.col(text_col))).alias("w"))
+    n = F.size("w")
+    at = F.sequence(F.lit(0), n - 1)
+    # where a term's run ends in the sorted tokens
+    ends = F.filter(at, lambda k: (k == n - 1) | (F.get("w", k) != F.get("w", k + 1)))
+    w = w.select(id_col, n.alias("length"), "w", F.when(n > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends"))
+    tf = lambda e, k: (e - F.when(k == 0, -1).otherwise(F.get("ends", k - 1))).cast("long")
+    return w.select(id_col, "length", F.transform("ends", lambda e, k: F.struct(F.get("w", e).alias("term"), tf(e, k).alias("tf"))).alias("tfs"))
 
 
 def postings(docs: DataFrame, id_col: str = "evidence_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, length of every document's terms."""
-    w = docs.select(id_col, tokens(F.col(text_col)).alias("w"))
-    rows = w.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return rows.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+    """id, length, term, tf of every document's terms."""
+    return tokenized(docs, id_col, text_col).select(id_col, "length", F.inline("tfs"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -50,13 +61,36 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     q = query_terms(queries)
     asked = F.broadcast(q.select("term").distinct()) if _bounded(queries) else q.select("term").distinct()
     stats = corpus_stats(docs)
-    rows = docs.select("evidence_id", tokens(F.col("text")).alias("w")).select("evidence_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    posts = rows.join(asked, "term", "left_semi").groupBy("evidence_id", "length", "term").agg(F.count("*").alias("tf"))
+    posts = postings(docs).join(asked, "term", "left_semi")
     terms = term_stats(posts, stats)
-    hits = weights(posts, terms, stats).join(q.join(terms, "term"), "term")
-    score = F.round(F.sum(F.col("weight") * scoring.query_weight(F.col("idf"), F.col("qtf"))), ROUND)
-    hits = hits.groupBy("query_id", "evidence_id").agg(score.alias("score")).where("score > 0")
-    return top(hits, "score", k)
+    return score(weights(posts, terms, stats), q.join(terms, "term"), k)
+
+
+def score(weighed: DataFrame, asked: DataFrame, k: int = 50) -> DataFrame:
+    """The best k of each query: ``weighed`` postings (id, term, weight) against its terms (query_id, term, qtf, idf)."""
+    hits = weighed.join(asked, "term")
+    points = F.round(F.sum(F.col("weight") * scoring.query_weight(F.col("idf"), F.col("qtf"))), ROUND)
+    return top(hits.groupBy("query_id", "evidence_id").agg(points.alias("score")).where("score > 0"), "score", k)
+
+
+def vocabulary(terms: DataFrame) -> DataFrame:
+    """term, term_id: dense ids in the order of terms.
+
+    Ranges of terms are numbered apart and shifted by the sizes of the ranges before, so that no task gets all terms.
+    """
+    from lodestone.operators.partition import _saved
+
+    ranged = _saved(terms.select("term").distinct().repartitionByRange("term").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = sizes.withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1
+    return ranged.withColumn("own", own).join(F.broadcast(before.select("part", "base")), "part").select("term", (F.col("own") + F.col("base")).alias("term_id"))
+
+
+def sparse_arrays(weighed: DataFrame, ids: DataFrame, id_col: str = "evidence_id") -> DataFrame:
+    """id, indices, values: each document's weights as arrays in the order of term ids."""
+    x = weighed.join(ids, "term").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("x"))
+    return x.select(id_col, F.col("x.term_id").alias("indices"), F.col("x.weight").alias("values"))
 
 
 def top(hits: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:

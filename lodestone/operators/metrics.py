@@ -1,11 +1,16 @@
-"""Retrieval and calibration metrics as aggregations."""
+"""Retrieval, answer and calibration metrics as aggregations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import text
+
+#: Scores are rounded to so many places before they are ranked, which bounds how many differ.
+PLACES = 4
+
 
 def graded(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     """The ranking with grades; unjudged is zero."""
@@ -32,20 +37,98 @@ def retrieval_metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame)
     return x.select("query_id", F.round(ndcg, 9).alias("ndcg_10"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr_10"), (F.col("h5") / 5).alias("precision_5"), recall("h20").alias("recall_20"), recall("h50").alias("recall_50"))
 
 
-def binary_metrics(rows: DataFrame) -> DataFrame:
-    """One row: roc_auc, average_precision, brier of (label, score); ties share their rank.
+def temporal_correctness(hits: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, temporal_correctness of hits (query_id, evidence_id, rank, temporal_score, timestamp) by the mode of queries.
+
+    Of the first ten, relevant hits count: for current and latest the first one's freshness, one from a half on; for evolution
+    the days they are of, three for one; other modes need any, and neutral none.
+    """
+    good = graded(hits.where("rank <= 10"), qrels).where("grade > 0").groupBy("query_id").agg(F.min_by("temporal_score", "rank").alias("fresh"), F.count_distinct(F.to_date("timestamp")).alias("days"))
+    x = queries.select("query_id", "mode").join(good, "query_id", "left")
+    value = F.when(F.col("mode") == "neutral", 1.0).when(F.col("fresh").isNull(), 0.0)
+    value = value.when(F.col("mode").isin("current", "latest"), F.when(F.col("fresh") >= 0.5, 1.0).otherwise(F.col("fresh")))
+    value = value.when(F.col("mode") == "evolution", F.least(F.lit(1.0), F.col("days") / 3)).otherwise(1.0)
+    return x.select("query_id", F.round(value, 9).alias("temporal_correctness"))
+
+
+def coverage(ranking: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, evidence_coverage, claim_coverage, answerability_correct of the first twenty ranks.
 
-    Ranks are running sums over the table of distinct scores.
+    judgments: query_id, evidence_id, grade, claims; queries: query_id, answerability, claims (ids expected).
     """
-    by = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"), F.sum(F.pow(F.col("score") - F.col("label"), 2)).alias("sq"))
-    # one window over distinct scores: callers round scores, which bounds them
+    good = judgments.where("grade > 0")
+    found = good.join(ranking.where("rank <= 20").select("query_id", "evidence_id").distinct(), ["query_id", "evidence_id"])
+    n = good.groupBy("query_id").agg(F.count_distinct("evidence_id").alias("relevant"))
+    hit = found.groupBy("query_id").agg(F.count_distinct("evidence_id").alias("covered"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("claims")).alias("claim"))
+    told = asked.join(found.select("query_id", F.explode("claims").alias("claim")).distinct(), ["query_id", "claim"]).groupBy("query_id").agg(F.count("*").alias("told"))
+    x = queries.select("query_id", "answerability", F.size(F.array_distinct("claims")).alias("expected"))
+    for part in (n, hit, told):
+        x = x.join(part, "query_id", "left")
+    x = x.fillna(0, ["relevant", "covered", "told"])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    right = (F.col("covered") > 0) == (F.col("answerability") != "unsupported")
+    return x.select("query_id", share("covered", "relevant").alias("evidence_coverage"), share("told", "expected").alias("claim_coverage"), right.cast("double").alias("answerability_correct"))
+
+
+def means(rows: DataFrame) -> DataFrame:
+    """One row: the mean of each metric over the queries."""
+    return rows.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9).alias(c) for c in rows.columns if c != "query_id"])
+
+
+def all_metrics(hits: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id and the nine metrics; ``hits`` as in ``temporal_correctness``, the others as in ``coverage`` with mode."""
+    ranking = hits.select("query_id", "evidence_id", "rank")
+    out = retrieval_metrics(ranking, judgments.select("query_id", "evidence_id", "grade"), queries)
+    out = out.join(coverage(ranking, judgments, queries), "query_id")
+    return out.join(temporal_correctness(hits, judgments.select("query_id", "evidence_id", "grade"), queries), "query_id")
+
+
+def semantic_coverage(expected: DataFrame, actual: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """query_id, claim_coverage: expected texts (query_id, text) that an actual one is like, by TF-IDF within the query.
+
+    Terms are weighed among a query's own texts, so all moves by query and term.
+    """
+    rows = expected.select("query_id", "text", F.lit(True).alias("wanted")).unionByName(actual.select("query_id", "text", F.lit(False).alias("wanted")))
+    rows = rows.withColumn("k", F.monotonically_increasing_id())
+    terms = rows.select("query_id", "k", "wanted", F.explode(text.ngrams(F.col("text"))).alias("term")).groupBy("query_id", "k", "wanted", "term").agg(F.count("*").alias("tf"))
+    n = rows.groupBy("query_id").agg(F.count("*").alias("n"))
+    df = terms.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(n, "query_id")
+    w = terms.join(df, ["query_id", "term"]).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1.0 + F.col("df"))) + 1))
+    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id", "k"))))
+    a = w.where("wanted").select("query_id", "term", F.col("k").alias("a"), F.col("w").alias("wa"))
+    b = w.where("not wanted").select("query_id", "term", F.col("k").alias("b"), F.col("w").alias("wb"))
+    like = a.join(b, ["query_id", "term"]).groupBy("query_id", "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("s")).where(F.col("s") >= threshold)
+    got = like.groupBy("query_id").agg(F.count_distinct("a").alias("got"))
+    return rows.where("wanted").groupBy("query_id").agg(F.count("*").alias("wanted")).join(got, "query_id", "left").select("query_id", F.round(F.coalesce("got", F.lit(0)) / F.col("wanted"), 9).alias("claim_coverage"))
+
+
+def _by_score(rows: DataFrame, *more: Column) -> DataFrame:
+    """Positives and negatives of each distinct rounded score, with those at or over it and of all; one window over a bounded table."""
+    by = rows.withColumn("score", F.round("score", PLACES)).groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"), *more)
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
-    return run.agg(
-        F.round(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.sum("p") * F.sum("n")), 9).alias("roc_auc"),
-        F.round(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p"), 9).alias("average_precision"),
+    whole = Window.partitionBy(F.lit(0))
+    out = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    return out.withColumn("all_p", F.sum("p").over(whole)).withColumn("all_n", F.sum("n").over(whole))
+
+
+def binary_metrics(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """One row: roc_auc, average_precision, brier of (label, score); ties share their rank. With a threshold also accuracy,
+    balanced_accuracy, precision and recall. Scores count to ``PLACES`` places."""
+    run = _by_score(rows, F.sum(F.pow(F.round("score", PLACES) - F.col("label"), 2)).alias("sq"))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("score") >= F.lit(threshold), F.col(c))), F.lit(0))
+    out = run.agg(
+        F.round(F.try_divide(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)), F.sum("p") * F.sum("n")), 9).alias("roc_auc"),
+        F.round(F.try_divide(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p")), 9).alias("average_precision"),
         F.round(F.sum("sq") / F.sum(F.col("p") + F.col("n")), 9).alias("brier"),
+        *([of("p").alias("tp"), of("n").alias("fp"), F.sum("p").alias("ps"), F.sum("n").alias("ns")] if threshold is not None else []),
     )
+    if threshold is None:
+        return out
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "ps", "ns"))
+    recall = F.when(p > 0, tp / p).otherwise(0.0)
+    told = {"accuracy": (tp + n - fp) / (p + n), "balanced_accuracy": (recall + F.when(n > 0, (n - fp) / n).otherwise(0.0)) / 2, "precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), "recall": recall}
+    return out.select("roc_auc", "average_precision", "brier", *[F.round(c, 9).alias(k) for k, c in told.items()])
 
 
 def reliability_bins(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -59,11 +142,11 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n"), 6).alias("ece"))
 
 
-def best_threshold(rows: DataFrame, min_recall: float = 0.0) -> DataFrame:
-    """The score with the largest F1 among those with enough recall; ties go to the higher."""
-    by = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    x = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("all", F.sum("p").over(whole))
-    x = x.withColumn("f1", F.round(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all")), 9)).where(F.col("tp") >= min_recall * F.col("all"))
-    return x.agg(F.max_by("score", F.struct("f1", "score")).alias("threshold"), F.max("f1").alias("f1"))
+def best_threshold(rows: DataFrame, min_recall: float = 0.0, objective: str = "f1") -> DataFrame:
+    """The score with the largest F1, or balanced accuracy, among those with enough recall; ties go to the higher."""
+    x = _by_score(rows).where(F.col("tp") >= min_recall * F.col("all_p"))
+    recall = F.when(F.col("all_p") > 0, F.col("tp") / F.col("all_p")).otherwise(0.0)
+    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all_p"))
+    value = f1 if objective == "f1" else (recall + F.when(F.col("all_n") > 0, 1 - F.col("fp") / F.col("all_n")).otherwise(0.0)) / 2
+    x = x.withColumn("value", F.round(value, 9))
+    return x.agg(F.max_by("score", F.struct("value", "score")).alias("threshold"), F.max("value").alias("f1" if objective == "f1" else objective))

@@ -52,19 +52,36 @@ def _order() -> list[Column]:
 
 
 def group_hits(hits: DataFrame, limit: int) -> DataFrame:
-    """One hit for each group: its best, raised by a tenth of the second and third; with size and the first ten ids."""
+    """One hit for each group: its best, raised by a tenth of the second and third; with size and the first ten ids.
+
+    Where hits have ``source_refs``, the citations of the first three come along, each place once.
+    """
     w = Window.partitionBy("query_id", "group_id").orderBy(*_order())
     r = hits.withColumn("r", F.row_number().over(w))
     ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 10, F.struct("r", "evidence_id")))), lambda x: x["evidence_id"])
+    more = [F.min_by("timestamp", "r").alias("timestamp")] if "timestamp" in hits.columns else []
+    more += [F.min_by(c, "r").alias(c) for c in ("temporal_score", "dense_score", "dense_rank", "lexical_score", "lexical_rank", "fusion_score") if c in hits.columns]
+    if "source_refs" in hits.columns:
+        refs = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "source_refs")))), lambda x: x["source_refs"]))
+        more.append(distinct_refs(refs).alias("citations"))
     best = r.groupBy("query_id", "group_id").agg(
         F.min_by("evidence_id", "r").alias("evidence_id"),
         F.round(F.max(F.when(F.col("r") == 1, F.col("final_score"))) + 0.1 * F.coalesce(F.sum(F.when(F.col("r").isin(2, 3), F.col("final_score"))), F.lit(0.0)), 12).alias("final_score"),
         F.count("*").alias("group_size"),
         ids.alias("group_member_ids"),
+        *more,
     )
     return final_rank(best, limit)
 
 
+def distinct_refs(refs: Column) -> Column:
+    """The first citation of each place."""
+    from lodestone.operators.evidence import ref_key
+
+    keys = F.transform(refs, ref_key)
+    return F.filter(refs, lambda x, k: F.array_position(keys, ref_key(x)) == k + 1)
+
+
 def final_rank(hits: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(*_order())
     return hits.withColumn("final_rank", F.row_number().over(w)).where(F.col("final_rank") <= limit)
@@ -91,9 +108,26 @@ def diversify(hits: DataFrame, limit: int, target_dates: int = 3) -> DataFrame:
     return out.drop("__day", "__pick", "__days", "__r")
 
 
-def hybrid_search(dense: DataFrame, lexical: DataFrame, payload: DataFrame, queries: DataFrame, *, floor: float = 0.1, weight: float = 0.2, half_life: float = 30, limit: int = 10) -> DataFrame:
-    """Fusion, floor, temporal score, grouping and final rank. payload: evidence_id, timestamp, group_id; queries: query_id, mode, as_of."""
-    at = payload.agg(F.max("timestamp").alias("latest"))
-    hits = fuse(dense, lexical).join(payload, "evidence_id").join(queries, "query_id").crossJoin(F.broadcast(at))
+def latest(rows: DataFrame) -> DataFrame:
+    """One row: the last moment of all indexed records, the reference time where a query has none."""
+    return rows.agg(F.max("timestamp").alias("latest"))
+
+
+def allowed(rows: DataFrame, partitions: list[str] | None) -> DataFrame:
+    """Rows of these partitions; of all where none are named."""
+    return rows if partitions is None else rows.where(F.col("partition").isin(*partitions))
+
+
+def hybrid_search(dense: DataFrame, lexical: DataFrame, payload: DataFrame, queries: DataFrame, *, floor: float = 0.1, weight: float = 0.2, half_life: float = 30, limit: int = 10, at: DataFrame | None = None) -> DataFrame:
+    """Fusion, floor, temporal score, grouping, diversification and final rank.
+
+    payload: evidence_id, timestamp, group_id (and source_refs); queries: query_id, mode, as_of. ``at`` is ``latest`` of all
+    indexed records, where the payload is but part of them. Of three times ``limit`` groups the best stay, those of
+    evolution questions after their dates have been spread.
+    """
+    at = latest(payload) if at is None else at
+    hits = fuse(dense, lexical).join(payload, "evidence_id").join(queries, "query_id").crossJoin(F.broadcast(at))  # one row
     hits = temporal_rerank(relevance_floor(hits, floor), F.col("mode"), F.coalesce("as_of", "latest"), weight, half_life)
-    return group_hits(hits, limit)
+    groups = group_hits(hits, 3 * limit).join(queries.select("query_id", "mode"), "query_id")
+    spread = diversify(groups.where("mode = 'evolution'"), limit)
+    return groups.where(F.col("mode").isNull() | (F.col("mode") != "evolution")).where(F.col("final_rank") <= limit).unionByName(spread)

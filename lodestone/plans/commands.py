@@ -1,4 +1,5 @@
-"""The engine's runs over a folder of logs: validate, prepare, index, query, answer, evaluate, calibrate, audit.
+"""The engine's runs over a folder of logs: validate, prepare, index, query, answer, evaluate, calibrate, audit,
+generate, judge, answer-benchmark and train.
 
 Each step reads the tables of the one before from ``out`` and writes its own there, so a step can be run again alone.
 Texts and vectors stay in tables; only counts and metrics come to the driver.
@@ -12,20 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import scoring, text
-from lodestone.functions.ids import json_list
-from lodestone.operators import answering, calibration, dense, evidence, lexical, metrics, partition, search
-from lodestone.sources import tables
+from lodestone.functions import text
+from lodestone.functions.ids import stable_id
+from lodestone.operators import answering, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
+from lodestone.sources import artifacts, tables
 
 PARTITIONS = ("train", "validation", "evaluation")
 QUERY_PREFIX = "Find evidence for the question: "
-#: Every record's columns; those that a kind lacks are null or empty.
-COLUMNS = {
-    "evidence_id": "string", "evidence_type": "string", "title": "string", "text": "string", "content_hash": "string", "timestamp": "timestamp", "branch": "string",
-    "turn_type": "string", "session_ids": "array<string>", "files": "array<string>", "source_file": "string", "source_row": "long",
-}
-
-
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -35,50 +29,27 @@ def _state(spark: SparkSession, data: str) -> Row:
     return answering.file_state(spark, data).agg(F.count("*"), F.sum("size"), F.sum(F.xxhash64("path", "size", "modificationTime").cast("decimal(38,0)"))).first()
 
 
-def _shaped(df: DataFrame, source: str) -> DataFrame:
-    df = df.withColumn("source_file", F.lit(source))
-    if "session_ids" not in df.columns:
-        df = df.withColumn("session_ids", F.array_compact(F.array("session_id")) if "session_id" in df.columns else _empty())
-    for name, kind in COLUMNS.items():
-        if name not in df.columns:
-            df = df.withColumn(name, _empty() if kind.startswith("array") else F.lit(None).cast(kind))
-    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in COLUMNS.items()])
-
-
-def _listed(df: DataFrame, column: str) -> DataFrame:
-    """A JSON list column as ``files``."""
-    return df.withColumn("files", json_list(F.col(column)) if column in df.columns else _empty())
-
-
-def build_evidence(spark: SparkSession, data: str, transcripts: bool = True, **flags) -> DataFrame:
-    """Records of turns, transcripts, checkpoints, commits and sessions."""
+def build_evidence(spark: SparkSession, data: str, transcripts: bool = True, chosen: DataFrame | None = None, **flags) -> DataFrame:
+    """Records of turns, transcripts, checkpoints, commits and sessions; of the ``chosen`` sessions, where given."""
     get = lambda name: tables.read_table(spark, data, name)
     turns, points, commits, sessions = get("conversations"), get("checkpoints"), get("commits"), get("sessions")
-    if "file_path" in turns.columns:
-        turns = turns.withColumn("files", F.array_compact(F.array("file_path")))
-    dated = "commit_date" if "commit_date" in commits.columns else None
-    out = [
-        _shaped(evidence.conversation_evidence(turns, **flags), "conversations.parquet"),
-        _shaped(_listed(evidence.checkpoint_evidence(points), "files_touched"), "checkpoints.parquet"),
-        _shaped(evidence.commit_evidence(commits.withColumn("timestamp", F.col(dated) if dated else F.lit(None).cast("timestamp")), points), "commits.parquet"),
-    ]
-    cards = evidence.session_cards(turns.withColumn("turn", F.col("source_row")))
-    cards = tables.last_wins(sessions, "session_id").join(cards, "session_id", "left")
-    body = F.concat_ws("\n", F.concat(F.lit("Session "), F.col("session_id")), F.concat(F.lit("User requests:\n"), F.nullif("prompts", F.lit(""))), F.concat(F.lit("Final responses:\n"), F.nullif("responses", F.lit(""))))
-    cards = _listed(cards, "files_touched").withColumn("timestamp", F.col("created_at"))
-    out.append(_shaped(evidence.records(cards, "session", [F.col("session_id")], F.concat(F.lit("Session "), F.col("session_id")), body), "sessions.parquet"))
-    logs = tables.last_wins(get("session_logs").where("transcript_path is not null"), "transcript_path")
-    if transcripts and logs.limit(1).count():
-        for r in logs.where(F.col("transcript_path").rlike(r"^/|(^|/)\.\.(/|$)")).limit(1).collect():
+    logs = get("session_logs")
+    conv = evidence.shaped(evidence.conversation_evidence(evidence.of_sessions(turns, chosen), **flags))
+    point = evidence.shaped(evidence.checkpoint_evidence(tables.last_wins(points, "checkpoint_pk"), chosen))
+    comm = evidence.shaped(evidence.commit_evidence(commits, tables.last_wins(points, "checkpoint_pk"), chosen))
+    told = None
+    by = tables.last_wins(logs, "session_id").where("transcript_path is not null")
+    if transcripts and by.limit(1).count():
+        for r in by.where(F.col("transcript_path").rlike(r"^/|(^|/)\.\.(/|$)")).limit(1).collect():
             tables.check_relative(r["transcript_path"])
-        events = tables.read_transcripts(spark, f"{data}/transcripts")
-        told = evidence.transcript_evidence(events.withColumn("path", F.regexp_extract("path", r"transcripts/.*$", 0)))
-        by = logs.select(F.regexp_replace("transcript_path", r"^(?!transcripts/)", "transcripts/").alias("path"), "session_id")
-        out.append(_shaped(told.join(by, "path"), "transcripts/"))
-    whole = out[0]
-    for df in out[1:]:
-        whole = whole.unionByName(df)
-    return whole
+        events = tables.read_transcripts(spark, f"{data}/transcripts").withColumn("path", F.regexp_extract("path", r"transcripts/.*$", 0))
+        paths = evidence.of_sessions(by, chosen).select(F.regexp_replace("transcript_path", r"^(?!transcripts/)", "transcripts/").alias("path"), "session_id")
+        told = evidence.shaped(evidence.transcript_evidence(events.join(paths, "path"), **flags))
+    related = tables.relations(sessions, logs, turns, points, commits).drop("commit_shas", "created_at")
+    cards = tables.last_wins(sessions, "session_id").drop("checkpoint_ids").join(related, "session_id").join(by.select("session_id", F.col("source_row").alias("log_row")), "session_id", "left")
+    cards = evidence.shaped(evidence.session_evidence(evidence.of_sessions(cards, chosen), conv, told, point, comm))
+    whole = conv.unionByName(point).unionByName(comm).unionByName(cards)
+    return whole.unionByName(told) if told is not None else whole
 
 
 def partitioned(records: DataFrame, sessions: DataFrame, validation_from: str, evaluation_from: str) -> DataFrame:
@@ -94,28 +65,40 @@ def validate(spark: SparkSession, data: str) -> dict:
     return tables.validate(spark, data)
 
 
-def prepare(spark: SparkSession, data: str, out: str, validation_from: str, evaluation_from: str, **flags) -> dict:
-    """Writes evidence, with topics within each partition; returns counts. Raises if a session is in two partitions."""
+def prepare(spark: SparkSession, data: str, out: str, validation_from: str, evaluation_from: str, pilot: int = 0, seed: int = 7, **flags) -> dict:
+    """Writes evidence, with topics within each partition, and the run's manifest; returns counts.
+
+    A ``pilot`` of so many sessions is drawn, unless it is zero. Raises if a session is in two partitions.
+    """
     before = _state(spark, data)
     sessions = tables.read_table(spark, data, "sessions")
-    tables.write_table(partitioned(build_evidence(spark, data, **flags), sessions, validation_from, evaluation_from), f"{out}/records")
+    chosen = None
+    if pilot:
+        asked = evidence.optional(tables.last_wins(sessions, "session_id"), "agent", "user_id", "files_touched_count")
+        tables.write_table(partition.pilot(asked, pilot, seed), f"{out}/pilot")
+        chosen = spark.read.parquet(f"{out}/pilot")
+    tables.write_table(partitioned(build_evidence(spark, data, chosen=chosen, **flags), sessions, validation_from, evaluation_from), f"{out}/records")
     records = spark.read.parquet(f"{out}/records")
     whole = records
     for name in PARTITIONS:
         topics = evidence.topic_evidence(records.where(F.col("partition") == name).where(F.col("evidence_type").isin("session", "commit")))
-        whole = whole.unionByName(_shaped(topics, "sessions.parquet").withColumn("partition", F.lit(name)))
+        whole = whole.unionByName(evidence.shaped(topics).withColumn("partition", F.lit(name)))
     tables.write_table(whole, f"{out}/evidence", ["partition"])
     found = spark.read.parquet(f"{out}/evidence")
-    partition.assert_isolated(found.select("partition", F.explode("session_ids").alias("session")), ["session"])
+    keys = found.select("partition", F.explode("session_ids").alias("session"))
+    partition.assert_isolated(keys, ["session"])
     if _state(spark, data) != before:
         raise RuntimeError("the source tables changed during the run")
-    counts = {f"{r['partition']}/{r['evidence_type']}": r["count"] for r in found.groupBy("partition", "evidence_type").count().collect()}
-    return {"quality": evidence.quality(found).first().asDict(), "counts": dict(sorted(counts.items()))}
+    counts = {f"{r['partition']}/{r['evidence_type']}": r["records"] for r in partition.report_types(found).collect()}
+    by_type = {r["evidence_type"]: {"records": r["records"], "unresolved": r["unresolved"]} for r in evidence.quality_by_type(found).collect()}
+    config = {"validation_from": validation_from, "evaluation_from": evaluation_from, "pilot": pilot, "seed": seed, **flags}
+    artifacts.write_document(spark, f"{out}/manifests/prepare.json", artifacts.run_manifest(spark, "prepare", data, config, counts))
+    return {"quality": evidence.quality(found).first().asDict(), "by_type": by_type, "counts": dict(sorted(counts.items()))}
 
 
-def index(spark: SparkSession, out: str, encoder: Callable | None = None) -> dict:
-    """Writes vectors (those of unchanged records are used again) and weighed postings."""
-    rows = evidence.select_index(spark.read.parquet(f"{out}/evidence"))
+def index(spark: SparkSession, out: str, encoder: Callable | None = None, queries: DataFrame | None = None) -> dict:
+    """Writes vectors (those of unchanged records are used again) and weighed postings, of the records that ``queries`` name too."""
+    rows = evidence.select_index(spark.read.parquet(f"{out}/evidence"), None if queries is None else benchmark.required_ids(queries))
     try:
         known = spark.read.parquet(f"{out}/vectors")
     except Exception as e:
@@ -138,51 +121,162 @@ def rankings(spark: SparkSession, out: str, queries: DataFrame, rows: DataFrame,
     vectors = spark.read.parquet(f"{out}/vectors").join(allowed, "evidence_id", "left_semi")
     asked = dense.encode(queries.select("query_id", F.col("query").alias("text")), encoder or dense.hashing_encoder(), QUERY_PREFIX, "query_id")
     words = lexical.query_terms(queries).join(spark.read.parquet(f"{out}/terms"), "term")
-    hits = spark.read.parquet(f"{out}/weights").join(allowed, "evidence_id", "left_semi").join(words, "term")
-    score = F.round(F.sum(F.col("weight") * scoring.query_weight(F.col("idf"), F.col("qtf"))), lexical.ROUND)
-    hits = hits.groupBy("query_id", "evidence_id").agg(score.alias("score")).where("score > 0")
-    return dense.knn(vectors, asked, k), lexical.top(hits, "score", k)
+    weighed = spark.read.parquet(f"{out}/weights").join(allowed, "evidence_id", "left_semi")
+    return dense.knn(vectors, asked, k), lexical.score(weighed, words, k)
 
 
-def query(spark: SparkSession, out: str, queries: DataFrame, *, as_of: str | None = None, filters: dict | None = None, limit: int = 10, **options) -> DataFrame:
-    """Ranked hits of queries (query_id, query, and mode where known), with title, text and time."""
-    rows = spark.read.parquet(f"{out}/evidence")
+def _moded(queries: DataFrame) -> DataFrame:
+    return queries if "mode" in queries.columns else queries.withColumn("mode", text.temporal_mode(F.col("query")))
+
+
+def query(spark: SparkSession, out: str, queries: DataFrame, *, as_of: str | None = None, filters: dict | None = None, limit: int = 10, partitions: list[str] | None = None, artifact: dict | None = None, **options) -> DataFrame:
+    """Ranked hits of queries (query_id, query, and mode where known), with title, text, time and citations.
+
+    ``partitions`` are those whose records may be found; an ``artifact`` of ``calibrate`` annotates the hits.
+    """
+    whole = spark.read.parquet(f"{out}/evidence")
+    rows = search.allowed(whole, partitions)
     moment = F.lit(as_of).cast("timestamp")
     if filters:
         rows = search.metadata_filter(rows, filters)
     if as_of:
         rows = search.as_of(rows, moment)
-    if "mode" not in queries.columns:
-        queries = queries.withColumn("mode", text.temporal_mode(F.col("query")))
-    payload = rows.select("evidence_id", "timestamp", F.coalesce(F.get("session_ids", F.lit(0)), "evidence_id").alias("group_id"))
+    queries = _moded(queries)
+    payload = rows.select("evidence_id", "timestamp", "source_refs", F.coalesce("topic_key", F.get("session_ids", F.lit(0)), "evidence_id").alias("group_id"))
     d, x = rankings(spark, out, queries, rows)
-    hits = search.hybrid_search(d, x, payload, queries.select("query_id", "mode", moment.alias("as_of")), limit=limit, **options)
-    return hits.join(rows.select("evidence_id", "evidence_type", "title", "text", "timestamp", "source_file", "source_row"), "evidence_id")
+    indexed = whole.join(spark.read.parquet(f"{out}/vectors").select("evidence_id"), "evidence_id", "left_semi")
+    hits = search.hybrid_search(d, x, payload, queries.select("query_id", "mode", moment.alias("as_of")), limit=limit, at=search.latest(indexed), **options)
+    if artifact:
+        hits = calibration.runtime(hits, _features(d, x, artifact["relevance"]), artifact)
+    return hits.join(rows.select("evidence_id", "evidence_type", "title", "text"), "evidence_id")
 
 
-def answer(spark: SparkSession, out: str, queries: DataFrame, provider: Callable = answering.offline, **options) -> DataFrame:
-    """query_id, response, error, calls: answers from the hits; a query without any is unsupported."""
-    hits = query(spark, out, queries, **options)
+def _features(d: DataFrame, x: DataFrame, relevance: dict) -> DataFrame:
+    return calibration.query_features(d, x, relevance["x_thresholds"], relevance["y_thresholds"], relevance["probability_threshold"])
+
+
+def _shown(spark: SparkSession, out: str, queries: DataFrame, **options) -> DataFrame:
+    """Questions with the ids of their hits that fit the context, in rank order."""
+    hits = benchmark.context(query(spark, out, queries, **options), "query_id", [F.col("final_rank")])
     found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "evidence_id"))), lambda h: h["evidence_id"]).alias("evidence_ids"))
-    asked = queries.select("query_id", "query").join(found, "query_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", _empty()))
-    return answering.complete(asked.select("query_id", F.to_json(F.struct("query", "evidence_ids")).alias("request")), provider)
+    return _moded(queries).select("query_id", "query", "mode").join(found, "query_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", _empty()))
+
 
+def answer(spark: SparkSession, out: str, queries: DataFrame, provider: Callable = answering.offline, **options) -> DataFrame:
+    """Answers from the hits, checked and made again where they fail; a query without any hit is unsupported. With citations."""
+    rows = spark.read.parquet(f"{out}/evidence")
+    told = answering.answer_queries(_shown(spark, out, queries, **options), rows, provider)
+    refs = answering.citations(told, rows).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", "source"))).alias("citations"))
+    return told.join(refs, "query_id", "left")
 
-def evaluate(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame, **options) -> DataFrame:
-    """variant and means of the retrieval metrics: dense, lexical, and hybrid."""
-    d, x = rankings(spark, out, queries, spark.read.parquet(f"{out}/evidence"))
-    h = query(spark, out, queries, limit=50, **options).withColumnRenamed("final_rank", "rank")
+
+def answer_benchmark(spark: SparkSession, out: str, queries: DataFrame, provider: Callable = answering.offline, **options) -> dict:
+    """Answers the queries that have no valid answer yet, one folder of JSON each; counts."""
+    schema = "query_id string, valid boolean"
+    try:
+        known = artifacts.read_answers(spark, f"{out}/answers", schema)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = spark.createDataFrame([], schema)
+    open_ = queries.join(answering.missing_answers(queries, known), "query_id", "left_semi")
+    tables.write_table(answer(spark, out, open_, provider, **options), f"{out}/answers.new")
+    new = spark.read.parquet(f"{out}/answers.new")
+    new.withColumn("__of", F.col("query_id")).write.mode("append").partitionBy("__of").json(f"{out}/answers")
+    return {"answered": new.count(), "valid": new.where("valid").count()}
+
+
+def offline_questions(request: dict) -> dict:
+    """A generator for use without a model: one question of the first source's title, with a quote of its text."""
+    first = request["items"][0]
+    quote = first["text"][:40]
+    claim = {"claim_id": "c1", "text": quote, "supporting_evidence_ids": [first["evidence_id"]], "evidence_quotes": {first["evidence_id"]: quote}}
+    return {"queries": [{"query": " ".join(f"What was done about {first['title']}".split()[:30]), "answerability": "supported", "scope": request.get("scope", "single"), "expected_claims": [claim], "positive_ids": [first["evidence_id"]]}]}
+
+
+_MADE = "struct<queries:array<struct<query:string,answerability:string,scope:string,expected_claims:array<struct<claim_id:string,text:string,supporting_evidence_ids:array<string>,evidence_quotes:map<string,string>>>,positive_ids:array<string>>>>"
+
+
+def generate(spark: SparkSession, out: str, provider: Callable = offline_questions) -> dict:
+    """Writes a benchmark of questions about groups of sources, checked, without those that say the same; counts by issue."""
+    rows = benchmark.prompt_items(spark.read.parquet(f"{out}/evidence"))
+    groups = benchmark.generation_groups(rows).join(rows, "evidence_id")
+    packets = benchmark.packet(groups, "group_id", [F.col("place"), F.col("evidence_id")])
+    items = packets.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id", "item"))), lambda x: x["item"]).alias("items"), F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("generation_source_ids"), F.max_by("partition", -F.col("place")).alias("partition"))
+    got = answering.complete(items.select("group_id", F.to_json(F.struct("items")).alias("request")), provider, key="group_id", required=("queries",)).join(items.drop("items"), "group_id")
+    q = got.select("group_id", "generation_source_ids", "partition", F.posexplode(F.from_json("response", _MADE)["queries"]).alias("k", "q")).select("*", "q.*").drop("q")
+    q = q.withColumn("query_id", stable_id("query", F.col("group_id"), F.col("k"), F.col("query"))).withColumn("primary_positive_ids", F.col("positive_ids")).withColumn("supporting_positive_ids", _empty())
+    q = q.withColumn("temporal_mode", text.temporal_mode(F.col("query"))).drop("k", "positive_ids")
+    tables.write_table(q, f"{out}/queries.made")
+    q = spark.read.parquet(f"{out}/queries.made")
+    errors = benchmark.all_query_errors(q, rows)
+    good = benchmark.exact_dedup(q.join(errors.where(F.size("errors") == 0), "query_id", "left_semi"))
+    kept = benchmark.greedy_keep(good.select("query_id"), benchmark.similar_pairs(good.select("query_id", "query")))
+    tables.write_table(good.join(kept, "query_id", "left_semi"), f"{out}/queries")
+    issues = {r["issue"]: r["n"] for r in errors.select(F.explode("errors").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).collect()}  # a few kinds of issues
+    return {"made": q.count(), "kept": spark.read.parquet(f"{out}/queries").count(), "issues": issues}
+
+
+def offline_judge(request: dict) -> dict:
+    """A judge for use without a model: the highest grade for the sources asked about, one for words in common, else zero."""
+    if request["evidence_id"] in request["positive_ids"]:
+        return {"grade": 3, "claims": ["c1"], "quotes": [request["text"][:40]]}
+    common = {w.lower() for w in request["query"].split() if len(w) > 4} & {w.lower() for w in request["text"].split()}
+    return {"grade": int(len(common) > 1), "claims": ["c1"] if len(common) > 1 else [], "quotes": [request["text"][:40]] if len(common) > 1 else []}
+
+
+def judge(spark: SparkSession, out: str, provider: Callable = offline_judge) -> dict:
+    """Writes grades of the pooled candidates of all questions, with positives as anchors; counts by grade."""
+    rows, queries = spark.read.parquet(f"{out}/evidence"), spark.read.parquet(f"{out}/queries").withColumn("mode", F.col("temporal_mode"))
+    d, x = rankings(spark, out, queries, rows)
+    seeds = queries.select("query_id", F.explode("generation_source_ids").alias("evidence_id")).join(rows.select("evidence_id", "session_ids", "checkpoint_pks", "files"), "evidence_id")
+    near = benchmark.metadata_neighbours(seeds, rows)
+    dated = near.select("query_id", "evidence_id").join(rows.select("evidence_id", "timestamp"), "evidence_id")
+    pooled = benchmark.candidate_pool(d, x, near, dated, queries)
+    own = pooled.join(queries.select("query_id", "query", F.col("primary_positive_ids").alias("positive_ids"), "answerability", "partition"), "query_id").join(rows.select("evidence_id", "text", F.col("partition").alias("of")), "evidence_id").where("of = partition")
+    asked = own.select(F.struct("query_id", "evidence_id").alias("pair"), F.to_json(F.struct("query", "evidence_id", "positive_ids", F.left("text", F.lit(benchmark.ITEM)).alias("text"))).alias("request"))
+    got = answering.complete(asked.withColumn("key", F.to_json("pair")).select("key", "request"), provider, key="key", required=("grade",))
+    shape = "struct<grade:long,claims:array<string>,quotes:array<string>>"
+    got = got.where("response is not null").select(F.from_json("key", "struct<query_id:string,evidence_id:string>").alias("p"), F.from_json("response", shape).alias("r")).select("p.*", "r.*")
+    stands = benchmark.normalized_judgments(got.withColumn("ordinal", F.lit(0).cast("long")), rows, queries)
+    anchors = queries.select("query_id", F.explode("primary_positive_ids").alias("evidence_id"), F.lit(3).cast("long").alias("grade"))
+    claims = stands.select("query_id", "evidence_id", "claims")
+    final = benchmark.judgments(stands, anchors).join(claims, ["query_id", "evidence_id"], "left").withColumn("claims", F.coalesce("claims", _empty()))
+    tables.write_table(final.join(queries.select("query_id", "partition"), "query_id"), f"{out}/judgments")
+    by = spark.read.parquet(f"{out}/judgments").groupBy("grade").count().collect()  # four grades
+    return {str(r["grade"]): r["count"] for r in sorted(by, key=lambda r: r["grade"])}
+
+
+def train(spark: SparkSession, out: str) -> dict:
+    """Writes the training examples of an encoder, isolated from validation and evaluation; the encoder itself is trained elsewhere."""
+    rows, queries = spark.read.parquet(f"{out}/evidence"), spark.read.parquet(f"{out}/queries")
+    own = queries.where("partition = 'train'").withColumn("positive_ids", F.concat("primary_positive_ids", "supporting_positive_ids"))
+    x = answering.training_triples(own, spark.read.parquet(f"{out}/judgments"))
+    if answering.isolation_breaches(x, queries, rows).limit(1).count():
+        raise ValueError("a training example isn't of the training partition")
+    tables.write_table(x, f"{out}/training")
+    return {"examples": spark.read.parquet(f"{out}/training").count()}
+
+
+def evaluate(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame, partitions: list[str] | None = None, **options) -> DataFrame:
+    """variant and means of the retrieval metrics: dense, lexical, and hybrid; over records of ``partitions``."""
+    rows = search.allowed(spark.read.parquet(f"{out}/evidence"), partitions)
+    d, x = rankings(spark, out, queries, rows)
+    h = query(spark, out, queries, limit=50, partitions=partitions, **options).withColumnRenamed("final_rank", "rank")
     whole = None
     for name, ranking in (("dense", d), ("lexical", x), ("hybrid", h)):
         m = metrics.retrieval_metrics(ranking.select("query_id", "evidence_id", "rank"), qrels, queries)
-        m = m.agg(*[F.round(F.avg(c), 9).alias(c) for c in m.columns if c != "query_id"]).select(F.lit(name).alias("variant"), "*")
+        m = metrics.means(m).select(F.lit(name).alias("variant"), "*")
         whole = m if whole is None else whole.unionByName(m)
     return whole
 
 
-def experiment(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame, floors: tuple = (0.0, 0.1, 0.2), weights: tuple = (0.0, 0.1, 0.2, 0.3)) -> DataFrame:
-    """The best trial of a grid of floors and temporal weights on ``queries``: by nDCG, then MRR, then least weight."""
-    rows = spark.read.parquet(f"{out}/evidence")
+def experiment(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame, floors: tuple = (0.0, 0.1, 0.2), weights: tuple = (0.0, 0.1, 0.2, 0.3), partitions: list[str] | None = None) -> DataFrame:
+    """The best trial of a grid of floors and temporal weights on ``queries``: by nDCG, then MRR, then least weight.
+
+    Only records of ``partitions`` are found, so that later evidence doesn't compete in tuning.
+    """
+    rows = search.allowed(spark.read.parquet(f"{out}/evidence"), partitions)
     d, x = rankings(spark, out, queries, rows)
     tables.write_table(search.fuse(d, x).join(rows.select("evidence_id", "timestamp"), "evidence_id"), f"{out}/traces")
     grid = [(k, float(f), float(w)) for k, (f, w) in enumerate((f, w) for f in floors for w in weights)]
@@ -200,22 +294,57 @@ def experiment(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFra
     return calibration.best_trial(by.join(F.broadcast(grid), "trial"))
 
 
-def calibrate(spark: SparkSession, out: str, qrels: DataFrame) -> dict:
-    """Isotonic relevance of dense scores in the experiment's traces: knots, threshold and out-of-fold metrics."""
+def freeze(spark: SparkSession, out: str, trial: dict) -> None:
+    """Writes the chosen trial, once: what is evaluated at the end is what was chosen before."""
+    artifacts.mark_once(spark, f"{out}/frozen.json", trial)
+
+
+def evaluate_once(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame) -> dict:
+    """The frozen trial on the evaluation partition; a second run raises, and so do questions without a valid answer."""
+    trial = artifacts.read_document(spark, f"{out}/frozen.json")
+    answers = artifacts.read_answers(spark, f"{out}/answers", "query_id string, valid boolean")
+    if answering.missing_answers(queries, answers).limit(1).count():
+        raise RuntimeError("some questions have no valid answer")
+    artifacts.mark_once(spark, f"{out}/evaluated.json", {"trial": trial})
+    found = evaluate(spark, out, queries, qrels, ["evaluation"], floor=trial["floor"], weight=trial["weight"])
+    return {r["variant"]: r.asDict() for r in found.collect()}
+
+
+def calibrate(spark: SparkSession, out: str, qrels: DataFrame, queries: DataFrame | None = None) -> dict:
+    """Isotonic relevance of dense scores in the experiment's traces, answerability of queries where their truth is known,
+    out-of-fold metrics, gates, and what a hard threshold would do to retrieval; also written."""
     good = qrels.where("grade > 0").select("query_id", "evidence_id", F.lit(1).alias("label"))
-    rows = spark.read.parquet(f"{out}/traces").where("dense_score is not null").join(good, ["query_id", "evidence_id"], "left")
-    rows = rows.select("query_id", F.round("dense_score", 4).alias("score"), F.coalesce("label", F.lit(0)).alias("label"))
-    xs, ys = calibration.isotonic(rows)
-    held = calibration.out_of_fold(rows, "query_id").select("label", F.round("predicted", 4).alias("score"))
-    return {"knots": [list(map(float, xs)), list(map(float, ys))], "threshold": metrics.best_threshold(rows).first()["threshold"], **metrics.binary_metrics(held).first().asDict(), **metrics.calibration_error(held).first().asDict()}
+    traces = spark.read.parquet(f"{out}/traces").where("dense_score is not null")
+    pairs = traces.join(good, ["query_id", "evidence_id"], "left").select("query_id", F.col("dense_score").alias("score"), F.coalesce("label", F.lit(0)).alias("label"))
+    d = traces.select("query_id", "evidence_id", F.col("dense_rank").alias("rank"), F.col("dense_score").alias("score"))
+    x = spark.read.parquet(f"{out}/traces").where("lexical_rank is not null").select("query_id", "evidence_id", F.col("lexical_rank").alias("rank"), F.col("lexical_score").alias("score"))
+    known = queries if queries is not None and "answerability" in queries.columns else None
+    asked = d.select("query_id").distinct()
+    truth = known.select("query_id", (F.col("answerability") != "unsupported").cast("int").alias("label")) if known is not None else asked.withColumn("label", F.lit(1))
+    fit = calibration.fit(pairs, lambda xs, ys, likely: calibration.query_features(d, x, xs, ys, likely).join(truth, "query_id"))
+    change = {r["stage"]: r.asDict() for r in calibration.impact(d, qrels, asked, fit["relevance"]["raw_score_threshold"]).collect()}
+    b, a = change["before"], change["after"]
+    fit["retrieval_impact"] = change
+    fit["relevance"]["enabled_for_filtering"] = calibration.filter_gate((b["ndcg_10"], a["ndcg_10"]), (b["recall_20"], a["recall_20"]))
+    artifacts.write_document(spark, f"{out}/calibration.json", fit)
+    r = fit["relevance"]
+    return {"knots": [r["x_thresholds"], r["y_thresholds"]], "threshold": r["raw_score_threshold"], **r["metrics"], **{k: fit[k] for k in ("retrieval_impact", "answerability") if k in fit}}
 
 
 def audit(spark: SparkSession, out: str) -> dict:
-    """Counts of records by source, of records from elsewhere, and of ids that repeat."""
+    """Counts of records by source, of citations from elsewhere, of ids that repeat, and the runs that made them."""
     rows = spark.read.parquet(f"{out}/evidence")
-    by = {r["source_file"]: r["count"] for r in rows.groupBy("source_file").count().collect()}  # a row for each source table
-    known = {f"{n}.parquet" for n in tables.REQUIRED} | {"transcripts/"}
-    return {"sources": dict(sorted(by.items())), "outside": sum(n for k, n in by.items() if k not in known), "duplicate_ids": evidence.quality(rows).first()["duplicate_ids"]}
+    refs = rows.select("evidence_id", F.explode("source_refs").alias("r")).select("evidence_id", "r.*")
+    kind = F.when(F.col("source_file").startswith("transcripts/"), "transcripts/").otherwise(F.col("source_file"))
+    by = {r["source_file"]: r["count"] for r in refs.groupBy(kind.alias("source_file")).count().collect()}  # a row for each source table
+    outside = answering.boundary_breaches(refs, [f"{n}.parquet" for n in tables.REQUIRED]).count()
+    try:
+        runs = [r["run_id"] for r in artifacts.read_manifests(spark, f"{out}/manifests").collect()]  # a row for each run
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        runs = []
+    return {"sources": dict(sorted(by.items())), "outside": outside, "duplicate_ids": evidence.quality(rows).first()["duplicate_ids"], "runs": runs}
 
 
 def told(result: DataFrame | dict) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions.ids import json_list
 
+# The tables and columns of the data.
 REQUIRED = {
     "sessions": ["session_id", "repo_id", "created_at", "checkpoint_ids"],
     "session_logs": ["session_id", "transcript_path"],

@@ -40,12 +40,14 @@ def test_commands(spark, folders):
     # pairs share a checkpoint, and go by their later day: February 24, March 4, March 12
     assert of == {"s0": "train", "s1": "train", "s2": "validation", "s3": "validation", "s4": "evaluation", "s5": "evaluation"}
     first = json.loads(run("index"))
+    assert json.loads(run("audit"))["runs"]
     assert first["vectors"] == rows.where("evidence_type != 'transcript'").count() and json.loads(run("index")) == first
     hits = [json.loads(x) for x in run("query", "--text", "error number 3 of the parser").splitlines()]
     assert hits[0]["final_rank"] == 1 and "number 3" in hits[0]["text"]
     old = [json.loads(x) for x in run("query", "--text", "error number 3", "--as-of", "2026-02-25").splitlines()]
     assert old and all(h["timestamp"] <= "2026-02-25" for h in old)
-    assert json.loads(json.loads(run("answer", "--text", "error number 3"))["response"])["answerability"] == "supported"
+    told = json.loads(run("answer", "--text", "error number 3"))
+    assert told["answerability"] == "supported" and told["valid"] and told["citations"]
     assert json.loads(run("audit"))["outside"] == 0
     best = rows.where("text like '%number 3%' and evidence_type = 'conversation'").selectExpr("'q1' query_id", "evidence_id", "3 grade")
     best.write.parquet(f"{top}/qrels.parquet")
@@ -58,6 +60,17 @@ def test_commands(spark, folders):
     assert len(fit["knots"][0]) == len(fit["knots"][1]) > 0 and 0 <= fit["ece"] <= 1
 
 
+    # a benchmark of the evidence itself
+    made = json.loads(run("generate"))
+    assert made["kept"] > 0
+    judged = json.loads(run("judge"))
+    assert judged["3"] >= made["kept"]
+    run("train")
+    asked = ("--queries", f"{out}/queries", "--qrels", f"{out}/judgments")
+    done = json.loads(run("answer-benchmark", *asked))
+    assert done["answered"] >= done["valid"] > 0 and json.loads(run("answer-benchmark", *asked))["answered"] == done["answered"] - done["valid"]
+
+
 def test_commands_need_their_inputs(spark):
     for a in (["query"], ["evaluate", "--text", "x"], ["nothing"]):
         with pytest.raises(SystemExit):
