@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         "prepare": lambda: commands.prepare(spark, a.data, a.out, a.validation_from or c["validation_from"], a.evaluation_from or c["evaluation_from"], pilot, c["pilot_seed"], thinking=c["include_thinking"], tool_results=c["include_tool_results"]),
         "generate": lambda: commands.generate(spark, a.out),
         "judge": lambda: commands.judge(spark, a.out),
-        "index": lambda: commands.index(spark, a.out, queries=queries if a.queries else None),
+        "index": lambda: commands.index(spark, a.out, queries=queries if a.queries and "primary_positive_ids" in queries.columns else None),
         "query": lambda: commands.query(spark, a.out, queries, **search).orderBy("query_id", "final_rank"),
         "answer": lambda: commands.answer(spark, a.out, queries, **search),
         "answer-benchmark": lambda: commands.answer_benchmark(spark, a.out, queries, **search),
