@@ -6,7 +6,8 @@ token with a digit, of ``SHORTEST`` to ``LONGEST`` code points and apart from ba
 induced from what stands around an instance in the whole text, and from its shape (letters, digits, marks): the two words before
 it, the word before it with the shape, the shape with the word behind it, and the shape alone (not of secrets, as their look made
 them seeds). On the bipartite graph of patterns and instance values confidence goes back and forth: a pattern has the mean
-confidence of its distinct values, with one more unconfirmed; a value that is no seed the chance that not all of its
+confidence of its distinct values, with one more unconfirmed; values that are no seeds count by half, and not at all for a
+shape alone, as what they have comes from patterns like it; a value that is no seed the chance that not all of its
 patterns with ``SUPPORT`` seeds are wrong. It ends when the patterns' mean moves by less than ``STILL`` and as many are
 trusted as before, or after ``ROUNDS``. Patterns with enough seeds and confidence then give the values in their place as
 identifiers, kind ``id``; base spans stay. A secret is given only where a trusted pattern has it.
@@ -39,7 +40,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: Digests and keys by their look: hexadecimal of the usual lengths with letters and digits, and known prefixes.
 SECRET = r"^(?:(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})|(?:sk-|ghp_|AKIA)[A-Za-z0-9_-]{16,})$"
-ROUNDS, STILL, SUPPORT, SURE = 20, 1e-3, 3, 0.7
+ROUNDS, STILL, SUPPORT, SURE = 8, 1e-3, 3, 0.7
 SHORTEST, LONGEST = 5, 256
 _BLOCK = 1024
 _FOUND = "array<struct<start:int,end:int,x:string,left:string,right:string>>"
@@ -170,10 +171,11 @@ def score(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure:
     values = stage(edges.groupBy("value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.when(F.max("seed"), 1.0).otherwise(0.0).alias("conf")))
     total = edges.count()
     trust = (F.col("seeds") >= support) & (F.col("p") >= sure)
+    part = F.when(F.col("seed"), 1.0).when(F.col("pattern").startswith("s:"), 0.0).otherwise(F.col("conf") / 2)
     patterns = last = None
     for _ in range(rounds):
         rated = attach(edges.select("pattern", "value"), values.select("value", "n", "conf", "seed"), "value", "n", total)
-        patterns = stage(rated.groupBy("pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("p"), F.count_if("seed").alias("seeds"), F.count("*").alias("m")))
+        patterns = stage(rated.groupBy("pattern").agg((F.sum(part) / (F.count("*") + 1)).alias("p"), F.count_if("seed").alias("seeds"), F.count("*").alias("m")))
         known = patterns.withColumn("p", F.when(F.col("seeds") >= support, F.col("p")).otherwise(0.0))
         back = attach(edges.select("pattern", "value", "seed"), known.select("pattern", "p", "m"), "pattern", "m", total)
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))

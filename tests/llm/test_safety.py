@@ -100,7 +100,7 @@ def test_graph_scores(spark):
     rng = random.Random(9)
     found = [(f"v{rng.randrange(30)}", k) for k in range(90)]
     seeds = {f"v{k}" for k in range(0, 30, 2)}
-    found = [(v, v in seeds, [f"p{rng.randrange(6)}", f"q{rng.randrange(12)}"]) for v, _ in found]
+    found = [(v, v in seeds, [f"s:{rng.randrange(6)}", f"q{rng.randrange(12)}"]) for v, _ in found]
     df = spark.createDataFrame(found, "value string, seed boolean, patterns array<string>")
     for rounds in (1, 6):
         trusted, values = pii.score(df, rounds, 3, 0.5)
@@ -108,7 +108,7 @@ def test_graph_scores(spark):
         conf, last = {v: float(v in seeds) for v, *_ in found}, None
         for _ in range(rounds):
             of = {p: [v for q, v in edges if q == p] for p, _ in edges}
-            p = {q: sum(conf[v] for v in vs) / (len(vs) + 1) for q, vs in of.items()}
+            p = {q: sum(1.0 if v in seeds else 0.0 if q[0] == "s" else conf[v] / 2 for v in vs) / (len(vs) + 1) for q, vs in of.items()}
             ok = {q: sum(v in seeds for v in vs) >= 3 for q, vs in of.items()}
             conf = {v: 1.0 if v in seeds else 1 - float(np.prod([1 - p[q] for q, w in edges if w == v and ok[q]])) for v in conf}
             now = (sum(p.values()) / len(p), sum(ok[q] and p[q] >= 0.5 for q in p))
