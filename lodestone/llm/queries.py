@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, license, linededup, mixing, packing, pii, rules, simhash, suffix, toxicity
+from lodestone.llm import cobucket, exact_dedup, license, linededup, mixing, packing, pii, rules, simhash, suffix, toxicity
 
-_MODULES = [toxicity, pii, rules, packing, suffix, license, exact_dedup, mixing, linededup, simhash]
+_MODULES = [toxicity, pii, rules, packing, suffix, license, exact_dedup, mixing, linededup, simhash, cobucket]
 
 
 def queries() -> dict:
