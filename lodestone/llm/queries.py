@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import cobucket, exact_dedup, license, linededup, mixing, packing, pii, rules, simhash, spelling, suffix, toxicity
+from lodestone.llm import cobucket, exact_dedup, license, linededup, mixing, packing, pii, rules, simhash, spelling, suffix, toxicity, webpage
 
-_MODULES = [toxicity, pii, rules, packing, suffix, license, exact_dedup, mixing, linededup, simhash, cobucket, spelling]
+_MODULES = [toxicity, pii, rules, packing, suffix, license, exact_dedup, mixing, linededup, simhash, cobucket, webpage, spelling]
 
 
 def queries() -> dict:
