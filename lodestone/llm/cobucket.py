@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.llm._common import attach, shared_dir, stage
+from lodestone.llm._common import HOT_SHARE, shared_dir, stage
 
 BUCKETS = 600
 #: Rows for each task of a shuffle, about; and rows of a row group.
@@ -245,8 +245,10 @@ def co_bucket(spark: SparkSession, tables: dict[str, DataFrame], starts: dict[st
     sums = ids.agg(F.sum("n_parents"), F.sum("n")).first()
     total = {parent: sums[0] or 0, child: sums[1] or 0}
     n_joined = dict(ids.groupBy(bucket_of(F.col("k"), buckets)).agg(F.sum(F.col("n_parents") * F.col("n"))).collect())
-    limit = max(1, total[child] // 2000)
-    known = ids.where(f"n > 0 and (n_parents = 0 or n > {limit})").select("k", "n", (F.col("n_parents") == 0).alias("orphan"))
+    # children of keys over 1/HOT_SHARE of the rows, HOT_SHARE keys at most, are told by a list; the others by a merge join
+    limit = max(1, total[child] // HOT_SHARE)
+    hot = dict(ids.where(F.col("n") > limit).select("k", F.col("n_parents") == 0).collect())
+    orphans = ids.where(f"n_parents = 0 and n <= {limit}").select("k", F.lit(True).alias("orphan"))
 
     def tasks(name: str) -> int:
         return min(buckets + 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total[name] // TASK_ROWS))
@@ -262,8 +264,11 @@ def co_bucket(spark: SparkSession, tables: dict[str, DataFrame], starts: dict[st
         lies = lies.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], F.regexp_extract("_metadata.file_name", r"(\d+)\.parquet$", 1).cast("int").alias("s"))
         mine = lies.withColumn("k", F.col(f"c{k}")).withColumn("bucket", bucket_of(F.col("k"), buckets))
         if name == child:
-            found = attach(mine.where("k is not null"), known, "k", "n", total[child], "left").withColumn("bucket", F.when(F.col("orphan"), buckets).otherwise(F.col("bucket")))
-            mine = found.select(*mine.columns).unionByName(mine.where("k is null"))
+            here = F.coalesce(F.col("k").isin(list(hot)), F.lit(True)) if hot else F.col("k").isNull()
+            alone = F.col("k").isin([k for k, orphan in hot.items() if orphan])
+            near = mine.where(here).withColumn("bucket", F.when(alone, buckets).otherwise(F.col("bucket")))
+            far = mine.where(~here).join(orphans.hint("merge"), "k", "left").withColumn("bucket", F.when(F.col("orphan"), buckets).otherwise(F.col("bucket")))
+            mine = stage(near.unionByName(far.select(*mine.columns)))
         pairs = stage(mine.groupBy("bucket", "s").agg(F.count("*").alias("n")))
         line = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("s", "n"))), lambda x: F.concat_ws(":", x["s"], x["n"])))
         lineage = {r[0]: r for r in pairs.groupBy("bucket").agg(F.min("s"), F.max("s"), F.sha2(line, 256)).collect()}
