@@ -53,6 +53,26 @@ def _forget() -> None:
     _staged.clear()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until it is none of ``columns``; Spark doesn't tell capitals apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns of ``docs`` in one struct ``row``, so that no name of theirs is in the way."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.struct(F.lit(True).alias("none"))).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], added: dict[str, Column]) -> DataFrame:
+    """The ``columns`` of what was ``packed``, in their order, then the ``added`` ones under names that are free."""
+    old = [F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in columns]
+    return rows.select(*old, *[x.alias(fresh(name, columns)) for name, x in added.items()])
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to one row per group on ``key``, when one group may hold a third of the rows.
 

@@ -11,7 +11,8 @@ so these alone are looked up, and what they cover together are the maximal repea
 
 Everything is DataFrame operations. Null texts count as empty, one line without words. Blank lines belong to runs
 but weigh nothing. "First" is by id, then line; where ids are null or repeat, rows are numbered instead. Wholly
-repeated texts stay as empty rows. Extra columns are kept as they are; an empty table gives an empty result.
+repeated texts stay as empty rows. Extra columns are kept as they are, whatever their names, and columns that the result
+adds have underscores behind theirs where these are taken; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm._common import WORD, attach, stage
+from lodestone.llm._common import WORD, attach, packed, stage, unpacked
 
 MIN_WORDS = 20
 
@@ -83,10 +84,10 @@ def repeated_runs(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs of lines deleted from ``text``; adds __lines, __deleted, __runs."""
-    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
-        docs = stage(docs.withColumn("__uid", F.monotonically_increasing_id()))
-    else:
-        docs = docs.withColumn("__uid", F.col("doc_id"))
+    columns = docs.columns
+    unclear = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count()
+    docs = packed(docs)
+    docs = stage(docs.withColumn("__uid", F.monotonically_increasing_id())) if unclear else docs.withColumn("__uid", F.col("doc_id"))
     runs = repeated_runs(docs.select(F.col("__uid").alias("uid"), "text"), min_words)
     runs = stage(runs.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans")))
     spans, lines = F.col("__spans"), _lines(F.col("text"))
@@ -97,8 +98,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = docs.join(runs.hint("merge"), "__uid", "left").withColumn("__x", lines)  # never a broadcast: runs grow with the texts
     out = out.withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     gone = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
-    out = out.withColumn("__lines", F.size("__x").cast("long")).withColumn("__deleted", F.coalesce(gone, F.lit(0))).withColumn("__runs", F.when(spans.isNull(), 0).otherwise(n).cast("long"))
-    return out.drop("__uid", "__spans", "__x")
+    added = {"__lines": F.size("__x").cast("long"), "__deleted": F.coalesce(gone, F.lit(0)), "__runs": F.when(spans.isNull(), 0).otherwise(n).cast("long")}
+    return unpacked(out, columns, added)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

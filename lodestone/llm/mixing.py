@@ -9,7 +9,8 @@ is one aggregation over the table of bins (144 rows at most) that the documents
 
 Everything is DataFrame operations. Null texts count as empty, with no tokens. Null ids get the draw of zero. Labelled rows
 without a document, and null labels, are ignored; without any labels the posterior is uniform. Repeated rows are separate
-documents with one rate. An empty table gives an empty result.
+documents with one rate. Extra columns stay as they are, whatever their names, and columns that the result adds have
+underscores behind theirs where these are taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import WORD, stage
+from lodestone.llm._common import WORD, packed, stage, unpacked
 
 DOMAINS = ("high", "low", "toxic")
 #: Share of the tokens that each domain is to have.
@@ -148,7 +149,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     is used twice, and none of these goes. Measured rows are written once, without the columns to ``drop``.
     """
     model = fit(docs, labels, sample)
-    out = stage(features(docs, list(model.lexicon)).drop(*drop)).withColumn("p", model.posteriors())
+    columns = [c for c in docs.columns if c not in drop]
+    out = stage(features(packed(docs), list(model.lexicon)).drop(*drop)).withColumn("p", model.posteriors())
     cells = out.groupBy(*_BINS).agg(F.first("p").alias("p"), F.sum("tokens").alias("tokens")).coalesce(1)
     cells = fit_rates(cells, targets)
     rate = F.col("rate")
@@ -159,7 +161,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     known = cells.select(*_BINS, rate.alias("rate"))  # a row for each combination of bins: 144 at most
     out = out.join(F.broadcast(known), _BINS)
     draw = F.coalesce(F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30), F.lit(0.0))
-    return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).drop(*_BINS)
+    return unpacked(out, columns, {"p": F.col("p"), "tokens": F.col("tokens"), "rate": F.col("rate"), "copies": F.floor(F.col("rate") + draw).cast("int")})
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

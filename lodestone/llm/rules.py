@@ -5,7 +5,8 @@ A policy is a named, versioned mask of rejecting bits, so that applying another
 rejects alone, is bit arithmetic over the ledger and never reads the texts again.
 
 Null and empty texts have no words: all measurements are zero, and they fail ``few_words``. A text of any length
-is measured whole; repeated rows get a ledger row each, and an empty table gives an empty ledger.
+is measured whole; repeated rows get a ledger row each, and an empty table gives an empty ledger. Extra columns aren't
+in the ledger; ``passing`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,14 +140,17 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 def passing(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, all columns as they are; no rows move."""
     at = docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join(f"__{m} long" for m in MEASURES)
+    lead = "__"
+    while any(c.lower().startswith(lead) for c in docs.columns):
+        lead += "_"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join(f"{lead}{m} long" for m in MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 cols = zip(*[measure(x.as_py()) for x in part.column(at)], strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.int64()) for c in cols]], names=[*part.schema.names, *[f"__{m}" for m in MEASURES]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.int64()) for c in cols]], names=[*part.schema.names, *[f"{lead}{m}" for m in MEASURES]])
 
     rows = docs.mapInArrow(run, ddl)
-    return rows.where(fail_bits("__").bitwiseAND(F.lit(policy.mask)) == 0).select(*docs.columns)
+    return rows.where(fail_bits(lead).bitwiseAND(F.lit(policy.mask)) == 0).select(*[f"`{c}`" for c in docs.columns])

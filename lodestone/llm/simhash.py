@@ -11,8 +11,10 @@ A block of fingerprints with one key is searched breadth first: each is compared
 a dense block yields a spanning forest, never its pairs. Keys with over ``BLOCK`` fingerprints are split in parts
 and every two parts meet in a task of their own, so a block's memory is bounded and no link is lost.
 
-Null and empty texts have fingerprint zero, and link like any other. Ties need no order; repeated rows are
-members of the same node, and an empty table gives an empty result.
+Null and empty texts have fingerprint zero, and link like any other. Rows without an id link as all others do, and
+their component has the smallest id that there is, null if it has none. Rows that repeat an id are rows of their own: an
+id with several texts may be in several components, and links none of them. Ties need no order; equal rows are one node,
+columns besides doc_id and text aren't read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,10 +172,12 @@ def links(nodes: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (hex), component_id (smallest id reachable by links)."""
     fps = stage(fingerprints(docs, shingle))
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    roots = components(links(nodes.select("fp", "rep").where("rep is not null"), limit))
-    named = nodes.join(roots, F.col("rep") == F.col("node"), "left")
-    named = stage(named.select("fp", "n", F.coalesce("root", "rep").alias("component_id")))
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("rep")), limit))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = stage(named)
+    told = stage(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
+    named = stage(attach(named, told, "root", "size", nodes.count()).select("fp", "n", "component_id"))
     out = attach(fps, named, "fp", "n", fps.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
