@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Fingerprints are those of ``op10``: four-word shingles that differ in four bits of 64 at most. Null and empty texts
     are one group. Rows that go are told by a bitmap first, so that the texts of the others don't move.
     """
-    key = "doc_id"
+    docs, key = docs.select(*COLUMNS), "doc_id"
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
         docs, key = stage(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
     out = simhash.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
