@@ -155,20 +155,18 @@ def bm25_stats(t):
 
 @_query(f"WITH {_D} SELECT term, df, round(idf, 9) AS idf FROM t")
 def bm25_terms(t):
-    p = lexical.postings(t.ev)
-    return lexical.term_stats(p, lexical.corpus_stats(t.ev)).select("term", "df", F.round("idf", 9).alias("idf"))
+    return lexical.index(t.ev)[1].select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @_query(f"WITH {_D} SELECT evidence_id, term, round({_W}, 9) AS weight FROM p JOIN t USING (term), s")
 def bm25_postings(t):
-    p, s = lexical.postings(t.ev), lexical.corpus_stats(t.ev)
-    return lexical.weights(p, lexical.term_stats(p, s), s).withColumn("weight", F.round("weight", 9))
+    return lexical.index(t.ev)[0].withColumn("weight", F.round("weight", 9))
 
 
 @_query(f"WITH {_D}, {_Q} SELECT query_id, term, round(idf * (1 + ln(qtf)), 9) AS weight FROM qt JOIN t USING (term)")
 def query_term_weights(t):
-    p = lexical.postings(t.ev)
-    x = lexical.query_terms(t.q).join(lexical.term_stats(p, lexical.corpus_stats(t.ev)), "term")
+    q = lexical.query_terms(t.q)
+    x = q.join(lexical.index(t.ev, q.select("term").distinct())[1], "term")
     return x.select("query_id", "term", F.round(scoring.query_weight(F.col("idf"), F.col("qtf")), 9).alias("weight"))
 
 
@@ -177,6 +175,20 @@ def dense_topk(t):
     return t.d50
 
 
+@_query()
+def dense_cells_topk(t):
+    """Neighbours in the nearest cells of an index; a test holds its recall against ``dense_topk``."""
+    cells = dense.fit_cells(t.corpus)
+    return dense.cell_search(dense.cell_index(t.corpus, cells), cells, t.asked, 50)
+
+
+@_query(f"WITH {_knn('d')} SELECT query_id, evidence_id, score, rank FROM d")
+def dense_all_cells_topk(t):
+    """The same index with every cell probed, which is exact."""
+    cells = dense.fit_cells(t.corpus)
+    return dense.cell_search(dense.cell_index(t.corpus, cells), cells, t.asked, 50, len(cells.centres))
+
+
 @_query("SELECT vec_id, round(list_sum([x * x for x in CAST(embedding AS DOUBLE[])]), 6) AS squares, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([x * x for x in CAST(embedding AS DOUBLE[])])), 6) AS first FROM embeddings")
 def l2_normalize(t):
     e = F.col("embedding")

@@ -47,6 +47,32 @@ def collapse(text: Column) -> Column:
     return F.lower(strip(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """A text in windows of at most ``size`` characters, as an array; none of an empty text.
+
+    A window that isn't the last ends before the last line end of its second half, if there is one, and the next one
+    begins ``overlap`` characters before that end. The fold's state is what is left of the text and the windows so far.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
+    half = max(1, size // 2)
+    most = F.ceil(F.length(text) / max(1, half - overlap)).cast("int") + 1  # each fold but the last goes ahead that far
+
+    def cut(rest: Column) -> Column:
+        back = F.instr(F.reverse(F.substring(rest, half + 1, size - half)), "\n")
+        return F.when(F.length(rest) <= size, F.length(rest)).when(back > 0, size - back).otherwise(size)
+
+    def fold(state: Column, _: Column) -> Column:
+        rest, n = state["rest"], F.length(state["rest"])
+        ahead = F.when(n > size, F.substring(rest, F.greatest(F.lit(1), cut(rest) - overlap) + 1, n))
+        own = F.array_append(state["done"], strip(F.substring(rest, F.lit(1), cut(rest))))
+        return F.struct(ahead.alias("rest"), F.when(n > 0, own).otherwise(state["done"]).alias("done"))
+
+    none = F.array().cast("array<string>")
+    cutting = F.aggregate(F.sequence(F.lit(1), most), F.struct(text.alias("rest"), none.alias("done")), fold, lambda state: state["done"])
+    return F.when(F.length(text) > size, cutting).when(F.length(text) > 0, F.array(text)).otherwise(none)
+
+
 def word_count(text: Column) -> Column:
     s = strip(text)
     return F.when(s == "", 0).otherwise(F.size(F.split(s, r"(?U)\s+")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import dot
 from lodestone.operators.lexical import _bounded, top
+from lodestone.operators.partition import _saved
 
 DIMENSIONS, ROUND = 64, 9
+#: Vectors of a block of a matrix product; vectors that cells are fitted on, at most.
+BLOCK, SAMPLE = 4096, 20_000
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
@@ -27,7 +31,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     return top(_blocks(corpus, queries, k), "score", k)
 
 
-def _blocks(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _blocks(corpus: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Blocks of queries against blocks of the corpus; each pair of blocks keeps its k best for each query."""
     size = lambda df: max(1, -(-df.count() // block))
     nc, nq = size(corpus), size(queries)
@@ -35,6 +39,11 @@ def _blocks(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096) ->
     c = part(corpus, "evidence_id", nc).groupBy("b").agg(F.collect_list("evidence_id").alias("ids"), F.collect_list("vec").alias("vecs"))
     q = part(queries, "query_id", nq).groupBy("b").agg(F.collect_list("query_id").alias("qids"), F.collect_list("vec").alias("qvecs"))
     pairs = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q.withColumnRenamed("b", "qb"), "qb")
+    return _products(pairs, corpus, queries, k)
+
+
+def _products(pairs: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, evidence_id, score: the k best of each query in each pair of blocks (ids, vecs, qids, qvecs)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -49,6 +58,82 @@ def _blocks(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096) ->
     return pairs.select("ids", "vecs", "qids", "qvecs").mapInPandas(run, f"query_id {types[1]}, evidence_id {types[0]}, score double")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Unit centres of coarse cells, and how many a query is to probe."""
+
+    centres: np.ndarray
+    probes: int
+
+
+def fit_cells(corpus: DataFrame, k: int = 50, cells: int = 0, goal: float = 0.95, sample: int = SAMPLE, rounds: int = 12) -> Cells:
+    """Coarse cells by k-means on ``sample`` vectors at most (those with the least hash of their id), all that comes to the driver.
+
+    Without a number of cells there are as many as the root of the rows, 4096 at most. Probes are as many as find ``goal`` of the
+    neighbours of 500 vectors of the sample, in its share of the ``k`` nearest.
+    """
+    n = corpus.count()
+    rows = corpus.select("vec").orderBy(F.xxhash64("evidence_id")).limit(sample).collect()
+    if not rows:
+        return Cells(np.zeros((0, 0)), 0)
+    x = np.array([r["vec"] for r in rows], dtype=float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.random.default_rng(0).permutation(len(x))[: cells or min(4096, int(n**0.5))]].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), centres)
+    own, asked = (x @ centres.T).argmax(axis=1), x[:500]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell, for each query
+    scores = asked @ x.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    wanted = np.argsort(-scores, axis=1, kind="stable")[:, : min(max(1, len(x) - 1), max(1, round(k * len(x) / n)))]
+    found = np.sort(np.take_along_axis(place, own[wanted], axis=1).reshape(-1))
+    return Cells(centres, int(found[min(len(found) - 1, int(goal * len(found)))]) + 1)
+
+
+def _cells_of(rows: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """key, vec, cell: a row for each of the ``probes`` nearest cells."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f) and len(centres):
+                s = np.stack(f["vec"].to_numpy()).astype(float) @ centres.T
+                near = np.argsort(-s, axis=1, kind="stable")[:, :probes] if probes > 1 else s.argmax(axis=1)[:, None]
+                yield pd.DataFrame({key: np.repeat(f[key].to_numpy(), near.shape[1]), "vec": [v for v in f["vec"] for _ in range(near.shape[1])], "cell": near.reshape(-1)})
+
+    return rows.select(key, "vec").mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, vec array<double>, cell int")
+
+
+def cell_index(corpus: DataFrame, cells: Cells, block: int = BLOCK) -> DataFrame:
+    """Every vector in the block of its cell: cell, part, ids, vecs. Cells of any size are split in parts of about ``block``."""
+    own = _saved(_cells_of(corpus, "evidence_id", cells.centres, 1))
+    parts = own.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # a row for each cell, 4096 at most
+    dealt = own.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("evidence_id"), F.col("parts")).cast("int"))
+    return dealt.groupBy("cell", "part").agg(F.collect_list("evidence_id").alias("ids"), F.collect_list("vec").alias("vecs"))
+
+
+def cell_search(index: DataFrame, cells: Cells, queries: DataFrame, k: int = 50, probes: int = 0, block: int = BLOCK) -> DataFrame:
+    """query_id, evidence_id, score, rank among the vectors of each query's ``probes`` nearest cells of a ``cell_index`` (0: as fitted).
+
+    With all cells probed it is exact; else neighbours in other cells are missed, as ``recall`` tells.
+    """
+    asked = _saved(_cells_of(queries, "query_id", cells.centres, min(probes or cells.probes, len(cells.centres))))
+    many = asked.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    q = asked.join(F.broadcast(many), "cell").withColumn("qpart", F.pmod(F.xxhash64("query_id"), F.col("n")).cast("int"))
+    q = q.groupBy("cell", "qpart").agg(F.collect_list("query_id").alias("qids"), F.collect_list("vec").alias("qvecs"))
+    types = index.select(F.explode("ids").alias("evidence_id"))
+    return top(_products(index.join(q, "cell"), types, queries, k), "score", k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: recall, the share of the exact rankings' rows (query_id, evidence_id) that were found."""
+    hit = found.select("query_id", "evidence_id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "evidence_id"], "left").agg(F.coalesce(F.count("hit") / F.count("*"), F.lit(1.0)).alias("recall"))
+
+
 def hashing_encoder(dimensions: int = DIMENSIONS) -> Callable[[list[str]], np.ndarray]:
     """A deterministic encoder for use without a model: signed hashes of words, normalized."""
     import xxhash

@@ -1,4 +1,10 @@
-"""BM25 as tables: postings, term and corpus statistics, and ranking by an equi-join on terms."""
+"""BM25 as tables: postings, term and corpus statistics, and ranking without weighing every text that shares a word.
+
+Ranking is by the greatest weight of each term. A query's rare terms find some texts, whose whole scores give a floor that the
+k-th best reaches at least. Common terms whose greatest weights together stay under that floor can't lift a text into the
+ranking alone; so only the other terms are joined to their postings, texts that can't reach the floor go, and the
+whole scores of those that are left are summed from their own postings. Stop words are never joined to all they occur in.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +14,12 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import scoring
 from lodestone.functions.text import tokens
+from lodestone.operators.partition import _saved
 
 #: Scores are sums of many terms; rounding makes equal texts tie, whatever the order of the sums.
 ROUND = 6
+#: Postings that a query's rare terms may have, for each hit asked for; and what sums may be off by.
+SEEDS, SLACK = 8, 1e-5
 
 
 def postings(docs: DataFrame, id_col: str = "evidence_id", text_col: str = "text") -> DataFrame:
@@ -43,25 +52,59 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return rows.groupBy(id_col, "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """query_id, evidence_id, score, rank; statistics count all documents, terms of no query are never weighed.
+def index(docs: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """weights (evidence_id, term, weight), terms (term, df, idf) and stats (one row), from one reading of the texts.
 
-    Postings are cut to the queries' terms while the texts are read, before any shuffle.
+    Statistics count all documents; weights and terms are those ``asked`` for (term), where given, and postings are cut to
+    these before any shuffle. Each text has a posting of the empty term, so texts without any other count too.
     """
+    w = docs.select("evidence_id", tokens(F.col("text")).alias("w"))
+    rows = w.select("evidence_id", F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    if asked is not None:
+        wanted = asked.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
+        rows = rows.join(F.broadcast(wanted) if _bounded(asked) else wanted, "term", "left_semi")
+    posts = _saved(rows.groupBy("evidence_id", "length", "term").agg(F.count("*").alias("tf")))
+    every = posts.where("term = ''")
+    stats = _saved(every.agg(F.greatest(F.coalesce(F.sum("tf"), F.lit(0)), F.lit(1)).alias("n"), F.sum(F.col("length") * F.col("tf")).alias("total")).select("n", F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("avgdl")))
+    own = posts.where("term != ''")
+    terms = _saved(term_stats(own, stats))
+    return weights(own, terms, stats), terms, stats
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """query_id, evidence_id, score, rank; statistics count all documents, terms of no query are never weighed."""
     q = query_terms(queries)
-    asked = F.broadcast(q.select("term").distinct()) if _bounded(queries) else q.select("term").distinct()
-    stats = corpus_stats(docs)
-    rows = docs.select("evidence_id", tokens(F.col("text")).alias("w")).select("evidence_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    posts = rows.join(asked, "term", "left_semi").groupBy("evidence_id", "length", "term").agg(F.count("*").alias("tf"))
-    terms = term_stats(posts, stats)
-    return score(weights(posts, terms, stats), q.join(terms, "term"), k)
+    weighed, terms, _ = index(docs, _saved(q.select("term").distinct()))
+    return score(_saved(weighed), q.join(terms, "term"), k)
 
 
 def score(weighed: DataFrame, asked: DataFrame, k: int = 50) -> DataFrame:
-    """The best k of each query: ``weighed`` postings (id, term, weight) against its terms (query_id, term, qtf, idf)."""
-    hits = weighed.join(asked, "term")
-    points = F.round(F.sum(F.col("weight") * scoring.query_weight(F.col("idf"), F.col("qtf"))), ROUND)
-    return top(hits.groupBy("query_id", "evidence_id").agg(points.alias("score")).where("score > 0"), "score", k)
+    """The best k of each query: ``weighed`` postings (evidence_id, term, weight; stored) against its terms (query_id, term, qtf, idf)."""
+    most = weighed.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("posts"), F.max("weight").alias("top"))
+    own = scoring.query_weight(F.col("idf"), F.col("qtf"))
+    terms = _saved(asked.join(most, "term").select("query_id", "term", own.alias("own"), "posts", (F.col("top") * own).alias("most")))
+    rare = Window.partitionBy("query_id").orderBy("posts", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = terms.withColumn("before", F.coalesce(F.sum("posts").over(rare), F.lit(0))).where(F.col("before") < SEEDS * k)
+    seeded = top(_sums(weighed, seeds), "score", k)
+    floors = _whole(weighed, terms, seeded).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score") - SLACK).otherwise(0.0).alias("floor"))
+    common = Window.partitionBy("query_id").orderBy(F.desc("posts"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    split = terms.join(floors, "query_id", "left").fillna(0.0, ["floor"]).withColumn("lift", F.sum("most").over(common))
+    split = _saved(split.withColumn("idle", F.col("lift") < F.col("floor")))
+    rest = split.groupBy("query_id", "floor").agg(F.coalesce(F.max(F.when(F.col("idle"), F.col("lift"))), F.lit(0.0)).alias("rest"))
+    able = _sums(weighed, split.where("not idle")).join(rest, "query_id").where("score + rest >= floor")
+    return top(_whole(weighed, terms, able), "score", k)
+
+
+def _sums(weighed: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, evidence_id, score over some terms of each query."""
+    hits = weighed.join(terms.select("query_id", "term", "own"), "term")
+    return hits.groupBy("query_id", "evidence_id").agg(F.sum(F.col("weight") * F.col("own")).alias("score"))
+
+
+def _whole(weighed: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, evidence_id, score over all terms, of ``pairs`` of a query and a text."""
+    hits = weighed.join(pairs.select("query_id", "evidence_id"), "evidence_id").join(terms.select("query_id", "term", "own"), ["query_id", "term"])
+    return hits.groupBy("query_id", "evidence_id").agg(F.round(F.sum(F.col("weight") * F.col("own")), ROUND).alias("score")).where("score > 0")
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
@@ -69,8 +112,6 @@ def vocabulary(terms: DataFrame) -> DataFrame:
 
     Ranges of terms are numbered apart and shifted by the sizes of the ranges before, so that no task gets all terms.
     """
-    from lodestone.operators.partition import _saved
-
     ranged = _saved(terms.select("term").distinct().repartitionByRange("term").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.withColumn("base", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))

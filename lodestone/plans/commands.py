@@ -107,11 +107,9 @@ def index(spark: SparkSession, out: str, encoder: Callable | None = None, querie
         known = spark.createDataFrame([], "evidence_id string, vec array<double>")
     tables.write_table(dense.refresh_vectors(rows, known, encoder or dense.hashing_encoder()), f"{out}/vectors.new")
     tables.write_table(spark.read.parquet(f"{out}/vectors.new"), f"{out}/vectors")
-    tables.write_table(lexical.postings(rows), f"{out}/postings")
-    posts, stats = spark.read.parquet(f"{out}/postings"), lexical.corpus_stats(rows)
-    tables.write_table(lexical.term_stats(posts, stats), f"{out}/terms")
-    terms = spark.read.parquet(f"{out}/terms")
-    tables.write_table(lexical.weights(posts, terms, stats), f"{out}/weights")
+    weighed, terms, _ = lexical.index(rows)
+    tables.write_table(terms, f"{out}/terms")
+    tables.write_table(weighed, f"{out}/weights")
     return {name: spark.read.parquet(f"{out}/{name}").count() for name in ("vectors", "terms", "weights")}
 
 

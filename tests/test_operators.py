@@ -6,11 +6,37 @@ from lodestone.operators import answering, evidence, partition
 from lodestone.sources import tables
 
 
-def test_chunks_stay_within_size_and_cover():
-    value = "abc def\n" * 500
-    bounds = list(evidence.chunk_bounds(value, 100, 20))
-    assert all(0 < b - a <= 100 for a, b in bounds) and bounds[0][0] == 0 and bounds[-1][1] == len(value)
-    assert all(c <= b for (_, b), (c, _) in zip(bounds, bounds[1:], strict=False))
+def _windows(value, size, overlap):
+    """Cuts by hand: the window's end is the last line end of its second half, else its size."""
+    out, at, half = [], 0, max(1, size // 2)
+    while value:
+        end = len(value)
+        if end - at > size:
+            ends = [k for k in range(at + half, at + size) if value[k] == "\n"]
+            end = ends[-1] if ends else at + size
+        out.append(value[at:end].strip())
+        if end == len(value):
+            break
+        at = max(at + 1, end - overlap)
+    return out
+
+
+def test_windows_against_cuts_by_hand(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["", "  \n ", None, "a", "x" * 100, "x" * 101, "é\n" * 120, "word " * 80, "\n" * 50 + "y" * 300 + "\n" * 50]
+    texts += ["".join(rng.choice("ab é\n" if k % 2 else "abcdefghij \n") for _ in range(rng.randrange(1, 900))) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    for size, overlap in ((100, 20), (100, 0), (7, 3), (10, 9), (1, 0), (2, 1)):
+        got = {}
+        for r in evidence.chunks(docs, size, overlap).collect():
+            got.setdefault(r.k, []).append((r.chunk_index, r.text))
+        for k, x in enumerate(texts):
+            want = _windows((x or "").strip(), size, overlap)
+            assert [y for _, y in sorted(got.get(k, []))] == want, (k, size, overlap)
+    with pytest.raises(ValueError):
+        evidence.chunks(docs, 5, 5)
 
 
 def test_redaction_leaves_nothing_sensitive(spark):
