@@ -265,9 +265,19 @@ def tokenize_counts(t):
     return t.documents.select("doc_id", F.size(w).alias("tokens"), F.size(F.array_distinct(w)).alias("kinds"))
 
 
-@_query()
+# Java's Unicode word characters, spelt out; neighbours share the character between them, so addresses take two rounds
+_W = r"\p{L}\p{N}\p{M}\p{Pc}"
+_MAIL = f"(^|[^{_W}.-])[{_W}.+-]+@[{_W}.-]+[.][A-Za-z]{{2,}}($|[^{_W}.-])"
+_KEY = r"""(?i)(?:sk-or-v1-[A-Za-z0-9_-]{20,}|(?:api[_-]?key|token|secret|password)\s*[:=]\s*["'']?[^\s"'']{8,})"""
+_PATH = rf"""(^|[^{_W}])(?:/Users|/home|/workspace|[A-Za-z]:\\\\)[^\s"''`]+"""
+_REDACT = rf"""
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_MAIL}', '\1[REDACTED_EMAIL]\2', 'g'), '{_MAIL}', '\1[REDACTED_EMAIL]\2', 'g') AS text FROM documents),
+k AS (SELECT doc_id, regexp_replace(text, '{_KEY}', '[REDACTED_SECRET]', 'g') AS text FROM m)
+SELECT doc_id, sha256(regexp_replace(text, '{_PATH}', '\1[REDACTED_ABSOLUTE_PATH]', 'g')) AS redacted FROM k"""
+
+
+@_query(_REDACT)
 def redact_email(t):
-    """Lookarounds and Unicode words are beyond DuckDB's patterns; a test holds it against Python's."""
     return t.documents.select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
 
 
@@ -392,9 +402,18 @@ def leakage_check(t):
     return partition.leaks(partition.assign(t.ev.withColumn("group_time", F.col("timestamp")), "2026-03-01", "2026-03-10"), "session")
 
 
-@_query()
+# the least name walks along the edges, a step in each round; no two nodes of these tables are 24 steps apart
+_COMPONENTS = """
+WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem),
+b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  SELECT 0 AS k, a AS node, least(a, min(b)) AS root FROM b GROUP BY a
+  UNION ALL SELECT k + 1, b.a, min(root) FROM r JOIN b ON b.b = r.node WHERE k < 24 GROUP BY k, b.a)
+SELECT node, min(root) AS root FROM r GROUP BY node"""
+
+
+@_query(_COMPONENTS)
 def connected_components(t):
-    """All edges: a recursive query visits a node once for each smaller one; a test holds it against plain Python."""
     return partition.connected_components(t.edges)
 
 
@@ -402,6 +421,40 @@ _NEAR = "y AS (SELECT x.doc_id AS query_id, d.doc_id AS evidence_id, (CASE WHEN
 _TIMED = f"ti AS (SELECT query_id, n.evidence_id, mode, row_number() OVER a AS a, row_number() OVER z AS z FROM (SELECT * FROM nb WHERE rank <= 40) n JOIN ev USING (evidence_id) JOIN m USING (query_id) WINDOW a AS (PARTITION BY query_id ORDER BY timestamp, n.evidence_id), z AS (PARTITION BY query_id ORDER BY timestamp DESC, n.evidence_id DESC)), tr AS (SELECT query_id, evidence_id, CASE WHEN mode IN ('current', 'latest') THEN z WHEN mode <> 'neutral' THEN a ELSE row_number() OVER (PARTITION BY query_id ORDER BY least(a, z), CASE WHEN a <= z THEN 0 ELSE 1 END) END AS rank FROM ti)"
 
 
+# customers are sessions, orders are records; orders that seven divides name a checkpoint that three customers share
+_SHARED = """
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey // 3 END AS shared FROM orders),
+s AS (SELECT o_custkey, min(o_orderdate) AS created_at, max(shared) AS shared FROM o GROUP BY 1),
+g AS (SELECT o_custkey, max(created_at) OVER (PARTITION BY coalesce(shared, -1 - o_custkey)) AS t FROM s)
+SELECT o_orderkey, CASE WHEN t >= TIMESTAMP '1995-09-01 00:00:00' THEN 'evaluation' WHEN t >= TIMESTAMP '1995-05-01 00:00:00' THEN 'validation' ELSE 'train' END AS partition
+FROM o JOIN g USING (o_custkey)"""
+
+
+def _linked(t) -> DataFrame:
+    shared = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("shared"), F.floor(F.col("o_custkey") / 3).cast("string"))).otherwise(F.concat(F.lit("own"), F.col("o_orderkey").cast("string")))
+    return t.orders.select("o_orderkey", F.array(F.col("o_custkey").cast("string")).alias("session_ids"), F.array(shared).alias("checkpoint_pks"), F.lit(None).cast("string").alias("topic_key"))
+
+
+def _split_orders(t) -> DataFrame:
+    sessions = t.orders.groupBy(F.col("o_custkey").cast("string").alias("session_id")).agg(F.min("o_orderdate").alias("created_at"))
+    return partition.partition_records(_linked(t), sessions, "1995-05-01", "1995-09-01")
+
+
+@_query(_SHARED)
+def partition_by_checkpoint(t):
+    """Sessions that only turns of one checkpoint link."""
+    return _split_orders(t).select("o_orderkey", "partition")
+
+
+@_query("""
+WITH r AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS session, CASE WHEN o_orderkey % 7 = 0 THEN 'shared' || o_custkey // 3 ELSE 'own' || o_orderkey END AS point, 'p' || o_orderkey % 3 AS partition FROM orders),
+k AS (SELECT partition, 'session' AS kind, session AS key FROM r UNION ALL SELECT partition, 'checkpoint', point FROM r)
+SELECT kind, key, count(DISTINCT partition) AS partitions FROM k GROUP BY 1, 2 HAVING count(DISTINCT partition) > 1""")
+def leaked_keys(t):
+    """Records dealt out by number, whose sessions and checkpoints leak."""
+    return partition.leaked(_linked(t).withColumn("partition", F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string"))))
+
+
 @_query(f"WITH {_DL}, {_PAY}, {_EV}, {_NEAR}, {_TIMED}, u AS (SELECT query_id, evidence_id, 0 AS source, rank FROM d WHERE rank <= 40 UNION ALL SELECT query_id, evidence_id, 1, rank FROM l WHERE rank <= 40 UNION ALL SELECT query_id, evidence_id, 2, rank FROM nb WHERE rank <= 40 UNION ALL SELECT query_id, evidence_id, 3, rank FROM tr WHERE rank <= 40), w AS (SELECT query_id, evidence_id, min(source * 1000 + rank) AS pos FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, evidence_id) AS n, row_number() OVER (PARTITION BY query_id, pos // 1000 ORDER BY pos, evidence_id) AS k FROM w) SELECT query_id, evidence_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, evidence_id) AS pool_rank FROM k WHERE n <= 100 OR k = 1")
 def candidate_pool(t):
     near = metadata_neighbors(t)

@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         low = _saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
         large = _saved(_with_low(both, low, 2 * now[0]).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = _saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = _with_low(large, low, large.count()).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_low(large, low, low.agg(F.sum("n")).first()[0] or 0).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = _saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
     return everyone.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
@@ -77,6 +77,30 @@ def assign(dated: DataFrame, validation_from: str, evaluation_from: str) -> Data
     return dated.withColumn("partition", F.when(t >= F.lit(evaluation_from).cast("timestamp"), "evaluation").when(t >= F.lit(validation_from).cast("timestamp"), "validation").otherwise("train"))
 
 
+def record_edges(records: DataFrame) -> DataFrame:
+    """src, dst: each record's first session with its other sessions and its checkpoints.
+
+    Sessions and checkpoints are nodes of two kinds (``s:``, ``c:``), so sessions of one checkpoint are linked through it: a
+    checkpoint of many records has an edge for each session, never for each pair of sessions.
+    """
+    node = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
+    every = F.concat(node("s:", "session_ids"), node("c:", "checkpoint_pks"))
+    return records.select(every.alias("x")).where("size(x) > 1").select(F.col("x")[0].alias("src"), F.explode("x").alias("dst")).where("src != dst").distinct()
+
+
+def partition_records(records: DataFrame, sessions: DataFrame, validation_from: str, evaluation_from: str) -> DataFrame:
+    """``records`` with a partition. Sessions of one record or of one checkpoint go together, by their latest date.
+
+    sessions: session_id, created_at, each session once. A record without sessions goes with its first checkpoint; what
+    has neither, or no date, trains.
+    """
+    dated = sessions.select(F.concat(F.lit("s:"), "session_id").alias("session_id"), "created_at")
+    parts = partition_groups(dated, record_edges(records), validation_from, evaluation_from).select(F.col("session_id").alias("__node"), F.col("partition").alias("__partition"))
+    first = F.coalesce(F.concat(F.lit("s:"), F.get("session_ids", F.lit(0))), F.concat(F.lit("c:"), F.get("checkpoint_pks", F.lit(0))))
+    found = records.drop("partition").withColumn("__node", first).join(parts, "__node", "left")
+    return found.withColumn("partition", F.coalesce("__partition", F.lit("train"))).drop("__node", "__partition")
+
+
 def partition_groups(sessions: DataFrame, edges: DataFrame, validation_from: str, evaluation_from: str) -> DataFrame:
     """session_id, root, group_time, partition: a component goes by its latest session."""
     parts = connected_components(edges, sessions.select(F.col("session_id").alias("node")))
@@ -84,24 +108,54 @@ def partition_groups(sessions: DataFrame, edges: DataFrame, validation_from: str
     return assign(parts.join(by, "root"), validation_from, evaluation_from).withColumnRenamed("node", "session_id")
 
 
-def topic_views(topics: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Views of topics for each partition with parents of two sessions or more: evidence_id, partition, view_key, parents."""
-    p = topics.select("evidence_id", "topic_key", F.explode("parent_ids").alias("parent")).join(evidence.select(F.col("evidence_id").alias("parent"), "partition", "session_ids"), "parent")
-    rows = p.select("evidence_id", "topic_key", "partition", "parent", F.explode_outer("session_ids").alias("s"))
-    return rows.groupBy("evidence_id", "topic_key", "partition").agg(F.array_sort(F.collect_set("parent")).alias("parents"), F.count_distinct("s").alias("sessions")).where("sessions >= 2").withColumn("view_key", F.concat_ws("@", "topic_key", "partition"))
+#: Parents whose lines and whose citations a topic shows.
+LINES, REFS = 20, 100
 
 
-def leaks(rows: DataFrame, key: str) -> DataFrame:
+def topic_views(topics: DataFrame, evidence: DataFrame) -> DataFrame:
+    """A view of each topic for each partition in which its parents have two sessions or more.
+
+    topics and evidence are records, evidence with a partition. A view lists its own parents alone, so no partition
+    sees what belongs to another; its id, key (``topic@partition``), text, lists and citations are its own, all else is the topic's.
+    """
+    lists = ("session_ids", "checkpoint_pks", "commit_shas", "files")
+    own = evidence.select(F.col("evidence_id").alias("parent"), "partition", F.col("title").alias("of"), F.col("timestamp").alias("at"), F.col("source_refs").alias("refs"), *[F.col(c).alias(f"p_{c}") for c in lists])
+    p = _saved(topics.select("evidence_id", F.posexplode("parent_ids").alias("k", "parent")).join(own, "parent"))
+    key = ["evidence_id", "partition"]
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"p_{c}")))).alias(c)
+    kept = p.groupBy(*key).agg(*[every(c) for c in lists], F.transform(F.array_sort(F.collect_list(F.struct("k", "parent"))), lambda x: x["parent"]).alias("parent_ids")).where("size(session_ids) >= 2")
+    late = Window.partitionBy(*key).orderBy(F.desc_nulls_last("at"), F.desc("parent"))
+    line = F.concat(F.lit("- "), F.coalesce(F.date_format("at", "yyyy-MM-dd"), F.lit("unknown-date")), F.lit(": "), F.col("of"), F.lit(" ["), F.col("parent"), F.lit("]"))
+    lines = p.withColumn("r", F.row_number().over(late)).where(F.col("r") <= LINES).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("x"))), False), lambda x: x["x"]).alias("lines"))
+    first = Window.partitionBy(*key).orderBy("k")  # each parent has a citation at least
+    refs = p.where("size(refs) > 0").withColumn("r", F.row_number().over(first)).where(F.col("r") <= REFS)
+    refs = refs.groupBy(*key).agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("r", "refs"))), lambda x: x["refs"])), 1, REFS).alias("source_refs"))
+    views = kept.join(lines, key).join(refs, key, "left").withColumnRenamed("evidence_id", "of")
+    rest = topics.drop(*lists, "parent_ids", "source_refs", "partition", "text").withColumnRenamed("evidence_id", "of")
+    out = views.join(rest, "of").withColumn("text", F.concat(F.lit("Observed work topic: "), "topic_key", F.lit("\n"), F.array_join("lines", "\n")))
+    out = out.withColumn("evidence_id", F.concat("of", F.lit(":"), F.left(F.sha2("partition", 256), F.lit(24))))
+    return out.withColumn("topic_key", F.concat_ws("@", "topic_key", "partition")).drop("of", "lines")
+
+
+def leaks(rows: DataFrame, *key: str) -> DataFrame:
     """Keys in more than one partition."""
-    return rows.groupBy(key).agg(F.count_distinct("partition").alias("partitions")).where("partitions > 1")
+    return rows.groupBy(*key).agg(F.count_distinct("partition").alias("partitions")).where("partitions > 1")
+
+
+def leaked(records: DataFrame) -> DataFrame:
+    """kind (session, checkpoint, topic), key, partitions: what lies in more than one partition, in one pass over the records."""
+    told = lambda kind, c: F.transform(F.coalesce(F.array_distinct(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    keys = F.concat(told("session", F.col("session_ids")), told("checkpoint", F.col("checkpoint_pks")), told("topic", F.array_compact(F.array("topic_key"))))
+    return leaks(records.select("partition", F.explode(keys).alias("x")).select("partition", "x.kind", "x.key"), "kind", "key")
 
 
-def assert_isolated(rows: DataFrame, keys: list[str]) -> None:
-    if rows.where("partition is null").limit(1).count():
-        raise ValueError("a row has no partition")
-    for key in keys:
-        if found := leaks(rows.where(F.col(key).isNotNull()), key).limit(5).collect():
-            raise ValueError(f"{key} in several partitions: {[r[key] for r in found]}")
+def assert_isolated(records: DataFrame) -> None:
+    """Raises if a record has no partition, or a session, checkpoint or topic is in several."""
+    if records.where("partition is null").limit(1).count():
+        raise ValueError("a record has no partition")
+    found = leaked(records).groupBy("kind").agg(F.count("*").alias("n"), F.min("key").alias("first")).collect()  # three kinds
+    if found:
+        raise ValueError("in several partitions: " + ", ".join(f"{r['n']} of kind {r['kind']} ({r['first']})" for r in sorted(found)))
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from lodestone.functions.ids import stable_id
 from lodestone.operators import answering, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
 from lodestone.sources import artifacts, tables
 
-PARTITIONS = ("train", "validation", "evaluation")
 QUERY_PREFIX = "Find evidence for the question: "
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -52,23 +51,14 @@ def build_evidence(spark: SparkSession, data: str, transcripts: bool = True, cho
     return whole.unionByName(told) if told is not None else whole
 
 
-def partitioned(records: DataFrame, sessions: DataFrame, validation_from: str, evaluation_from: str) -> DataFrame:
-    """``records`` with a partition: sessions that share a record go together, by their latest date; others train."""
-    first = F.get("session_ids", F.lit(0))
-    edges = records.where("size(session_ids) > 1").select(first.alias("src"), F.explode("session_ids").alias("dst")).where("src != dst").distinct()
-    dated = tables.last_wins(sessions, "session_id").select("session_id", "created_at")
-    parts = partition.partition_groups(dated, edges, validation_from, evaluation_from).select(F.col("session_id").alias("__s"), "partition")
-    return records.withColumn("__s", first).join(parts, "__s", "left").drop("__s").fillna("train", ["partition"])
-
-
 def validate(spark: SparkSession, data: str) -> dict:
     return tables.validate(spark, data)
 
 
 def prepare(spark: SparkSession, data: str, out: str, validation_from: str, evaluation_from: str, pilot: int = 0, seed: int = 7, **flags) -> dict:
-    """Writes evidence, with topics within each partition, and the run's manifest; returns counts.
+    """Writes evidence, with views of topics for each partition, and the run's manifest; returns counts.
 
-    A ``pilot`` of so many sessions is drawn, unless it is zero. Raises if a session is in two partitions.
+    A ``pilot`` of so many sessions is drawn, unless it is zero. Raises if a session, checkpoint or topic is in two partitions.
     """
     before = _state(spark, data)
     sessions = tables.read_table(spark, data, "sessions")
@@ -77,16 +67,15 @@ def prepare(spark: SparkSession, data: str, out: str, validation_from: str, eval
         asked = evidence.optional(tables.last_wins(sessions, "session_id"), "agent", "user_id", "files_touched_count")
         tables.write_table(partition.pilot(asked, pilot, seed), f"{out}/pilot")
         chosen = spark.read.parquet(f"{out}/pilot")
-    tables.write_table(partitioned(build_evidence(spark, data, chosen=chosen, **flags), sessions, validation_from, evaluation_from), f"{out}/records")
+    dated = tables.last_wins(sessions, "session_id").select("session_id", "created_at")
+    tables.write_table(partition.partition_records(build_evidence(spark, data, chosen=chosen, **flags), dated, validation_from, evaluation_from), f"{out}/records")
     records = spark.read.parquet(f"{out}/records")
-    whole = records
-    for name in PARTITIONS:
-        topics = evidence.topic_evidence(records.where(F.col("partition") == name).where(F.col("evidence_type").isin("session", "commit")))
-        whole = whole.unionByName(evidence.shaped(topics).withColumn("partition", F.lit(name)))
+    topics = evidence.shaped(evidence.topic_evidence(records.where(F.col("evidence_type").isin("session", "commit"))))
+    views = partition.topic_views(topics, records)
+    whole = records.unionByName(evidence.shaped(views).join(views.select("evidence_id", "partition"), "evidence_id"))
     tables.write_table(whole, f"{out}/evidence", ["partition"])
     found = spark.read.parquet(f"{out}/evidence")
-    keys = found.select("partition", F.explode("session_ids").alias("session"))
-    partition.assert_isolated(keys, ["session"])
+    partition.assert_isolated(found)
     if _state(spark, data) != before:
         raise RuntimeError("the source tables changed during the run")
     counts = {f"{r['partition']}/{r['evidence_type']}": r["records"] for r in partition.report_types(found).collect()}
