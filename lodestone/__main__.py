@@ -13,7 +13,7 @@ from lodestone.sources import artifacts
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     p = argparse.ArgumentParser(prog="lodestone")
-    p.add_argument("command", choices=["validate", "prepare", "generate", "judge", "index", "query", "answer", "answer-benchmark", "train", "evaluate", "experiment", "calibrate", "audit"])
+    p.add_argument("command", choices=["validate", "prepare", "generate", "judge", "index", "query", "answer", "answer-benchmark", "train", "evaluate", "experiment", "calibrate", "audit", "criticize", "usage"])
     p.add_argument("--data", help="folder of the log tables")
     p.add_argument("--out", help="folder of the engine's tables")
     p.add_argument("--config", help="JSON or YAML of settings")
@@ -64,6 +64,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         "experiment": experiment,
         "calibrate": lambda: commands.calibrate(spark, a.out, qrels(), queries if a.queries else None),
         "audit": lambda: commands.audit(spark, a.out),
+        "criticize": lambda: commands.criticize(spark, a.out),
+        "usage": lambda: commands.usage(spark, a.out),
     }
     out = commands.told(run[a.command]())
     if own:

@@ -7,6 +7,7 @@ for checkpoints with commits. Searches ask for every record whose id 100 divides
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import ids, scoring, text
-from lodestone.operators import answering, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
-from lodestone.sources import tables
+from lodestone.operators import answering, batches, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
+from lodestone.sources import tables, versions
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -556,6 +557,13 @@ def training_triples(t):
     return out.select("query_id", "positive_id", F.size("excluded_positive_ids").alias("excluded"), F.array_join(F.transform("negative_ids", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
+@_query()
+def training_batches(t):
+    """Batches of sixteen without false negatives; a test holds them against greedy colouring in plain Python."""
+    x = answering.training_triples(t.qrels.select("query_id").distinct(), t.qrels)
+    return batches.conflict_free_batches(x.withColumn("example_id", F.concat_ws("-", "query_id", "positive_id")), 16)
+
+
 @_query(f"WITH {_QR} SELECT query_id, evidence_id AS positive_id FROM qr WHERE grade >= 2 AND EXISTS (SELECT 1 FROM qr z WHERE z.query_id = qr.query_id AND z.grade = 0) AND (query_id % 5 = 0 OR evidence_id % 7 = 0)")
 def isolation_check(t):
     part = lambda c, k: F.when(F.col(c) % k == 0, "evaluation").otherwise("train")
@@ -613,10 +621,21 @@ def tuning_argmax(t):
     return calibration.best_trial(by).select("weight", "ndcg")
 
 
-@_query()
+# the fit at a score is the greatest, over starts before it, of the least mean of what follows from the start past it
+_ISOTONIC = f"""
+WITH {_SC},
+s AS (SELECT score, count(*) AS n, sum(label) AS y, row_number() OVER (ORDER BY score) AS k FROM sc GROUP BY score),
+p AS (SELECT k, score, n, y, sum(n) OVER (ORDER BY k) AS cn, sum(y) OVER (ORDER BY k) AS cy FROM s),
+m AS (SELECT a.k AS a, b.k AS b, min((b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS least FROM p a JOIN p b ON b.k >= a.k),
+f AS (SELECT p.k, p.score, round(max(least), 9) AS rate FROM p JOIN m ON m.b = p.k GROUP BY 1, 2),
+e AS (SELECT *, coalesce(lag(rate) OVER (ORDER BY k) <> rate, true) OR coalesce(lead(rate) OVER (ORDER BY k) <> rate, true) AS ends FROM f)
+SELECT row_number() OVER (ORDER BY k) - 1 AS knot, score, rate FROM e WHERE ends"""
+
+
+@_query(_ISOTONIC)
 def isotonic_fit(t):
     xs, ys = calibration.isotonic(t.scored)
-    return t.spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(xs, ys, strict=True))], "knot long, score double, rate double")
+    return t.spark.createDataFrame([(k, float(x), round(float(y), 9)) for k, (x, y) in enumerate(zip(xs, ys, strict=True))], "knot long, score double, rate double")
 
 
 @_query()
@@ -763,6 +782,43 @@ def critic_acceptance(t):
     return benchmark.accepted(rows, 2)
 
 
+def _critic(request: dict) -> dict:
+    """A critic whose opinion hangs on the question's length and the pass, and who wants to see two records."""
+    n = len(request["candidate"]["query"]) + request["pass"]
+    return {"accepted": len(request.get("items") or []) == 2, "groundedness": 5 if n % 5 else 4, "answerability": 4, "evidence_sufficiency": 5, "naturalness": 3, **dict.fromkeys(benchmark.ISSUES)}
+
+
+# questions that three divides are of the evaluation, and have two passes; the second record of some isn't there
+@_query("""
+WITH q AS (SELECT item_id, length(text) AS n, item_id % 3 = 0 AS twice, len(string_split_regex(trim(text), '\\s+')) AS words FROM benchmark),
+s AS (SELECT *, EXISTS (SELECT 1 FROM documents WHERE doc_id = item_id) AND EXISTS (SELECT 1 FROM documents WHERE doc_id = 25 * item_id) AND item_id > 0 AS shown FROM q)
+SELECT CAST(item_id AS VARCHAR) AS query_id, shown AND n % 5 <> 0 AND (NOT twice OR (n + 1) % 5 <> 0) AND words BETWEEN 4 AND 40 AS accepted, 1 + twice::INT AS passes FROM s""")
+def critic_assessments(t):
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("evidence_id"), F.lit("turn").alias("evidence_type"), F.lit("t").alias("title"), F.left("text", F.lit(200)).alias("text"), F.lit(None).cast("timestamp").alias("timestamp"), *[F.array().cast("array<string>").alias(c) for c in ("session_ids", "commit_shas", "files")])
+    part = F.when(F.col("item_id") % 3 == 0, "evaluation").otherwise("train")
+    of = F.array(F.col("item_id").cast("string"), (F.col("item_id") * 25).cast("string"))
+    none = F.array().cast("array<string>")
+    q = t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), F.lit("supported").alias("answerability"), F.lit("neutral").alias("temporal_mode"), part.alias("partition"), F.lit(None).cast("string").alias("expected_claims"), of.alias("generation_source_ids"), none.alias("primary_positive_ids"), none.alias("supporting_positive_ids"))
+    asked = benchmark.critic_requests(q, docs)
+    got = answering.complete(asked.withColumn("key", F.struct("query_id", "pass")), _critic, key="key", schema=benchmark.CRITIC)
+    errors = benchmark.constraint_errors(q, "queries").select("query_id", "errors")
+    return benchmark.assessments(q, got.select("key.*", "response", "error"), errors).select("query_id", "accepted", F.size("scores").alias("passes"))
+
+
+@_query()
+def versioned_clients(t):
+    """Changes of clients in eight versions with tombstones, compacted after the fifth; what is in force. Files stay in a new folder."""
+    path = f"{partition.shared_dir(t.spark)}/clients-{uuid.uuid4().hex}"
+    changes = t.client_changes.where("client_id is not null and seq is not null").withColumn("v", F.least(F.floor(F.col("seq") / 15), F.lit(7)))
+    last = partition._saved(changes.groupBy("v", "client_id").agg(F.max_by(F.struct("op", "change_id", "seq", "city", "balance"), F.struct("seq", "change_id")).alias("x")).select("v", "client_id", "x.*"))
+    for k in range(8):
+        own = last.where(F.col("v") == k).drop("v")
+        versions.write(own.where("op != 'D'"), path, "client_id", own.where("op = 'D'"), k)
+        if k == 4:
+            versions.compact(t.spark, path, "client_id")
+    return versions.read(t.spark, path, "client_id").drop("op")
+
+
 @_query("SELECT item_id AS query_id, CASE WHEN n < 4 OR n > 40 THEN 'length' ELSE '' END AS errors FROM (SELECT item_id, len(string_split_regex(trim(text), '\\s+')) AS n FROM benchmark)")
 def row_constraints(t):
     rows = benchmark.constraint_errors(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "queries")

@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.partition import _saved
+
 
 def answer_errors(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, errors of answers (query_id, answerability, claims: array of text and citation_ids)."""
@@ -96,7 +99,35 @@ def strict_schema(schema: dict) -> dict:
     return strict(schema)
 
 
-def _called(provider: Provider, request: str, retries: int, wait: float, required: tuple[str, ...]) -> tuple[str | None, str | None, int]:
+_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
+
+
+def misfit(value: object, schema: dict, at: str = "response") -> str | None:
+    """Where a value isn't as the JSON schema says (types, enum, bounds, required and further properties, items); None if it is.
+
+    An object without properties is a map of any keys.
+    """
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(isinstance(value, _KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+        return f"{at} isn't of type {' or '.join(kinds)}"
+    if "enum" in schema and value not in schema["enum"]:
+        return f"{at} is none of {schema['enum']}"
+    if isinstance(value, int | float) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        return f"{at} is out of bounds"
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        if lacking := [k for k in schema.get("required", []) if k not in value]:
+            return f"{at} lacks {', '.join(lacking)}"
+        if known and schema.get("additionalProperties") is False and (more := sorted(set(value) - set(known) - {"_usage"})):
+            return f"{at} has {', '.join(more)}"
+        parts = [(value[k], known[k], f"{at}.{k}") for k in known if k in value]
+    else:
+        parts = [(x, schema["items"], f"{at}[{k}]") for k, x in enumerate(value)] if isinstance(value, list) and "items" in schema else []
+    return next((m for m in (misfit(*x) for x in parts) if m), None)
+
+
+def _called(provider: Provider, request: str, retries: int, wait: float, required: tuple[str, ...], schema: dict | None = None) -> tuple[str | None, str | None, int]:
     """response, error, calls; errors that pass are tried again after waits that double, up to half a minute."""
     calls = 0
     while True:
@@ -105,6 +136,8 @@ def _called(provider: Provider, request: str, retries: int, wait: float, require
             response = provider(json.loads(request))
             if lacking := [k for k in required if k not in response]:
                 raise ValueError(f"the response lacks {', '.join(lacking)}")
+            if schema and (wrong := misfit(response, schema)):
+                raise ValueError(wrong)
             return json.dumps(response, sort_keys=True), None, calls
         except Exception as e:  # a value for the caller, as one bad request must not end the batch
             passing = not isinstance(e, ValueError | KeyError | TypeError) or any(x in str(e).lower() for x in PASSING)
@@ -113,18 +146,20 @@ def _called(provider: Provider, request: str, retries: int, wait: float, require
             time.sleep(min(wait * 2 ** (calls - 1), 30.0))
 
 
-def complete(requests: DataFrame, provider: Provider = offline, retries: int = 3, key: str = "query_id", wait: float = 0.0, at_once: int = 4, required: tuple[str, ...] = ()) -> DataFrame:
-    """key, response, error, calls of requests (key, request as JSON), ``at_once`` of a task's at a time.
+def complete(requests: DataFrame, provider: Provider = offline, retries: int = 3, key: str = "query_id", wait: float = 0.0, at_once: int = 4, required: tuple[str, ...] = (), schema: dict | None = None) -> DataFrame:
+    """key, response, error, calls of requests (key, request as JSON), ``at_once`` of a task's at a time; checked by ``schema``.
 
     A call that fails is made again, ``retries`` times at most, unless its error is of the request or the response itself.
     """
 
+    strict = strict_schema(schema) if schema else None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(at_once) as threads:
             for f in frames:
                 for k in range(0, len(f), 16 * at_once):
                     part = f.iloc[k : k + 16 * at_once]
-                    found = list(threads.map(lambda r: _called(provider, r, retries, wait, required), part["request"]))
+                    found = list(threads.map(lambda r: _called(provider, r, retries, wait, required, strict), part["request"]))
                     yield pd.DataFrame({key: part[key].to_numpy(), "response": [x[0] for x in found], "error": [x[1] for x in found], "calls": [x[2] for x in found]})
 
     return requests.select(key, "request").mapInPandas(run, f"{key} {dict(requests.dtypes)[key]}, response string, error string, calls int")
@@ -133,14 +168,14 @@ def complete(requests: DataFrame, provider: Provider = offline, retries: int = 3
 ANSWER = "struct<answerability:string,temporal_mode:string,answer:string,limitations:array<string>,claims:array<struct<text:string,citation_ids:array<string>>>>"
 
 
-def answer_queries(asked: DataFrame, evidence: DataFrame, provider: Provider = offline, validator: Provider | None = None, regenerations: int = 3) -> DataFrame:
+def answer_queries(asked: DataFrame, evidence: DataFrame, provider: Provider = offline, validator: Provider | None = None, regenerations: int = 3, cache: str | None = None) -> DataFrame:
     """Answers of questions (query_id, query, mode, evidence_ids), made again while their checks fail, ``regenerations`` times at most.
 
     Questions without evidence are unsupported, and valid, without a call. A round asks the provider for all open questions, with the
-    errors of the round before, and checks citations against what was shown; the last answer stands, valid or not.
+    errors of the round before, and checks citations against what was shown; the last answer stands, valid or not. Calls go through the
+    table ``cache``, where one is named.
     """
-    from lodestone.operators.partition import _saved
-
+    call = lambda rows, p, stage: cached_complete(rows, cache, p, stage=stage) if cache else complete(rows, p)
     empty = F.from_json(F.lit('{"answerability":"unsupported","claims":[],"limitations":["no evidence"]}'), ANSWER)
     shape = lambda df, answer, valid, errors: df.select("query_id", answer.alias("a"), valid.alias("valid"), errors.alias("validation_errors"), "mode")
     no_errors = F.array().cast("array<string>")
@@ -149,7 +184,7 @@ def answer_queries(asked: DataFrame, evidence: DataFrame, provider: Provider = o
     done = []
     for attempt in range(regenerations + 1):
         request = F.to_json(F.struct("query", F.col("mode").alias("temporal_mode"), "evidence_ids", F.col("errors").alias("previous_errors"), F.lit(attempt).alias("attempt")))
-        got = complete(open_.select("query_id", request.alias("request")), provider).join(open_, "query_id")
+        got = call(open_.select("query_id", request.alias("request")), provider, "answer").join(open_, "query_id")
         got = got.withColumn("a", F.coalesce(F.from_json("response", ANSWER), empty))
         shown = got.select("query_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_semi").groupBy("query_id").agg(F.collect_set("evidence_id").alias("shown"))
         got = got.join(shown, "query_id", "left").withColumn("claims", F.coalesce(F.col("a.claims"), F.array().cast("array<struct<text:string,citation_ids:array<string>>>")))
@@ -157,7 +192,7 @@ def answer_queries(asked: DataFrame, evidence: DataFrame, provider: Provider = o
         failed = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("provider: "), "error"))).otherwise(bad)
         got = _saved(got.withColumn("errors", failed).select("query_id", "query", "mode", "evidence_ids", "a", "errors"))
         if validator:
-            told = complete(got.where(F.size("errors") == 0).select("query_id", F.to_json(F.struct("query", "a", "evidence_ids")).alias("request")), validator)
+            told = call(got.where(F.size("errors") == 0).select("query_id", F.to_json(F.struct("query", "a", "evidence_ids")).alias("request")), validator, "validate")
             told = told.select("query_id", F.coalesce(F.from_json(F.get_json_object("response", "$.errors"), "array<string>"), no_errors).alias("more"))
             got = _saved(got.join(told, "query_id", "left").withColumn("errors", F.concat("errors", F.coalesce("more", no_errors))).drop("more"))
         last = attempt == regenerations
@@ -185,12 +220,41 @@ def _answer_checks(answerability, claims, lost):
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
 
 
-def cached_complete(requests: DataFrame, cache: DataFrame, provider: Provider = offline, **options) -> DataFrame:
-    """Responses by the hash of the request: those in ``cache`` (request_hash, response), and new ones for the rest."""
-    r = requests.withColumn("request_hash", F.sha2("request", 256))
-    known = r.join(cache, "request_hash").select("request_hash", "response", F.lit(None).cast("string").alias("error"), F.lit(0).alias("calls"))
-    new = r.join(cache, "request_hash", "left_anti").select("request_hash", "request").distinct()
-    return known.distinct().unionByName(complete(new, provider, key="request_hash", **options))
+CACHE = "request_hash string, stage string, response string, tokens long, cost double, part string"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """What calls have brought: request_hash, stage, response, tokens, cost, and part, the start of the hash."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], CACHE)
+
+
+def cached_complete(requests: DataFrame, cache: str, provider: Provider = offline, key: str = "query_id", stage: str = "", schema: dict | None = None, **options) -> DataFrame:
+    """key, response, error, calls of requests: responses that the table ``cache`` has need no call, new ones are added to it.
+
+    A request's hash covers its text, the stage and the schema, so a change of any of them asks anew. The table lies by the start of
+    the hash, and the join reads the starts that are asked for. Equal requests are one call; a failed call isn't kept. What a
+    response has under ``_usage`` (total_tokens, cost) is kept beside it.
+    """
+    spark = requests.sparkSession
+    told = json.dumps({"stage": stage, "schema": strict_schema(schema) if schema else None}, sort_keys=True)
+    asked = requests.select(key, "request", F.sha2(F.concat_ws("\n", F.lit(told), "request"), 256).alias("request_hash"))
+    asked = _saved(asked.withColumn("part", F.left("request_hash", F.lit(2))))
+    known = read_cache(spark, cache).join(asked.select("part", "request_hash").distinct(), ["part", "request_hash"], "left_semi").dropDuplicates(["request_hash"])
+    known = _saved(known.select("request_hash", "response"))
+    new = asked.join(known, "request_hash", "left_anti").select("request_hash", "request").distinct()
+    fresh = complete(new, provider, key="request_hash", schema=schema, **options)
+    used = lambda path, kind: F.coalesce(F.get_json_object("response", path).cast(kind), F.lit(0).cast(kind))
+    fresh = _saved(fresh.select("*", used("$._usage.total_tokens", "long").alias("tokens"), used("$._usage.cost", "double").alias("cost")))
+    good = fresh.where("response is not null").select("request_hash", F.lit(stage).alias("stage"), "response", "tokens", "cost", F.left("request_hash", F.lit(2)).alias("part"))
+    if good.limit(1).count():
+        good.write.partitionBy("part").mode("append").parquet(cache)
+    had = known.select("request_hash", "response", F.lit(None).cast("string").alias("error"), F.lit(0).alias("calls"))
+    return asked.select(key, "request_hash").join(had.unionByName(fresh.select("request_hash", "response", "error", "calls")), "request_hash").drop("request_hash")
 
 
 def missing_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
@@ -222,43 +286,11 @@ def isolation_breaches(examples: DataFrame, queries: DataFrame, evidence: DataFr
     return x.where("qp != 'train' or ep != 'train'").select("query_id", "positive_id")
 
 
-def conflict_free_batches(examples: list[dict], size: int) -> list[list[int]]:
-    """Batches of positions in which no example's positive is another's, or one it must not count as negative.
-
-    A batch is told by the positives it has and those it bans, so an example is held against a batch, not its members.
-    """
-    batches: list[tuple[list[int], set, set]] = []
-    open_: list[int] = []
-    for i, e in enumerate(examples):
-        own, bans = e["positive_id"], {e["positive_id"], *e.get("excluded_positive_ids", [])}
-        for b in open_:
-            at, has, banned = batches[b]
-            if own not in banned and has.isdisjoint(bans):
-                at.append(i)
-                has.add(own)
-                banned |= bans
-                if len(at) == size:
-                    open_.remove(b)
-                break
-        else:
-            batches.append(([i], {own}, set(bans)))
-            if size > 1:
-                open_.append(len(batches) - 1)
-    return [at for at, _, _ in batches]
-
-
 def usage(calls: DataFrame) -> DataFrame:
     """stage (null: all), requests, tokens, cost."""
     return calls.rollup("stage").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
 
 
-def manifest(inputs: DataFrame, stage: str, config: dict, counts: dict) -> DataFrame:
-    """One row that tells a run: hash of its inputs (path, digest), of its configuration, and counts."""
-    told = json.dumps(config, sort_keys=True, default=str)
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "digest"))), "\n"), 256)
-    return inputs.agg(digest.alias("inputs_hash")).select(F.lit(stage).alias("stage"), "inputs_hash", F.sha2(F.lit(told), 256).alias("config_hash"), F.lit(json.dumps(counts, sort_keys=True)).alias("counts"))
-
-
 def file_state(spark, folder: str) -> DataFrame:
     """path, size and time of files, to tell that a run left its inputs alone."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size"), "modificationTime")

@@ -184,10 +184,6 @@ def candidate_pool(dense: DataFrame, lexical: DataFrame, neighbours: DataFrame,
     return pool({"dense": cut(dense), "lexical": cut(lexical), "metadata": cut(neighbours), "time": timed}, limit)
 
 
-def ordered_judgments(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("partition", "query_id", "evidence_id")
-
-
 def shuffled(rows: DataFrame, by: str, seed: int, item: str = "evidence_id") -> DataFrame:
     """``rows`` with ``place``: a fixed shuffle of each group's items."""
     from lodestone.functions import ids
@@ -201,6 +197,55 @@ def accepted(scores: DataFrame, passes: int = 1) -> DataFrame:
     return scores.groupBy("query_id").agg(((F.count("*") >= passes) & F.bool_and(F.coalesce(good, F.lit(False)))).alias("accepted"))
 
 
+#: What a critic says of a question in one pass.
+SCORES = ("groundedness", "answerability", "evidence_sufficiency", "naturalness")
+ISSUES = ("ambiguity_issue", "leakage_issue", "temporal_issue")
+CRITIC = {
+    "type": "object",
+    "properties": {"accepted": {"type": "boolean"}, **{s: {"type": "integer", "minimum": 1, "maximum": 5} for s in SCORES}, **{i: {"type": ["string", "null"]} for i in ISSUES}},
+}
+_SCORE = "struct<accepted:boolean," + ",".join(f"{s}:int" for s in SCORES) + "," + ",".join(f"{i}:string" for i in ISSUES) + ">"
+
+
+def critic_requests(queries: DataFrame, evidence: DataFrame, double_evaluation: bool = True, seed: int = 7) -> DataFrame:
+    """query_id, pass, request: each question with its records in a shuffle of the pass's own, within the character budget.
+
+    queries: query_id, query, answerability, partition and the lists of ids; evidence: records. Questions of the evaluation partition
+    have two passes if ``double_evaluation`` says so, all others one; a question without records is asked about alone.
+    """
+    named = F.array_distinct(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("generation_source_ids", "primary_positive_ids", "supporting_positive_ids")]))
+    twice = (F.col("partition") == "evaluation") & F.lit(double_evaluation)
+    told = F.struct("query_id", "query", "answerability", "partition", "temporal_mode", "expected_claims").alias("candidate")
+    asked = queries.select("query_id", told, named.alias("ids"), F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("pass"))
+    rows = asked.select("query_id", "pass", F.explode("ids").alias("evidence_id")).join(prompt_items(evidence).select("evidence_id", "text", "item"), "evidence_id")
+    rows = shuffled(rows.withColumn("of", F.concat_ws(":", "query_id", F.col("pass").cast("string"))), "of", seed)
+    shown = packet(rows, "of", [F.col("place")]).groupBy("query_id", "pass").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("items"))
+    out = asked.drop("ids").join(shown, ["query_id", "pass"], "left")
+    return out.select("query_id", "pass", F.to_json(F.struct("candidate", "items", "pass")).alias("request"))
+
+
+def assessments(queries: DataFrame, answers: DataFrame, errors: DataFrame, double_evaluation: bool = True) -> DataFrame:
+    """query_id, accepted, scores (in the order of passes), deterministic_errors, critic_failures of every question.
+
+    answers: query_id, pass, response, error of the ``critic_requests``; errors: query_id, errors of ``all_query_errors``. Accepted are those
+    whose passes are all there and good enough, and that no rule forbids.
+    """
+    got = answers.select("query_id", "pass", F.from_json("response", _SCORE).alias("score"), "error")
+    by = got.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("pass", "score")))), lambda x: x["score"]).alias("scores"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("pass", "error")))), lambda x: x["error"]).alias("critic_failures"),
+    )
+    passes = F.when((F.col("partition") == "evaluation") & F.lit(double_evaluation), 2).otherwise(1)
+    x = queries.select("query_id", passes.alias("passes")).join(by, "query_id", "left").join(errors.select("query_id", F.col("errors").alias("deterministic_errors")), "query_id", "left")
+    clean = lambda s: F.forall(F.array(*[F.coalesce(s[i], F.lit("")) for i in ISSUES]), lambda i: i == "")
+    good = lambda s: s["accepted"] & (s["groundedness"] == 5) & (s["answerability"] >= 4) & (s["evidence_sufficiency"] >= 4) & (s["naturalness"] >= 3) & clean(s)
+    x = x.withColumn("scores", F.coalesce("scores", F.array().cast(f"array<{_SCORE}>")))
+    for c in ("critic_failures", "deterministic_errors"):
+        x = x.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    ok = (F.size("scores") == F.col("passes")) & F.forall("scores", lambda s: F.coalesce(good(s), F.lit(False))) & (F.size("deterministic_errors") == 0)
+    return x.select("query_id", ok.alias("accepted"), "scores", "deterministic_errors", "critic_failures")
+
+
 def exact_dedup(queries: DataFrame) -> DataFrame:
     """The first query (by id) of each text, white space and case aside."""
     w = Window.partitionBy(text.collapse(F.col("query"))).orderBy("query_id")

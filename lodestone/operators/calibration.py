@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scoring
+from lodestone.operators.partition import _saved
 
 FEATURES = ("top_score", "margin_2", "margin_10", "overlap_10", "likely_10", "mean_relevance_5")
 GATE_AUC, GATE_BALANCED, GATE_RECALL = 0.65, 0.60, 0.80
 
 
+def pools(rows: DataFrame, fan: int = 8) -> DataFrame:
+    """lo, hi, n, total of the pools of an isotonic fit of label on score: rates (total over n) rise from pool to pool.
+
+    Rows of one score are counted first. Pools of adjacent violators are those of the pools of each range of scores, pooled
+    again: ranges are pooled apart, then ``fan`` of them together, until one is left. The last step reads pools, not scores.
+    """
+    x = rows.where("score is not null").groupBy(F.col("score").cast("double").alias("lo")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("label").cast("double")).alias("total"))
+    x = x.select("lo", F.col("lo").alias("hi"), "n", "total").repartitionByRange("lo")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[list[float]] = []
+        for f in frames:
+            for lo, hi, n, total in f.itertuples(index=False):
+                stack.append([lo, hi, n, total])
+                while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
+                    lo2, hi2, n2, total2 = stack.pop()
+                    stack[-1] = [stack[-1][0], hi2, stack[-1][2] + n2, stack[-1][3] + total2]
+        yield pd.DataFrame(stack, columns=["lo", "hi", "n", "total"])
+
+    while True:
+        x = _saved(x.sortWithinPartitions("lo").mapInPandas(pooled, "lo double, hi double, n double, total double"))
+        if parts == 1:
+            return x
+        parts = max(1, parts // fan)
+        x = x.repartitionByRange(parts, "lo") if parts > 1 else x.coalesce(1)
+
+
 def isotonic(rows: DataFrame) -> tuple[list[float], list[float]]:
-    """Knots of an isotonic fit of label on score; their number is that of distinct levels of the fit."""
-    m = IsotonicRegression(featuresCol="score", labelCol="label").fit(rows.select("score", F.col("label").cast("double")))
-    return list(m.boundaries), list(m.predictions)
+    """Knots of an isotonic fit of label on score: the ends of each pool, with its rate. As many pools as rates, at most."""
+    xs, ys = [], []
+    for r in sorted(pools(rows).collect()):
+        for x in dict.fromkeys((r["lo"], r["hi"])):
+            xs.append(x)
+            ys.append(r["total"] / r["n"])
+    return xs, ys
 
 
 def relevance(hits: DataFrame, xs: list[float], ys: list[float]) -> DataFrame:

@@ -164,13 +164,6 @@ def encode(docs: DataFrame, encoder: Callable[[list[str]], np.ndarray], prefix:
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, vec array<double>")
 
 
-def refresh_vectors(docs: DataFrame, known: DataFrame, encoder: Callable) -> DataFrame:
-    """Vectors of all ``docs``: those ``known`` by id, and new ones for the rest."""
-    kept = known.join(docs.select("evidence_id"), "evidence_id", "left_semi")
-    fresh = encode(docs.join(known.select("evidence_id"), "evidence_id", "left_anti"), encoder)
-    return kept.select("evidence_id", "vec").unionByName(fresh)
-
-
 def validation_margin(examples: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
     """One row: margin, the mean of how much nearer the query is to the positive than to its first negative.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,11 +22,15 @@ def pilot(sessions: DataFrame, size: int, seed: int) -> DataFrame:
     return rows.withColumn("round", F.row_number().over(w)).orderBy("round", "bucket").limit(size).select("session_id", "round")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares; beside the warehouse where the session names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_rounds").rstrip("/")
+
+
 def _saved(df: DataFrame) -> DataFrame:
     """Lineage cut through the folder that the cluster shares."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_rounds"
-    path = f"{top.rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.functions.ids import stable_id
-from lodestone.operators import answering, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
-from lodestone.sources import artifacts, tables
+from lodestone.operators import answering, batches, benchmark, calibration, dense, evidence, lexical, metrics, partition, search
+from lodestone.sources import artifacts, tables, versions
 
 QUERY_PREFIX = "Find evidence for the question: "
 def _empty() -> Column:
@@ -88,28 +88,36 @@ def prepare(spark: SparkSession, data: str, out: str, validation_from: str, eval
 def index(spark: SparkSession, out: str, encoder: Callable | None = None, queries: DataFrame | None = None) -> dict:
     """Writes vectors (those of unchanged records are used again) and weighed postings, of the records that ``queries`` name too."""
     rows = evidence.select_index(spark.read.parquet(f"{out}/evidence"), None if queries is None else benchmark.required_ids(queries))
-    try:
-        known = spark.read.parquet(f"{out}/vectors")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = spark.createDataFrame([], "evidence_id string, vec array<double>")
-    tables.write_table(dense.refresh_vectors(rows, known, encoder or dense.hashing_encoder()), f"{out}/vectors.new")
-    tables.write_table(spark.read.parquet(f"{out}/vectors.new"), f"{out}/vectors")
+    known = vectors(spark, out)
+    fresh = dense.encode(rows.join(known, "evidence_id", "left_anti"), encoder or dense.hashing_encoder())
+    gone = known.join(rows, "evidence_id", "left_anti")
+    if rows.join(known, "evidence_id", "left_anti").limit(1).count() or gone.limit(1).count():
+        versions.write(fresh, f"{out}/vectors", "evidence_id", gone)
+    if versions.latest(spark, f"{out}/vectors") % COMPACT == COMPACT - 1:
+        versions.compact(spark, f"{out}/vectors", "evidence_id")
     weighed, terms, _ = lexical.index(rows)
     tables.write_table(terms, f"{out}/terms")
     tables.write_table(weighed, f"{out}/weights")
-    return {name: spark.read.parquet(f"{out}/{name}").count() for name in ("vectors", "terms", "weights")}
+    return {"vectors": vectors(spark, out).count(), **{name: spark.read.parquet(f"{out}/{name}").count() for name in ("terms", "weights")}}
+
+
+#: Versions of the vectors after which they are compacted.
+COMPACT = 8
+
+
+def vectors(spark: SparkSession, out: str) -> DataFrame:
+    """evidence_id, vec of the index."""
+    return versions.read(spark, f"{out}/vectors", "evidence_id", schema="evidence_id string, vec array<double>")
 
 
 def rankings(spark: SparkSession, out: str, queries: DataFrame, rows: DataFrame, k: int = 50, encoder: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Dense and lexical rankings of queries (query_id, query) over the indexed ``rows``."""
     allowed = rows.select("evidence_id")
-    vectors = spark.read.parquet(f"{out}/vectors").join(allowed, "evidence_id", "left_semi")
+    own = vectors(spark, out).join(allowed, "evidence_id", "left_semi")
     asked = dense.encode(queries.select("query_id", F.col("query").alias("text")), encoder or dense.hashing_encoder(), QUERY_PREFIX, "query_id")
     words = lexical.query_terms(queries).join(spark.read.parquet(f"{out}/terms"), "term")
     weighed = spark.read.parquet(f"{out}/weights").join(allowed, "evidence_id", "left_semi")
-    return dense.knn(vectors, asked, k), lexical.score(weighed, words, k)
+    return dense.knn(own, asked, k), lexical.score(weighed, words, k)
 
 
 def _moded(queries: DataFrame) -> DataFrame:
@@ -131,7 +139,7 @@ def query(spark: SparkSession, out: str, queries: DataFrame, *, as_of: str | Non
     queries = _moded(queries)
     payload = rows.select("evidence_id", "timestamp", "source_refs", F.coalesce("topic_key", F.get("session_ids", F.lit(0)), "evidence_id").alias("group_id"))
     d, x = rankings(spark, out, queries, rows)
-    indexed = whole.join(spark.read.parquet(f"{out}/vectors").select("evidence_id"), "evidence_id", "left_semi")
+    indexed = whole.join(vectors(spark, out).select("evidence_id"), "evidence_id", "left_semi")
     hits = search.hybrid_search(d, x, payload, queries.select("query_id", "mode", moment.alias("as_of")), limit=limit, at=search.latest(indexed), **options)
     if artifact:
         hits = calibration.runtime(hits, _features(d, x, artifact["relevance"]), artifact)
@@ -152,7 +160,7 @@ def _shown(spark: SparkSession, out: str, queries: DataFrame, **options) -> Data
 def answer(spark: SparkSession, out: str, queries: DataFrame, provider: Callable = answering.offline, **options) -> DataFrame:
     """Answers from the hits, checked and made again where they fail; a query without any hit is unsupported. With citations."""
     rows = spark.read.parquet(f"{out}/evidence")
-    told = answering.answer_queries(_shown(spark, out, queries, **options), rows, provider)
+    told = answering.answer_queries(_shown(spark, out, queries, **options), rows, provider, cache=f"{out}/cache")
     refs = answering.citations(told, rows).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", "source"))).alias("citations"))
     return told.join(refs, "query_id", "left")
 
@@ -181,27 +189,50 @@ def offline_questions(request: dict) -> dict:
     return {"queries": [{"query": " ".join(f"What was done about {first['title']}".split()[:30]), "answerability": "supported", "scope": request.get("scope", "single"), "expected_claims": [claim], "positive_ids": [first["evidence_id"]]}]}
 
 
+#: What a generator and a judge must answer.
+QUESTIONS = {"type": "object", "properties": {"queries": {"type": "array", "items": {"type": "object", "properties": {"query": {"type": "string"}, "answerability": {"enum": ["supported", "partial", "unsupported"]}, "scope": {"type": "string"}, "expected_claims": {"type": "array", "items": {"type": "object"}}, "positive_ids": {"type": "array", "items": {"type": "string"}}}}}}}
+GRADE = {"type": "object", "properties": {"grade": {"type": "integer", "minimum": 0, "maximum": 3}, "claims": {"type": "array", "items": {"type": "string"}}, "quotes": {"type": "array", "items": {"type": "string"}}}}
 _MADE = "struct<queries:array<struct<query:string,answerability:string,scope:string,expected_claims:array<struct<claim_id:string,text:string,supporting_evidence_ids:array<string>,evidence_quotes:map<string,string>>>,positive_ids:array<string>>>>"
 
 
-def generate(spark: SparkSession, out: str, provider: Callable = offline_questions) -> dict:
-    """Writes a benchmark of questions about groups of sources, checked, without those that say the same; counts by issue."""
+def offline_critic(request: dict) -> dict:
+    """A critic for use without a model: content with questions of which every quote is in the records shown, and that have some."""
+    shown = {i["evidence_id"]: i["text"] for i in request.get("items") or []}
+    quotes = [(e, q) for c in request["candidate"].get("expected_claims") or [] for e, q in (c.get("evidence_quotes") or {}).items()]
+    good = bool(quotes) and all(q in shown.get(e, "") for e, q in quotes)
+    return {"accepted": good, "groundedness": 5 if good else 2, "answerability": 5 if good else 2, "evidence_sufficiency": 5, "naturalness": 4, **dict.fromkeys(benchmark.ISSUES)}
+
+
+def criticize(spark: SparkSession, out: str, critic: Callable = offline_critic, double_evaluation: bool = True, seed: int = 7) -> dict:
+    """Writes the assessments of all candidates, and those accepted that don't say the same as the benchmark; counts, and rejections by issue."""
+    rows, q = spark.read.parquet(f"{out}/evidence"), spark.read.parquet(f"{out}/candidates")
+    asked = benchmark.critic_requests(q, rows, double_evaluation, seed)
+    got = answering.cached_complete(asked.withColumn("key", F.struct("query_id", "pass")), f"{out}/cache", critic, key="key", stage="critic", schema=benchmark.CRITIC, required=("accepted", *benchmark.SCORES))
+    told = benchmark.assessments(q, got.select("key.*", "response", "error"), benchmark.all_query_errors(q, rows), double_evaluation)
+    tables.write_table(told, f"{out}/assessments")
+    told = spark.read.parquet(f"{out}/assessments")
+    good = benchmark.exact_dedup(q.join(told.where("accepted"), "query_id", "left_semi"))
+    kept = benchmark.greedy_keep(good.select("query_id"), benchmark.similar_pairs(good.select("query_id", "query")))
+    tables.write_table(good.join(kept, "query_id", "left_semi"), f"{out}/queries")
+    whole = spark.read.parquet(f"{out}/queries")
+    summary: dict = {}
+    for r in benchmark.summary(whole).collect():  # a few values of four fields
+        summary.setdefault(r["field"], {})[r["value"]] = r["queries"]
+    return {"accepted": told.where("accepted").count(), "kept": whole.count(), "rejections": {r["issue"]: r["n"] for r in benchmark.rejections(told).collect()}, "summary": summary}
+
+
+def generate(spark: SparkSession, out: str, provider: Callable = offline_questions, critic: Callable = offline_critic) -> dict:
+    """Writes candidates of questions about groups of sources, then the benchmark of those that pass rules and criticism; counts."""
     rows = benchmark.prompt_items(spark.read.parquet(f"{out}/evidence"))
     groups = benchmark.generation_groups(rows).join(rows, "evidence_id")
     packets = benchmark.packet(groups, "group_id", [F.col("place"), F.col("evidence_id")])
     items = packets.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id", "item"))), lambda x: x["item"]).alias("items"), F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("generation_source_ids"), F.max_by("partition", -F.col("place")).alias("partition"))
-    got = answering.complete(items.select("group_id", F.to_json(F.struct("items")).alias("request")), provider, key="group_id", required=("queries",)).join(items.drop("items"), "group_id")
+    got = answering.cached_complete(items.select("group_id", F.to_json(F.struct("items")).alias("request")), f"{out}/cache", provider, key="group_id", stage="generate", schema=QUESTIONS, required=("queries",)).join(items.drop("items"), "group_id")
     q = got.select("group_id", "generation_source_ids", "partition", F.posexplode(F.from_json("response", _MADE)["queries"]).alias("k", "q")).select("*", "q.*").drop("q")
     q = q.withColumn("query_id", stable_id("query", F.col("group_id"), F.col("k"), F.col("query"))).withColumn("primary_positive_ids", F.col("positive_ids")).withColumn("supporting_positive_ids", _empty())
     q = q.withColumn("temporal_mode", text.temporal_mode(F.col("query"))).drop("k", "positive_ids")
-    tables.write_table(q, f"{out}/queries.made")
-    q = spark.read.parquet(f"{out}/queries.made")
-    errors = benchmark.all_query_errors(q, rows)
-    good = benchmark.exact_dedup(q.join(errors.where(F.size("errors") == 0), "query_id", "left_semi"))
-    kept = benchmark.greedy_keep(good.select("query_id"), benchmark.similar_pairs(good.select("query_id", "query")))
-    tables.write_table(good.join(kept, "query_id", "left_semi"), f"{out}/queries")
-    issues = {r["issue"]: r["n"] for r in errors.select(F.explode("errors").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).collect()}  # a few kinds of issues
-    return {"made": q.count(), "kept": spark.read.parquet(f"{out}/queries").count(), "issues": issues}
+    tables.write_table(q, f"{out}/candidates")
+    return {"made": spark.read.parquet(f"{out}/candidates").count(), **criticize(spark, out, critic)}
 
 
 def offline_judge(request: dict) -> dict:
@@ -222,7 +253,7 @@ def judge(spark: SparkSession, out: str, provider: Callable = offline_judge) ->
     pooled = benchmark.candidate_pool(d, x, near, dated, queries)
     own = pooled.join(queries.select("query_id", "query", F.col("primary_positive_ids").alias("positive_ids"), "answerability", "partition"), "query_id").join(rows.select("evidence_id", "text", F.col("partition").alias("of")), "evidence_id").where("of = partition")
     asked = own.select(F.struct("query_id", "evidence_id").alias("pair"), F.to_json(F.struct("query", "evidence_id", "positive_ids", F.left("text", F.lit(benchmark.ITEM)).alias("text"))).alias("request"))
-    got = answering.complete(asked.withColumn("key", F.to_json("pair")).select("key", "request"), provider, key="key", required=("grade",))
+    got = answering.cached_complete(asked.withColumn("key", F.to_json("pair")).select("key", "request"), f"{out}/cache", provider, key="key", stage="judge", schema=GRADE, required=("grade",))
     shape = "struct<grade:long,claims:array<string>,quotes:array<string>>"
     got = got.where("response is not null").select(F.from_json("key", "struct<query_id:string,evidence_id:string>").alias("p"), F.from_json("response", shape).alias("r")).select("p.*", "r.*")
     stands = benchmark.normalized_judgments(got.withColumn("ordinal", F.lit(0).cast("long")), rows, queries)
@@ -234,15 +265,27 @@ def judge(spark: SparkSession, out: str, provider: Callable = offline_judge) ->
     return {str(r["grade"]): r["count"] for r in sorted(by, key=lambda r: r["grade"])}
 
 
-def train(spark: SparkSession, out: str) -> dict:
-    """Writes the training examples of an encoder, isolated from validation and evaluation; the encoder itself is trained elsewhere."""
+def train(spark: SparkSession, out: str, size: int = 16) -> dict:
+    """Writes the training examples of an encoder, isolated from validation and evaluation, and batches without false negatives.
+
+    The encoder itself is trained elsewhere.
+    """
     rows, queries = spark.read.parquet(f"{out}/evidence"), spark.read.parquet(f"{out}/queries")
     own = queries.where("partition = 'train'").withColumn("positive_ids", F.concat("primary_positive_ids", "supporting_positive_ids"))
     x = answering.training_triples(own, spark.read.parquet(f"{out}/judgments"))
     if answering.isolation_breaches(x, queries, rows).limit(1).count():
         raise ValueError("a training example isn't of the training partition")
-    tables.write_table(x, f"{out}/training")
-    return {"examples": spark.read.parquet(f"{out}/training").count()}
+    tables.write_table(x.withColumn("example_id", stable_id("example", F.col("query_id"), F.col("positive_id"))), f"{out}/training")
+    x = spark.read.parquet(f"{out}/training")
+    tables.write_table(batches.conflict_free_batches(x, size), f"{out}/batches")
+    dealt = spark.read.parquet(f"{out}/batches")
+    return {"examples": x.count(), "batches": dealt.select("batch").distinct().count(), "conflicts": batches.conflicts(dealt, x).count()}
+
+
+def usage(spark: SparkSession, out: str) -> dict:
+    """Requests, tokens and cost of all calls that are kept, by stage; ``all`` is their sum."""
+    found = answering.usage(answering.read_cache(spark, f"{out}/cache")).collect()  # a row for each stage
+    return {r["stage"] or "all": {k: r[k] or 0 for k in ("requests", "tokens", "cost")} for r in found}
 
 
 def evaluate(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame, partitions: list[str] | None = None, **options) -> DataFrame:

@@ -9,8 +9,10 @@ import datetime as dt
 import hashlib
 import json
 import stat
+import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,15 +71,21 @@ def _file(spark: SparkSession, path: str):
 
 
 def write_document(spark: SparkSession, path: str, value: object) -> None:
-    """A small JSON document, with sorted keys; a reader sees the old one or the new one, never a part."""
-    p, fs = _file(spark, path)
-    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    out = fs.create(part, True)
+    """A small JSON document, with sorted keys; a reader sees the old one or the new one, never a part or none."""
+    jvm = spark.sparkContext._jvm
+    p, _ = _file(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if p.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _put(fs.create(part, False), value)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(part, p, over)
+
+
+def _put(out, value: object) -> None:
     out.write(bytearray((json.dumps(value, sort_keys=True, indent=2, default=str) + "\n").encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"can't write {path}")
 
 
 def read_document(spark: SparkSession, path: str) -> object:
@@ -85,11 +93,15 @@ def read_document(spark: SparkSession, path: str) -> object:
 
 
 def mark_once(spark: SparkSession, path: str, value: object) -> None:
-    """A mark that a run is over; raises where it is already."""
+    """A mark that a run is over; raises where it is already. Of two runs at once, one makes the mark and the other raises."""
     p, fs = _file(spark, path)
-    if fs.exists(p):
-        raise RuntimeError(f"this has been run: {path}")
-    write_document(spark, path, value)
+    try:
+        out = fs.create(p, False)  # fails where the file is
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        raise RuntimeError(f"this has been run: {path}") from None
+    _put(out, value)
 
 
 def run_manifest(spark: SparkSession, stage: str, data: str, config: dict, counts: dict, now: dt.datetime | None = None) -> dict:

@@ -19,14 +19,25 @@ REQUIRED = {
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A table with its required columns, and source_row, its rows' place in the file."""
+    """A table with its required columns, and source_row, its rows' place in the table: files in the order of their paths."""
     if name not in REQUIRED:
         raise ValueError(f"unknown table: {name}")
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     missing = [c for c in REQUIRED[name] if c not in df.columns]
     if missing:
         raise ValueError(f"{name} lacks {', '.join(missing)}")
-    return df.select(*(columns or df.columns), F.col("_metadata.row_index").alias("source_row"))
+    return numbered(df, columns or df.columns)
+
+
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of a Parquet table as read, and source_row: the place in the file, after the rows of the files before it."""
+    at = df.select(*columns, F.col("_metadata.row_index").alias("source_row"), F.col("_metadata.file_path").alias("__file"))
+    if len(df.inputFiles()) < 2:
+        return at.drop("__file")
+    # rows of each file without reading a column; one row for each file
+    sizes = df.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("n"))
+    before = sizes.select("__file", (F.sum("n").over(Window.orderBy("__file")) - F.col("n")).alias("__before"))
+    return at.join(before, "__file").withColumn("source_row", F.col("source_row") + F.col("__before")).drop("__file", "__before")
 
 
 def validate(spark: SparkSession, folder: str) -> dict[str, int]:
@@ -90,8 +101,3 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Atomic by the commit protocol of the file writer."""
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str = "evidence_id") -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key isn't among them."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

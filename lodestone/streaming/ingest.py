@@ -1,8 +1,4 @@
-"""Incremental evidence: a stream of texts becomes a table keyed by stable ids, so replays change nothing.
-
-The table is only added to: a record's id hashes its content, so a change is another record. Records are kept by a
-prefix of their id, and a batch reads only the ids of the prefixes that it has.
-"""
+"""Incremental evidence: a stream of texts becomes a versioned table keyed by stable ids, so replays change nothing."""
 
 from __future__ import annotations
 
@@ -11,24 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.evidence import records
+from lodestone.sources import versions
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Evidence of a stream with columns source and text, added to a Parquet table; available data, then stop."""
-
-    def batch(df: DataFrame, version: int) -> None:
-        spark = df.sparkSession
-        new = records(df, "stream", [F.col("source")], F.col("source"), F.col("text")).select("evidence_id", "title", "text", "content_hash").dropDuplicates(["evidence_id"])
-        new = new.withColumn("part", F.concat(F.lit("p"), F.substring(F.substring_index("evidence_id", ":", -1), 1, 2))).withColumn("version", F.lit(version).cast("long"))
-        try:
-            old = spark.read.parquet(table)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = new.limit(0)
-        # a batch that is played again finds what it wrote
-        known = old.select("evidence_id", "part")
-        new.join(known, ["part", "evidence_id"], "left_anti").write.partitionBy("part").mode("append").parquet(table)
+    """Evidence of a stream with columns source, text and at, by source: its text with the last ``at`` is in force, and a null text deletes it.
+
+    A batch is the version of its number, so one that is played again writes what it wrote. All that is there, then stop.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        last = df.groupBy("source").agg(F.max_by(F.struct("text", "at"), "at").alias("x")).select("source", "x.text")
+        new = records(last.where("text is not null"), "stream", [F.col("source")], F.col("source"), F.col("text"))
+        versions.write(new.select("source", "evidence_id", "title", "text", "content_hash"), table, "source", last.where("text is null"), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
