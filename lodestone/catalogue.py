@@ -326,6 +326,52 @@ def session_cards(t):
     return evidence.session_cards(t.turns)
 
 
+# conversations as logs: a turn's place is its row, and its record cites it
+_TURNS = """
+tr AS (
+  SELECT 's' || conv_id AS session_id, conv_id || '-' || turn AS turn_id, 1000 * conv_id + turn AS pos, CASE role WHEN 'user' THEN 'user_prompt' ELSE 'assistant_response' END AS kind,
+    regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x
+  FROM conversations WHERE role <> 'system' AND regexp_matches(text, '\\S')),
+re AS (SELECT *, 'conversation:' || left(sha256(turn_id || '|0|' || sha256(x)), 24) AS evidence_id FROM tr)"""
+
+
+def _turn_records(t) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    kind = F.when(F.col("role") == "user", "user_prompt").when(F.col("role") == "assistant", "assistant_response").otherwise("system_event")
+    rows = t.conversations.select(F.concat(F.lit("s"), s("conv_id")).alias("session_id"), F.concat_ws("-", s("conv_id"), s("turn")).alias("turn_id"), kind.alias("turn_type"), F.col("text").alias("content"), (F.col("conv_id") * 1000 + F.col("turn")).alias("source_row"))
+    return evidence.shaped(evidence.conversation_evidence(rows))
+
+
+@_query(f"WITH {_TURNS} SELECT evidence_id, replace(kind, '_', ' ') AS title, 'sha256:' || sha256(x) AS content_hash, 'conversations.parquet/' || pos || '/' || session_id || '/' || turn_id AS citation FROM re")
+def conversation_records(t):
+    ref = F.col("source_refs")[0]
+    return _turn_records(t).select("evidence_id", "title", "content_hash", F.concat_ws("/", ref["source_file"], ref["source_row"].cast("string"), ref["session_id"], ref["turn_id"]).alias("citation"))
+
+
+# a card asks with the first eight prompts and concludes with the last three responses; its parents are all turns
+_CARDS = f"""
+WITH {_TURNS},
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY pos) AS a, row_number() OVER (PARTITION BY session_id, kind ORDER BY pos DESC) AS z FROM re),
+c AS (
+  SELECT session_id, string_agg(evidence_id, ',' ORDER BY pos, evidence_id) AS parents,
+    string_agg('- ' || x, chr(10) ORDER BY pos) FILTER (kind = 'user_prompt' AND a <= 8) AS asked, string_agg('- ' || x, chr(10) ORDER BY pos) FILTER (kind = 'assistant_response' AND z <= 3) AS said
+  FROM k GROUP BY 1),
+f AS (
+  SELECT *, left('Session: ' || session_id || chr(10) || chr(10) || 'Agent: unknown' || chr(10) || chr(10) || 'Strategy: unknown' || coalesce(chr(10) || chr(10) || 'Problems and requests:' || chr(10) || asked, '')
+    || coalesce(chr(10) || chr(10) || 'Assistant conclusions:' || chr(10) || said, '') || chr(10) || chr(10) || 'Missing source relationships: session_log', 8000) AS body FROM c),
+g AS (SELECT *, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS x FROM f)
+SELECT 'session:' || left(sha256(session_id || '|' || sha256(x)), 24) AS evidence_id, 'Session ' || session_id AS title, 'sha256:' || sha256(x) AS content_hash, parents, 'sessions.parquet' AS cited FROM g"""
+
+
+@_query(_CARDS)
+def session_records(t):
+    turns = _turn_records(t)
+    sessions = turns.select(F.explode("session_ids").alias("session_id")).distinct().select("session_id", F.lit(None).cast("timestamp").alias("created_at"), F.array(F.lit("session_log")).alias("missing"), F.array().cast("array<string>").alias("checkpoint_pks"))
+    none = turns.limit(0)
+    out = evidence.session_evidence(sessions, turns, None, none, none)
+    return out.select("evidence_id", "title", "content_hash", F.array_join("parent_ids", ",").alias("parents"), F.array_join(F.transform("source_refs", lambda r: r["source_file"]), ",").alias("cited"))
+
+
 @_query("WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 <> 0 AS known FROM orders), x AS (SELECT c_custkey, c_custkey % 3 = 0 AS logged, count(o_orderkey) AS turns, count(o_orderkey) FILTER (known) AS points, count(o_orderkey) FILTER (NOT known) AS lost FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY ALL), c AS (SELECT o_custkey AS c_custkey, count(DISTINCT l_partkey) AS commits FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE known GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS session_id, turns, points AS checkpoints, coalesce(commits, 0) AS commits, lost + (NOT logged)::INT + (turns = 0)::INT AS missing FROM x LEFT JOIN c USING (c_custkey)")
 def missing_relationships(t):
     s = lambda c: F.col(c).cast("string")
@@ -700,6 +746,41 @@ def retrieval_impact(t):
     return out.select("stage", *[F.round(c, 6).alias(c) for c in out.columns if c != "stage"])
 
 
+# four hybrids, the lexical and the dense ranking; the best hybrid meets the other two
+_EXPERIMENT = f"""
+WITH {_FUSE}, {_PAY}, {_REL},
+x_gr AS (SELECT * FROM (VALUES (0, 0.1, 0.0), (1, 0.1, 0.2), (2, 0.3, 0.0), (3, 0.3, 0.2)) v(trial, floor, weight)),
+x_h AS (
+  SELECT trial, query_id, evidence_id, round(fusion_score * (1 + weight * ({_UTIL})), 12) AS s
+  FROM f JOIN pay USING (evidence_id) JOIN m USING (query_id), la, x_gr WHERE NOT (coalesce(dense_score < floor, false) AND lexical_rank IS NULL)),
+x_k AS (
+  SELECT trial, query_id, evidence_id, row_number() OVER (PARTITION BY trial, query_id ORDER BY s DESC, evidence_id) AS rank FROM x_h
+  UNION ALL SELECT -1, query_id, evidence_id, rank FROM l UNION ALL SELECT -2, query_id, evidence_id, rank FROM d),
+x_i AS (
+  SELECT query_id, sum(CASE WHEN n <= 10 THEN 7 / log2(n + 1) ELSE 0 END) AS ideal
+  FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS n FROM rel) GROUP BY 1),
+x_g AS (
+  SELECT trial, query_id, sum(CASE WHEN rank <= 10 AND grade > 0 THEN 7 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN rank <= 10 AND grade > 0 THEN rank END) AS first
+  FROM x_k LEFT JOIN rel USING (query_id, evidence_id) WHERE rank <= 50 GROUP BY 1, 2),
+x_x AS (SELECT trial, round(avg(round(coalesce(dcg, 0) / ideal, 9)), 9) AS ndcg, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr
+  FROM x_i CROSS JOIN (SELECT DISTINCT trial FROM x_k) LEFT JOIN x_g USING (trial, query_id) GROUP BY 1),
+x_b AS (SELECT trial, floor, weight, ndcg, mrr FROM x_x JOIN x_gr USING (trial) ORDER BY ndcg DESC, mrr DESC, weight, trial LIMIT 1),
+x_v AS (
+  SELECT CASE trial WHEN -1 THEN 'lexical' ELSE 'dense' END AS variant, -trial AS place, ndcg, mrr FROM x_x WHERE trial < 0
+  UNION ALL SELECT CASE WHEN weight > 0 THEN 'hybrid_temporal' ELSE 'hybrid' END, 3, ndcg, mrr FROM x_b)
+SELECT variant, round(x_v.ndcg, 6) AS ndcg, round(x_v.mrr, 6) AS mrr, x_b.trial, CAST(x_b.floor AS DOUBLE) AS floor, CAST(x_b.weight AS DOUBLE) AS weight FROM x_v, x_b ORDER BY x_v.ndcg DESC, x_v.mrr DESC, place LIMIT 1"""
+
+
+@_query(_EXPERIMENT)
+def experiment_choice(t):
+    grid = t.spark.createDataFrame([(0, 0.1, 0.0), (1, 0.1, 0.2), (2, 0.3, 0.0), (3, 0.3, 0.2)], "trial int, floor double, weight double")
+    at = t.payload.agg(F.max("timestamp").alias("latest"))
+    d, x = t.d50, t.l50
+    hits = search.fuse(d, x).join(t.payload.select("evidence_id", "timestamp"), "evidence_id").join(t.modes.select("query_id", "mode"), "query_id").crossJoin(F.broadcast(at))  # one row
+    best = calibration.choose(calibration.trials(hits, {"lexical": x, "dense": d}, grid, t.same_label, t.asked))
+    return best.withColumn("ndcg", F.round("ndcg", 6)).withColumn("mrr", F.round("mrr", 6))
+
+
 @_query(f"WITH {_SC}, c AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n, count(*) FILTER (label = 1 AND score >= 0.3) AS tp, count(*) FILTER (label = 0 AND score >= 0.3) AS fp FROM sc) SELECT round((tp + n - fp) / (p + n), 9) AS accuracy, round((tp / p + (n - fp) / n) / 2, 9) AS balanced_accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(tp / p, 9) AS recall FROM c")
 def threshold_metrics(t):
     return metrics.binary_metrics(t.scored, 0.3).select("accuracy", "balanced_accuracy", "precision", "recall")

@@ -198,6 +198,40 @@ def filter_gate(ndcg: tuple[float, float], recall: tuple[float, float]) -> bool:
     return ndcg[1] >= ndcg[0] and recall[1] >= 0.95 * recall[0]
 
 
+def trials(hits: DataFrame, rankings: dict[str, DataFrame], grid: DataFrame, qrels: DataFrame, queries: DataFrame, half_life: float = 30) -> DataFrame:
+    """trial, variant, floor, weight, ndcg, mrr of every hybrid of a ``grid`` and of other ``rankings`` by name, in one plan.
+
+    hits: fused, with dense_score, lexical_rank, fusion_score, timestamp, mode and latest; grid: trial, floor, weight, a few rows;
+    rankings: query_id, evidence_id, rank, numbered -1, -2 and so on. Hybrids with a weight are another variant than those without.
+    """
+    from lodestone.operators import metrics, search
+
+    tried = hits.crossJoin(F.broadcast(grid))  # a dozen rows
+    tried = tried.where(~(F.coalesce(F.col("dense_score") < F.col("floor"), F.lit(False)) & F.col("lexical_rank").isNull()))
+    tried = search.temporal_rerank(tried, F.col("mode"), F.col("latest"), F.col("weight"), half_life)
+    # a query of a trial is a query of its own
+    own = lambda df: df.withColumn("query_id", F.struct("trial", "query_id"))
+    ranked = search.final_rank(own(tried), 50).select("query_id", "evidence_id", F.col("final_rank").alias("rank"))
+    named = grid.select("trial", F.when(F.col("weight") > 0, "hybrid_temporal").otherwise("hybrid").alias("variant"), "floor", "weight")
+    for k, (name, ranking) in enumerate(rankings.items(), 1):
+        one = grid.sparkSession.range(1).select(F.lit(-k).alias("trial"), F.lit(name).alias("variant"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("double").alias("weight"))
+        named = named.unionByName(one)
+        ranked = ranked.unionByName(own(ranking.where("rank <= 50").withColumn("trial", F.lit(-k))).select("query_id", "evidence_id", "rank"))
+    every = F.broadcast(named.select("trial"))
+    m = metrics.retrieval_metrics(ranked, own(qrels.crossJoin(every)), own(queries.select("query_id").crossJoin(every)))
+    by = m.groupBy(F.col("query_id.trial").alias("trial")).agg(F.round(F.avg("ndcg_10"), 9).alias("ndcg"), F.round(F.avg("mrr_10"), 9).alias("mrr"))
+    return by.join(F.broadcast(named), "trial")
+
+
+def choose(tried: DataFrame) -> DataFrame:
+    """One row of ``trials``: the variant with the best (ndcg, mrr), the simpler one on ties, with the best hybrid's floor and weight."""
+    hybrid = best_trial(tried.where("trial >= 0"))
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, ("lexical", "dense", "hybrid", "hybrid_temporal"))), F.col("variant")), F.lit(9))
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("ndcg"), F.desc("mrr"), place)  # a few variants
+    best = tried.where("trial < 0").unionByName(hybrid.select(*tried.columns)).withColumn("r", F.row_number().over(w)).where("r = 1")
+    return best.select("variant", "ndcg", "mrr").crossJoin(F.broadcast(hybrid.select("trial", "floor", "weight")))
+
+
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial with the best (ndcg, mrr, least weight); the first on ties."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("ndcg"), F.desc("mrr"), "weight", "trial")  # a grid of a few dozen rows

@@ -302,9 +302,10 @@ def evaluate(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame
 
 
 def experiment(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame, floors: tuple = (0.0, 0.1, 0.2), weights: tuple = (0.0, 0.1, 0.2, 0.3), partitions: list[str] | None = None) -> DataFrame:
-    """The best trial of a grid of floors and temporal weights on ``queries``: by nDCG, then MRR, then least weight.
+    """The variant to use, of lexical, dense and hybrids over a grid of floors and temporal weights: by nDCG, then MRR.
 
-    Only records of ``partitions`` are found, so that later evidence doesn't compete in tuning.
+    Hybrids are tuned on ``queries`` first, by nDCG, MRR and least weight; the best one's floor and weight come along. Only records of
+    ``partitions`` are found, so that later evidence doesn't compete in tuning. All trials are written.
     """
     rows = search.allowed(spark.read.parquet(f"{out}/evidence"), partitions)
     d, x = rankings(spark, out, queries, rows)
@@ -313,15 +314,11 @@ def experiment(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFra
     grid = spark.createDataFrame(grid, "trial int, floor double, weight double")
     at = rows.agg(F.max("timestamp").alias("latest"))
     asked = queries.select("query_id", text.temporal_mode(F.col("query")).alias("mode"))
-    hits = spark.read.parquet(f"{out}/traces").join(asked, "query_id").crossJoin(F.broadcast(at)).crossJoin(F.broadcast(grid))  # one row, and a dozen
-    hits = hits.where(~(F.coalesce(F.col("dense_score") < F.col("floor"), F.lit(False)) & F.col("lexical_rank").isNull()))
-    hits = search.temporal_rerank(hits, F.col("mode"), F.col("latest"), F.col("weight"), 30)
-    # a query of a trial is a query of its own
-    own = lambda df: df.withColumn("query_id", F.struct("trial", "query_id"))
-    ranked = search.final_rank(own(hits), 50).select("query_id", "evidence_id", F.col("final_rank").alias("rank"))
-    m = metrics.retrieval_metrics(ranked, own(qrels.crossJoin(F.broadcast(grid.select("trial")))), own(queries.crossJoin(F.broadcast(grid.select("trial")))))
-    by = m.groupBy(F.col("query_id.trial").alias("trial")).agg(F.round(F.avg("ndcg_10"), 9).alias("ndcg"), F.round(F.avg("mrr_10"), 9).alias("mrr"))
-    return calibration.best_trial(by.join(F.broadcast(grid), "trial"))
+    traces = spark.read.parquet(f"{out}/traces")
+    of = lambda kind: traces.where(f"{kind}_rank is not null").select("query_id", "evidence_id", F.col(f"{kind}_rank").alias("rank"))
+    hits = traces.join(asked, "query_id").crossJoin(F.broadcast(at))  # one row
+    tables.write_table(calibration.trials(hits, {"lexical": of("lexical"), "dense": of("dense")}, grid, qrels, queries), f"{out}/trials")
+    return calibration.choose(spark.read.parquet(f"{out}/trials"))
 
 
 def freeze(spark: SparkSession, out: str, trial: dict) -> None:
@@ -330,14 +327,15 @@ def freeze(spark: SparkSession, out: str, trial: dict) -> None:
 
 
 def evaluate_once(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFrame) -> dict:
-    """The frozen trial on the evaluation partition; a second run raises, and so do questions without a valid answer."""
+    """The frozen variant on the evaluation partition; a second run raises, and so do questions without a valid answer."""
     trial = artifacts.read_document(spark, f"{out}/frozen.json")
     answers = artifacts.read_answers(spark, f"{out}/answers", "query_id string, valid boolean")
     if answering.missing_answers(queries, answers).limit(1).count():
         raise RuntimeError("some questions have no valid answer")
     artifacts.mark_once(spark, f"{out}/evaluated.json", {"trial": trial})
     found = evaluate(spark, out, queries, qrels, ["evaluation"], floor=trial["floor"], weight=trial["weight"])
-    return {r["variant"]: r.asDict() for r in found.collect()}
+    name = "hybrid" if trial["variant"].startswith("hybrid") else trial["variant"]
+    return {r["variant"]: r.asDict() for r in found.where(F.col("variant") == name).collect()}
 
 
 def calibrate(spark: SparkSession, out: str, qrels: DataFrame, queries: DataFrame | None = None) -> dict:
