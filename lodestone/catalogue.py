@@ -591,6 +591,33 @@ def annotated_hits(t):
     return out.select("query_id", "evidence_id", F.round("relevance_probability", 6).alias("relevance_probability"), "calibration_version", "passes_relevance_threshold", "calibration_filtering_enabled", "lexical_rescue")
 
 
+# queries of which fewer than three of the first ten hits are likely are abstained from
+@_query(f"""
+WITH {_FUSE}, x_n AS (SELECT query_id, count(*) FILTER ({_INTER.format('score')} >= 0.5) AS likely FROM d WHERE rank <= 10 GROUP BY 1)
+SELECT query_id, evidence_id, round(1 / (1 + exp(2.5 - likely)), 9) AS answerability_probability FROM f JOIN x_n USING (query_id) WHERE likely >= 3""")
+def abstained_hits(t):
+    d, x = t.d50, t.l50
+    model = {"mean": [0.0] * 6, "scale": [1.0] * 6, "weights": [float(f == "likely_10") for f in calibration.FEATURES], "bias": -2.5, "probability_threshold": 0.5, "enabled_for_abstention": True}
+    artifact = {"version": "v1", "relevance": {"x_thresholds": XS, "y_thresholds": YS, "raw_score_threshold": 0.4}, "answerability": model}
+    out = calibration.runtime(search.fuse(d, x), calibration.query_features(d, x, XS, YS), artifact)
+    return out.select("query_id", "evidence_id", F.round("answerability_probability", 9).alias("answerability_probability"))
+
+
+# each record cites two places of three files; a group cites those of its best three, each once
+@_query(f"""
+WITH {_GROUP},
+x_c AS (SELECT query_id, group_id, n, unnest(['f' || evidence_id % 3 || ':' || evidence_id % 2, 'f' || (evidence_id + 1) % 3 || ':0']) AS c, unnest([1, 2]) AS i FROM k WHERE n <= 3),
+x_d AS (SELECT query_id, group_id, c, min(10 * n + i) AS o FROM x_c GROUP BY ALL),
+x_s AS (SELECT query_id, group_id, string_agg(c, ',' ORDER BY o) AS citations FROM x_d GROUP BY 1, 2),
+x_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, evidence_id) AS place FROM g)
+SELECT query_id, group_id, citations FROM x_r JOIN x_s USING (query_id, group_id) WHERE place <= 10""")
+def cited_hits(t):
+    at = lambda shift, row: evidence.source_ref(F.concat(F.lit("f"), ((F.col("evidence_id") + shift) % 3).cast("string")), "parquet", source_row=row)
+    hits = _reranked(t).withColumn("source_refs", F.array(at(0, F.col("evidence_id") % 2), at(1, F.lit(0))))
+    told = F.transform("citations", lambda c: F.concat_ws(":", c["source_file"], c["source_row"].cast("string")))
+    return search.group_hits(hits, 10).select("query_id", "group_id", F.array_join(told, ",").alias("citations"))
+
+
 @_query("WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+') AS w FROM benchmark), g AS (SELECT query_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w), tf AS (SELECT query_id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1), x AS (SELECT query_id, term, tf * idf AS w FROM tf JOIN df USING (term)), n AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM x GROUP BY 1), y AS (SELECT query_id, term, w / n AS w FROM x JOIN n USING (query_id)) SELECT a.query_id AS a, b.query_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM y a JOIN y b ON a.term = b.term AND a.query_id < b.query_id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= 0.05")
 def tfidf_pairs(t):
     rows = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
