@@ -217,3 +217,22 @@ def test_every_notice_of_a_paragraph():
     assert told(gpl) == [(0, "GPL-3.0")]
     assert told(f"{filler}\n * " + gpl.replace("\n", "\n * ") + f"\n\n{mit}") == [(1, "GPL-3.0"), (6, "MIT")]
     assert told("no notice\nat all in these\nlines of text") == []
+
+
+NOTICES = [
+    ("This file is free software under the terms of the GPL version 2 or (at your option) any later version.", "GPL-2.0"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "AGPL-3.0"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "GPL-3.0"),
+    ("Licensed under MIT.", "MIT"), ("Our little tool is licensed under MIT. Have fun with it.", "MIT"), ("SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.", "Unlicense"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0"), ("SPDX-License-Identifier: Whatever-9.9", "unknown"), ("Licensed under the Glorp License, version 4.", "unknown"),
+    ("The weather was fine and the ferry left the harbour at noon.", ""), ("He has a licence to drive, and the copyright of his songs is his own.", ""),
+]
+
+
+def test_everyday_notices(spark):
+    found = licences.scan(table(spark, [(k, t, None, None, 0) for k, (t, _) in enumerate(NOTICES)] + [(99, "word " * 200_000 + "Licensed under MIT.", None, None, 0)] * 2)).collect()
+    got = {r.doc_id: ",".join(sorted({s.split(":")[1] for s in r.spans.split(",") if s})) for r in found}
+    assert {k: got[k] for k in range(len(NOTICES))} == {k: w for k, (_, w) in enumerate(NOTICES)}
+    assert got[99] == "MIT" and len(found) == len(NOTICES) + 2
