@@ -33,11 +33,6 @@ def is_sensitive(text: Column) -> Column:
     return text.rlike(EMAIL) | text.rlike(SECRET) | text.rlike(ABSOLUTE_PATH)
 
 
-def leaks_identity(text: Column) -> Column:
-    """Speaks of its context, or holds a UUID or a commit hash."""
-    return text.rlike(META_PHRASE) | text.rlike(UUID_LIKE) | text.rlike(SHA_LIKE)
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -94,12 +94,6 @@ def prompt_items(rows: DataFrame) -> DataFrame:
     return rows.withColumn("item", F.struct("evidence_id", "evidence_type", "title", "text", at.alias("timestamp"), "session_ids", "commit_shas", F.slice("files", 1, 30).alias("files")))
 
 
-def trace_rows(hits: DataFrame, variant: str) -> DataFrame:
-    """Ranked hits as rows of a trace: what evaluation and calibration read again."""
-    names = ("query_id", "evidence_id", "final_rank", "dense_rank", "dense_score", "lexical_rank", "lexical_score", "fusion_score", "temporal_score", "final_score", "group_id", "timestamp")
-    return hits.select(F.lit(variant).alias("variant"), *[F.col(c) if c in hits.columns else F.lit(None).alias(c) for c in names])
-
-
 def query_errors(queries: DataFrame) -> DataFrame:
     """query_id, errors: what forbids a query by its own text."""
     q, n = F.col("query"), text.word_count(F.col("query"))
@@ -134,13 +128,6 @@ def all_query_errors(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     return x.select("query_id", F.concat("errors", more).alias("errors"))
 
 
-def citation_errors(queries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """query_id, missing, foreign, unquoted: cited ids that don't exist, of other partitions, or without their quote."""
-    cited = queries.select("query_id", F.col("partition").alias("own"), F.explode("quotes").alias("evidence_id", "quote"))
-    x = cited.join(evidence.select("evidence_id", "partition", "text"), "evidence_id", "left")
-    return x.groupBy("query_id").agg(F.count_if(F.col("text").isNull()).alias("missing"), F.count_if(F.col("partition") != F.col("own")).alias("foreign"), F.count_if(~F.col("text").contains(F.col("quote"))).alias("unquoted"))
-
-
 def constraint_errors(rows: DataFrame, kind: str) -> DataFrame:
     """``rows`` with errors of their values: records, queries, scores or judgments."""
     n = text.word_count(F.col("query")) if kind == "queries" else None

@@ -76,14 +76,6 @@ def means(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9).alias(c) for c in rows.columns if c != "query_id"])
 
 
-def all_metrics(hits: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id and the nine metrics; ``hits`` as in ``temporal_correctness``, the others as in ``coverage`` with mode."""
-    ranking = hits.select("query_id", "evidence_id", "rank")
-    out = retrieval_metrics(ranking, judgments.select("query_id", "evidence_id", "grade"), queries)
-    out = out.join(coverage(ranking, judgments, queries), "query_id")
-    return out.join(temporal_correctness(hits, judgments.select("query_id", "evidence_id", "grade"), queries), "query_id")
-
-
 def semantic_coverage(expected: DataFrame, actual: DataFrame, threshold: float = 0.55) -> DataFrame:
     """query_id, claim_coverage: expected texts (query_id, text) that an actual one is like, by TF-IDF within the query.
 

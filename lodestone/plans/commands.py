@@ -52,7 +52,8 @@ def build_evidence(spark: SparkSession, data: str, transcripts: bool = True, cho
 
 
 def validate(spark: SparkSession, data: str) -> dict:
-    return tables.validate(spark, data)
+    """Rows of each table and files of transcripts; raises where a table or column is missing."""
+    return {**tables.validate(spark, data), "transcripts": artifacts.transcript_count(spark, f"{data}/transcripts")}
 
 
 def prepare(spark: SparkSession, data: str, out: str, validation_from: str, evaluation_from: str, pilot: int = 0, seed: int = 7, **flags) -> dict:

@@ -8,7 +8,6 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
-import stat
 import uuid
 from pathlib import Path
 
@@ -17,33 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; a line that doesn't fit the schema stops the run."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
 def read_answers(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Answers of a folder with one JSON document a file, all levels below."""
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
 
 
-def write_answers(answers: DataFrame, folder: str) -> None:
-    """One folder of JSON for each question."""
-    answers.withColumn("__of", F.col("query_id")).write.mode("overwrite").partitionBy("__of").json(folder)
-
-
-def cached_usage(spark: SparkSession, folder: str) -> DataFrame:
-    """stage, tokens, cost of every cached call below ``folder``; files that can't be read count for nothing.
-
-    The stage is the first folder below; a document has usage.total_tokens and usage.cost.
-    """
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(folder)
-    usage = F.try_parse_json("value")
-    stage = F.regexp_extract(F.substring_index("_metadata.file_path", folder.rstrip("/") + "/", -1), r"^([^/]+)/", 1)
-    got = lambda path, kind: F.coalesce(F.try_variant_get(usage, path, kind), F.lit(0).cast(kind))
-    return texts.where(F.is_variant_null(usage).isNotNull()).select(stage.alias("stage"), got("$.usage.total_tokens", "long").alias("tokens"), got("$.usage.cost", "double").alias("cost"))
-
-
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """path (below ``folder``) and sha256 of every file; the tree's digest is ``tree_digest``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -56,7 +33,10 @@ def tree_digest(files: DataFrame) -> DataFrame:
 
 
 def transcript_count(spark: SparkSession, folder: str) -> int:
-    """How many JSONL files there are below ``folder``."""
+    """How many JSONL files there are below ``folder``; none where it isn't."""
+    p, fs = _file(spark, folder)
+    if not fs.exists(p):
+        return 0
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder).select("path").count()
 
 
@@ -145,15 +125,3 @@ def load_config(path: str | None = None) -> dict:
     if not 0 <= out["chunk_overlap"] < out["chunk_chars"]:
         raise ValueError("the overlap must be less than the size")
     return out
-
-
-def read_key(path: str, fix: bool = False) -> str:
-    """A provider's key from a file that only its owner can read."""
-    p = Path(path)
-    if p.stat().st_mode & (stat.S_IRWXG | stat.S_IRWXO):
-        if not fix:
-            raise PermissionError(f"others can read {path}")
-        p.chmod(0o600)
-    if not (key := p.read_text().strip()):
-        raise ValueError(f"{path} holds no key")
-    return key
