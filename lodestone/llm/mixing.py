@@ -46,17 +46,17 @@ def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     n = F.regexp_count(text, F.lit(WORD)).cast("long")
     per_word = lambda x: x / F.greatest(n, F.lit(1))
     less = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    out = docs.withColumn("__w", _words(F.col("text"))).withColumn("tokens", n)
+    out = docs.withColumn("__w", _words(F.col("text"))).withColumn("__u", F.array_distinct("__w")).withColumn("tokens", n)
     out = out.withColumn("b_symbols", _bin(per_word(less("#*$%&|<>")), [0.1, 0.5])).withColumn("b_upper", _bin(per_word(less("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), [0.5, 2.0]))
-    out = out.withColumn("b_unique", _bin(F.size(F.array_distinct("__w")) / F.greatest(F.size("__w"), F.lit(1)), [0.15, 0.3, 0.45]))
-    hits = F.size(F.array_intersect(F.col("__w"), F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
-    return out.withColumn("b_hits", _bin(hits, [0, 1, 3])).drop("__w")
+    out = out.withColumn("b_unique", _bin(F.size("__u") / F.greatest(F.size("__w"), F.lit(1)), [0.15, 0.3, 0.45]))
+    hits = F.size(F.array_intersect(F.col("__u"), F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
+    return out.withColumn("b_hits", _bin(hits, [0, 1, 3])).drop("__w", "__u")
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+def _labelled(labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id and domain of at most ``sample`` labelled rows, a few MB that are broadcast so that texts don't move; stored."""
     of = labels.where("toxic is not null and quality is not null").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("high").alias("domain"))
-    of = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return stage(docs.select(*_ONLY).join(of, "doc_id"))
+    return stage(of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[str]:
@@ -98,13 +98,11 @@ class Classifier:
         return F.transform(weights, lambda x: x / total)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Naive Bayes with add-one smoothing on at most ``sample`` labelled rows."""
+def fit(measured: DataFrame, labelled: DataFrame, lexicon: list[str]) -> Classifier:
+    """Naive Bayes with add-one smoothing on the rows of ``measured`` (doc_id and bins) that are ``labelled`` (doc_id, domain)."""
     import math
 
-    rows = _labelled(docs, labels, sample)
-    lexicon = learn_lexicon(rows)
-    counted = features(rows, lexicon).groupBy("domain", *_BINS).count().collect()  # domains times bins: under 500 rows
+    counted = measured.select("doc_id", *_BINS).join(F.broadcast(labelled), "doc_id").groupBy("domain", *_BINS).count().collect()  # domains times bins: under 500 rows
     n = dict.fromkeys(DOMAINS, 0)
     seen: dict = {}
     for r in counted:
@@ -148,9 +146,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     rate of documents that are likeliest ``high`` and cuts them at one: shares stay near the targets, no document
     is used twice, and none of these goes. Measured rows are written once, without the columns to ``drop``.
     """
-    model = fit(docs, labels, sample)
     columns = [c for c in docs.columns if c not in drop]
-    out = stage(features(packed(docs), list(model.lexicon)).drop(*drop)).withColumn("p", model.posteriors())
+    labelled = _labelled(labels, sample)
+    lexicon = learn_lexicon(stage(docs.select(*_ONLY).join(F.broadcast(labelled), "doc_id").select("domain", "text")))
+    out = stage(features(packed(docs), lexicon).drop(*drop))
+    out = out.withColumn("p", fit(out, labelled, lexicon).posteriors())
     cells = out.groupBy(*_BINS).agg(F.first("p").alias("p"), F.sum("tokens").alias("tokens")).coalesce(1)
     cells = fit_rates(cells, targets)
     rate = F.col("rate")
