@@ -28,6 +28,12 @@ def _state(spark: SparkSession, data: str) -> Row:
     return answering.file_state(spark, data).agg(F.count("*"), F.sum("size"), F.sum(F.xxhash64("path", "size", "modificationTime").cast("decimal(38,0)"))).first()
 
 
+def _manifest(spark: SparkSession, out: str, stage: str, config: dict, counts: dict) -> None:
+    """Writes the manifest of a step over the evidence; its inputs are told by paths, sizes and times, as evidence may be large."""
+    inputs = artifacts.canonical_hash(list(map(str, _state(spark, f"{out}/evidence"))))
+    artifacts.write_document(spark, f"{out}/manifests/{stage}.json", artifacts.run_manifest(spark, stage, out, config, counts, inputs=inputs))
+
+
 def build_evidence(spark: SparkSession, data: str, transcripts: bool = True, chosen: DataFrame | None = None, **flags) -> DataFrame:
     """Records of turns, transcripts, checkpoints, commits and sessions; of the ``chosen`` sessions, where given."""
     get = lambda name: tables.read_table(spark, data, name)
@@ -99,7 +105,9 @@ def index(spark: SparkSession, out: str, encoder: Callable | None = None, querie
     weighed, terms, _ = lexical.index(rows)
     tables.write_table(terms, f"{out}/terms")
     tables.write_table(weighed, f"{out}/weights")
-    return {"vectors": vectors(spark, out).count(), **{name: spark.read.parquet(f"{out}/{name}").count() for name in ("terms", "weights")}}
+    counts = {"vectors": vectors(spark, out).count(), **{name: spark.read.parquet(f"{out}/{name}").count() for name in ("terms", "weights")}}
+    _manifest(spark, out, "index", {"queries": queries is not None}, counts)
+    return counts
 
 
 #: Versions of the vectors after which they are compacted.
@@ -319,7 +327,9 @@ def experiment(spark: SparkSession, out: str, queries: DataFrame, qrels: DataFra
     of = lambda kind: traces.where(f"{kind}_rank is not null").select("query_id", "evidence_id", F.col(f"{kind}_rank").alias("rank"))
     hits = traces.join(asked, "query_id").crossJoin(F.broadcast(at))  # one row
     tables.write_table(calibration.trials(hits, {"lexical": of("lexical"), "dense": of("dense")}, grid, qrels, queries), f"{out}/trials")
-    return calibration.choose(spark.read.parquet(f"{out}/trials"))
+    tried = spark.read.parquet(f"{out}/trials")
+    _manifest(spark, out, "experiment", {"floors": floors, "weights": weights, "partitions": partitions}, {"trials": tried.count()})
+    return calibration.choose(tried)
 
 
 def freeze(spark: SparkSession, out: str, trial: dict) -> None:
@@ -356,24 +366,27 @@ def calibrate(spark: SparkSession, out: str, qrels: DataFrame, queries: DataFram
     fit["retrieval_impact"] = change
     fit["relevance"]["enabled_for_filtering"] = calibration.filter_gate((b["ndcg_10"], a["ndcg_10"]), (b["recall_20"], a["recall_20"]))
     artifacts.write_document(spark, f"{out}/calibration.json", fit)
+    _manifest(spark, out, "calibrate", {"version": fit["version"]}, {"knots": len(fit["relevance"]["x_thresholds"])})
     r = fit["relevance"]
     return {"knots": [r["x_thresholds"], r["y_thresholds"]], "threshold": r["raw_score_threshold"], **r["metrics"], **{k: fit[k] for k in ("retrieval_impact", "answerability") if k in fit}}
 
 
 def audit(spark: SparkSession, out: str) -> dict:
-    """Counts of records by source, of citations from elsewhere, of ids that repeat, and the runs that made them."""
+    """Counts of records by source, of citations from elsewhere, of ids that repeat, the runs, and steps made of other evidence than there is."""
     rows = spark.read.parquet(f"{out}/evidence")
     refs = rows.select("evidence_id", F.explode("source_refs").alias("r")).select("evidence_id", "r.*")
     kind = F.when(F.col("source_file").startswith("transcripts/"), "transcripts/").otherwise(F.col("source_file"))
     by = {r["source_file"]: r["count"] for r in refs.groupBy(kind.alias("source_file")).count().collect()}  # a row for each source table
     outside = answering.boundary_breaches(refs, [f"{n}.parquet" for n in tables.REQUIRED]).count()
     try:
-        runs = [r["run_id"] for r in artifacts.read_manifests(spark, f"{out}/manifests").collect()]  # a row for each run
+        told = artifacts.read_manifests(spark, f"{out}/manifests").collect()  # a row for each step
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        runs = []
-    return {"sources": dict(sorted(by.items())), "outside": outside, "duplicate_ids": evidence.quality(rows).first()["duplicate_ids"], "runs": runs}
+        told = []
+    now = artifacts.canonical_hash(list(map(str, _state(spark, f"{out}/evidence"))))
+    stale = [r["run_id"] for r in told if r["stage"] != "prepare" and r["inputs"] != now]
+    return {"sources": dict(sorted(by.items())), "outside": outside, "duplicate_ids": evidence.quality(rows).first()["duplicate_ids"], "runs": [r["run_id"] for r in told], "stale": stale}
 
 
 def told(result: DataFrame | dict) -> str:

@@ -84,10 +84,17 @@ def mark_once(spark: SparkSession, path: str, value: object) -> None:
     _put(out, value)
 
 
-def run_manifest(spark: SparkSession, stage: str, data: str, config: dict, counts: dict, now: dt.datetime | None = None) -> dict:
-    """What a run read and how: run_id with its time, digest of the inputs, of the configuration, and counts."""
+def code_digest() -> str:
+    """The digest of this library's own files."""
+    top = Path(__file__).resolve().parents[1]
+    return canonical_hash({str(p.relative_to(top)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(top.rglob("*.py"))})
+
+
+def run_manifest(spark: SparkSession, stage: str, data: str, config: dict, counts: dict, now: dt.datetime | None = None, inputs: str | None = None) -> dict:
+    """What a run read and how: run_id with its time, digests of the inputs (unless given), the configuration and the code, and counts."""
     now = now or dt.datetime.now(dt.UTC)
-    return {"run_id": f"{stage}-{now:%Y%m%dT%H%M%SZ}", "stage": stage, "created_at": now.isoformat(), "inputs": tree_digest(file_digests(spark, data)).first()["digest"], "config": canonical_hash(config), "counts": counts}
+    inputs = inputs or tree_digest(file_digests(spark, data)).first()["digest"]
+    return {"run_id": f"{stage}-{now:%Y%m%dT%H%M%SZ}", "stage": stage, "created_at": now.isoformat(), "inputs": inputs, "config": canonical_hash(config), "code": code_digest(), "counts": counts}
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:

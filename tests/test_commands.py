@@ -40,7 +40,8 @@ def test_commands(spark, folders):
     # pairs share a checkpoint, and go by their later day: February 24, March 4, March 12
     assert of == {"s0": "train", "s1": "train", "s2": "validation", "s3": "validation", "s4": "evaluation", "s5": "evaluation"}
     first = json.loads(run("index"))
-    assert json.loads(run("audit"))["runs"]
+    audited = json.loads(run("audit"))
+    assert [r.split("-")[0] for r in audited["runs"]] == ["prepare", "index"] and audited["stale"] == []
     assert first["vectors"] == rows.where("evidence_type != 'transcript'").count() and json.loads(run("index")) == first
     hits = [json.loads(x) for x in run("query", "--text", "error number 3 of the parser").splitlines()]
     assert hits[0]["final_rank"] == 1 and "number 3" in hits[0]["text"]
@@ -60,12 +61,19 @@ def test_commands(spark, folders):
     assert len(fit["knots"][0]) == len(fit["knots"][1]) > 0 and 0 <= fit["ece"] <= 1
 
 
+    run("prepare")  # the same evidence, written anew: what was made of the old one is told
+    assert {r.split("-")[0] for r in json.loads(run("audit"))["stale"]} == {"index", "experiment", "calibrate"}
+    run("index")
+    assert "index" not in {r.split("-")[0] for r in json.loads(run("audit"))["stale"]}
+
     # a benchmark of the evidence itself
     made = json.loads(run("generate"))
     assert made["kept"] > 0
     judged = json.loads(run("judge"))
     assert judged["3"] >= made["kept"]
-    run("train")
+    assert json.loads(run("usage"))["all"]["requests"] > 0 and json.loads(run("criticize"))["kept"] == made["kept"]
+    trained = json.loads(run("train"))
+    assert trained["conflicts"] == 0 and trained["batches"] <= trained["examples"]
     asked = ("--queries", f"{out}/queries", "--qrels", f"{out}/judgments")
     done = json.loads(run("answer-benchmark", *asked))
     assert done["answered"] >= done["valid"] > 0 and json.loads(run("answer-benchmark", *asked))["answered"] == done["answered"] - done["valid"]
