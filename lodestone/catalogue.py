@@ -267,10 +267,10 @@ def tokenize_counts(t):
 
 
 # Java's Unicode word characters, spelt out; neighbours share the character between them, so addresses take two rounds
-_W = r"\p{L}\p{N}\p{M}\p{Pc}"
-_MAIL = f"(^|[^{_W}.-])[{_W}.+-]+@[{_W}.-]+[.][A-Za-z]{{2,}}($|[^{_W}.-])"
+_LETTER = r"\p{L}\p{N}\p{M}\p{Pc}"
+_MAIL = f"(^|[^{_LETTER}.-])[{_LETTER}.+-]+@[{_LETTER}.-]+[.][A-Za-z]{{2,}}($|[^{_LETTER}.-])"
 _KEY = r"""(?i)(?:sk-or-v1-[A-Za-z0-9_-]{20,}|(?:api[_-]?key|token|secret|password)\s*[:=]\s*["'']?[^\s"'']{8,})"""
-_PATH = rf"""(^|[^{_W}])(?:/Users|/home|/workspace|[A-Za-z]:\\\\)[^\s"''`]+"""
+_PATH = rf"""(^|[^{_LETTER}])(?:/Users|/home|/workspace|[A-Za-z]:\\\\)[^\s"''`]+"""
 _REDACT = rf"""
 WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_MAIL}', '\1[REDACTED_EMAIL]\2', 'g'), '{_MAIL}', '\1[REDACTED_EMAIL]\2', 'g') AS text FROM documents),
 k AS (SELECT doc_id, regexp_replace(text, '{_KEY}', '[REDACTED_SECRET]', 'g') AS text FROM m)
