@@ -87,3 +87,43 @@ def test_cells_of_hard_tables(spark):
     none = spark.createDataFrame([], ddl)
     centres = dense.fit_cells(none)
     assert dense.cell_search(dense.cell_index(none, centres), centres, q, 5).collect() == []
+
+
+def test_many_whole_documents_are_ranked_by_blocks(spark, monkeypatch):
+    """No row is made for a pair that shares a word, blocks of any size rank as everything does, and repeated ids are one text."""
+    t = catalogue._Tables(spark, DATA)
+    rng = random.Random(3)
+    docs = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(0, 50)))) for k in range(300)]
+    docs += [(k, docs[k][1] + " w1 w2") for k in range(0, 40)] + [(400, docs[7][1]), (401, docs[7][1]), (402, None)]
+    d = spark.createDataFrame(docs, "evidence_id long, text string")
+    q = d.where("evidence_id % 3 = 0").groupBy(F.col("evidence_id").alias("query_id")).agg(F.max("text").alias("query"))
+    weighed, terms, _ = lexical.index(d)
+    weighed, words = lexical._saved(weighed), lexical.query_terms(q).join(terms, "term")
+    columns = ("query_id", "evidence_id", "score", "rank")
+    want = sorted(tuple(r) for r in _plain(weighed, words, 7).select(*columns).collect())
+    for sizes in ({}, {"TEXTS": 50, "FEW": 10, "QUERIES": 11, "CELLS": 200, "DENSE": 3, "PAIRS": 40}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(lexical, name, value)
+        assert _near(sorted(tuple(r) for r in lexical.bm25_topk(d, q, 7).select(*columns).collect()), want)
+        assert _near(sorted(tuple(r) for r in lexical.score(weighed, words, 7).select(*columns).collect()), want)
+    monkeypatch.undo()
+    made = []
+    best = lexical.top
+
+    def counted(hits, *a):
+        made.append(hits.count())
+        return best(hits, *a)
+
+    monkeypatch.setattr(lexical, "top", counted)
+    lexical.bm25_topk(t.ev, t.dq, 5)
+    assert 0 < sum(made) <= t.dq.count() * 5 * lexical.SPREAD
+
+
+def test_postings_are_counted_where_texts_lie(spark):
+    """Counting a text's words shuffles no postings: the plan has no exchange but the deal of small inputs."""
+    d = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "A a_1 7 7 b")], "evidence_id long, text string")
+    x = lexical.counted(d)
+    assert {r.evidence_id: (r.length, [tuple(y) for y in r.terms]) for r in x.collect()} == {1: (3, [("a", 1), ("b", 2)]), 2: (0, []), 3: (0, []), 4: (5, [("7", 2), ("a", 1), ("a_1", 1), ("b", 1)])}
+    assert "Aggregate" not in x._jdf.queryExecution().optimizedPlan().toString()
+    rows = lexical.sparse(d.union(spark.createDataFrame([(4, "A")], d.schema))).collect()
+    assert {r.evidence_id: list(r.indices) for r in rows} == {1: [1, 3], 4: [0, 1, 1, 2, 3]}
