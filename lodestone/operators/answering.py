@@ -267,17 +267,30 @@ def training_triples(queries: DataFrame, qrels: DataFrame, negatives: int = 3) -
     Where queries have ``positive_ids``, these are the positives that no judgment calls zero; else grades of two and more. What is
     related is never a negative, and the others that are related are named, for batches to keep apart.
     """
+    pos, related = _positives(queries, qrels)
+    w = Window.partitionBy("query_id").orderBy("evidence_id")
+    neg = qrels.where("grade = 0").join(related, ["query_id", "evidence_id"], "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= negatives)
+    neg = neg.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("negative_ids"))
+    others = related.groupBy("query_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("related"))
+    return pos.join(neg, "query_id").join(others, "query_id").select("query_id", "positive_id", "negative_ids", F.array_except("related", F.array("positive_id")).alias("excluded_positive_ids"))
+
+
+def training_families(queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same examples (query_id, positive_id), and what is related (query_id, item), each named once and not with each example."""
+    pos, related = _positives(queries, qrels)
+    judged = qrels.where("grade = 0").join(related, ["query_id", "evidence_id"], "left_anti").select("query_id").distinct()
+    return pos.join(judged, "query_id", "left_semi"), related.withColumnRenamed("evidence_id", "item")
+
+
+def _positives(queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, positive_id of examples, and query_id, evidence_id of all that is related."""
     if "positive_ids" in queries.columns:
         named = queries.select("query_id", F.explode(F.array_distinct("positive_ids")).alias("evidence_id")).join(qrels.select("query_id", "evidence_id", "grade"), ["query_id", "evidence_id"], "left")
         pos = named.where("coalesce(grade, 3) > 0").select("query_id", F.col("evidence_id").alias("positive_id"))
     else:
         pos = qrels.where("grade >= 2").join(queries.select("query_id"), "query_id", "left_semi").select("query_id", F.col("evidence_id").alias("positive_id"))
     related = qrels.where("grade > 0").select("query_id", "evidence_id").union(pos).distinct()
-    w = Window.partitionBy("query_id").orderBy("evidence_id")
-    neg = qrels.where("grade = 0").join(related, ["query_id", "evidence_id"], "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= negatives)
-    neg = neg.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("negative_ids"))
-    others = related.groupBy("query_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("related"))
-    return pos.join(neg, "query_id").join(others, "query_id").select("query_id", "positive_id", "negative_ids", F.array_except("related", F.array("positive_id")).alias("excluded_positive_ids"))
+    return pos, related
 
 
 def isolation_breaches(examples: DataFrame, queries: DataFrame, evidence: DataFrame) -> DataFrame:

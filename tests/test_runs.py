@@ -289,3 +289,20 @@ def test_documents_and_marks(spark, tmp_path):
     for t in threads:
         t.join()
     assert sorted(won) == [0, 0, 0, 1] and artifacts.read_document(spark, f"{tmp_path}/mark") == {"by": 1}
+
+
+def test_families_of_conflicts_are_numbered_not_rounds(spark, monkeypatch):
+    """Queries whose examples all ban each other: the greedy colours in one numbering, named with each example or once."""
+    rng = random.Random(4)
+    own = {q: [f"q{q}p{k}" for k in range(rng.randrange(1, 30))] for q in range(5)}
+    own[5], own[6] = ["shared", "a", "b"], ["shared", "c"]
+    examples = [(f"e{q}-{p}-{n}", p, [x for x in own[q] if x != p]) for q in own for p in own[q] for n in range(1 + (q == 1))]
+    df = spark.createDataFrame(examples, "example_id string, positive_id string, excluded_positive_ids array<string>")
+    ranks = {r.example_id: (r.h, r.example_id) for r in df.select("example_id", F.xxhash64("example_id").alias("h")).collect()}
+    want, seen, rounds = _greedy(examples, ranks), [], batches._rounds
+    monkeypatch.setattr(batches, "_rounds", lambda x, ties: seen.append(x.count()) or rounds(x, ties))
+    assert {r.example_id: r.colour for r in batches.colours(df).collect()} == want
+    named = spark.createDataFrame([(i, p, i.split("-")[0]) for i, p, _ in examples], "example_id string, positive_id string, family string")
+    members = spark.createDataFrame([(f"e{q}", p) for q in own for p in own[q]], "family string, item string")
+    assert {r.example_id: r.colour for r in batches.colours(named, members).collect()} == want
+    assert seen == [5, 5]
