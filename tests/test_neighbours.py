@@ -27,3 +27,9 @@ def test_neighbours_of_few_classes_are_those_of_all_pairs(spark, monkeypatch):
     got = benchmark.metadata_neighbours(spark.createDataFrame(seeds, f"query_id string, {ddl}"), spark.createDataFrame(rows, f"evidence_id long, {ddl}"), 5)
     assert sorted((r.query_id, r.evidence_id, r.score, r.rank) for r in got.collect()) == sorted(want)
     assert sum(made) < 3000  # all pairs that share something are over 10,000
+
+
+def test_pairs_that_share_only_their_heaviest_term(spark):
+    """The first term of a text has no weight before it and is looked up as the others are."""
+    rows = spark.createDataFrame([(1, "one"), (2, "one"), (3, "other words")], "query_id long, query string")
+    assert [(r.a, r.b, r.cosine) for r in benchmark.similar_pairs(rows, 0.9).collect()] == [(1, 2, 1.0)]
