@@ -127,3 +127,13 @@ def test_postings_are_counted_where_texts_lie(spark):
     assert "Aggregate" not in x._jdf.queryExecution().optimizedPlan().toString()
     rows = lexical.sparse(d.union(spark.createDataFrame([(4, "A")], d.schema))).collect()
     assert {r.evidence_id: list(r.indices) for r in rows} == {1: [1, 3], 4: [0, 1, 1, 2, 3]}
+
+
+def test_the_sample_of_cells_is_cut_before_it_is_sent(spark):
+    """The rows of the least hashes, of which each task sends those under a bound, not as many as the whole sample has."""
+    rows = spark.range(0, 5000, 1, 8).select(F.col("id").alias("evidence_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    got = dense._sample(rows, 5000, 100)
+    h = F.xxhash64("evidence_id")
+    assert [r[0] for r in got.select("evidence_id").collect()] == [r[0] for r in rows.orderBy(h).limit(100).select("evidence_id").collect()]
+    assert "Filter" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert dense._sample(rows, 5000, 4000).count() == 4000 and dense._sample(rows.limit(0), 0, 10).count() == 0
