@@ -137,3 +137,31 @@ def test_the_sample_of_cells_is_cut_before_it_is_sent(spark):
     assert [r[0] for r in got.select("evidence_id").collect()] == [r[0] for r in rows.orderBy(h).limit(100).select("evidence_id").collect()]
     assert "Filter" in got._jdf.queryExecution().optimizedPlan().toString()
     assert dense._sample(rows, 5000, 4000).count() == 4000 and dense._sample(rows.limit(0), 0, 10).count() == 0
+
+
+def test_texts_are_ranked_without_being_shuffled(spark, monkeypatch):
+    """What finds the best of each query has no exchange, whether queries are broadcast or not, and stores few bytes for each word."""
+    rng = random.Random(5)
+    docs = [(k, " ".join(f"W{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(0, 50)))) for k in range(300)] + [(7, "w1 w2"), (7, "w1"), (None, "w1 w1"), (None, "W1 w5"), (301, None)]
+    d = spark.createDataFrame(docs, "evidence_id long, text string").repartition(6)
+    q = d.where("evidence_id % 3 = 0").select(F.col("evidence_id").alias("query_id"), F.col("text").alias("query"))
+    weighed, terms, _ = lexical.index(d)
+    columns = ("query_id", "evidence_id", "score", "rank")
+    want = _plain(lexical._saved(weighed), lexical.query_terms(q).join(terms, "term"), 7).select(*columns).collect()
+    best, plans = lexical.top, []
+    monkeypatch.setattr(lexical, "top", lambda hits, *a: plans.append(hits._jdf.queryExecution().executedPlan().toString()) or best(hits, *a))
+    monkeypatch.setattr(lexical, "QUERIES", 20)
+    key = lambda r: (r[0], r[3])
+    for bounded in (True, False):
+        monkeypatch.setattr(lexical, "_bounded", lambda *a, b=bounded: b)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10 << 20 if bounded else -1)
+        try:
+            got = lexical.bm25_topk(d, q, 7).select(*columns).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert _near(sorted(map(tuple, got), key=key), sorted(map(tuple, want), key=key))
+    assert len(plans) == 2 and all("CoGroup" not in p and "Exchange hash" not in p for p in plans) and "CartesianProduct" in plans[1]
+    text = F.col("text")
+    assert d.where(lexical.token_line(text) != F.array_join(lexical.tokens(text), " ")).count() == 0
+    one = lexical._packed(d).selectExpr("sum(length(terms) + length(counts)) as bytes", "sum(aggregate(posts, 0L, (a, x) -> a + x)) as posts").first()
+    assert one["bytes"] <= 3 * one["posts"]
