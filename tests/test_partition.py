@@ -76,3 +76,43 @@ def test_topic_views(spark):
 
     assert view.evidence_id == f"{one.evidence_id}:{hashlib.sha256(b'train').hexdigest()[:24]}" and view.topic_key == "a/b.py@train"
     partition.assert_isolated(evidence.shaped(partition.topic_views(topics, records)).join(partition.topic_views(topics, records).select("evidence_id", "partition"), "evidence_id"))
+
+
+def test_components_of_hard_graphs_take_few_shuffles(spark, monkeypatch):
+    """Against plain Python, on chains, stars, loops, nulls and lone nodes; edges that a round has settled aren't written again."""
+    import random
+
+    rng = random.Random(4)
+    chain = [(f"c{k:04}", f"c{k + 1:04}") for k in range(300)]
+    star = [("hub", f"a{k}") for k in range(100)] + [(f"z{k}", "top") for k in range(100)]
+    made = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(350)]
+    rows = chain + star + made + made[:50] + [("loop", "loop"), ("x", None), (None, "y")]
+    alone = ["lone", "n0", None]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in rows + [(x, x) for x in alone]:
+        a, b = find(a), find(b)
+        if a is not None and b is not None:
+            root[max(a, b)] = min(a, b)
+    saved, written = partition._saved, []
+
+    def counted(df):
+        out = saved(df)
+        if set(df.columns) == {"u", "v"}:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(partition, "_saved", counted)
+    out = partition.connected_components(spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(x,) for x in alone], "node string")).collect()
+    assert len(out) == len(root) and {r.node: r.root for r in out} == {x: find(x) for x in list(root)}
+    assert sum(written) < 2.5 * len(rows)
+    monkeypatch.setattr(partition, "_HUBS", 10**9)
+    again = partition.connected_components(spark.createDataFrame(rows, "src string, dst string")).where("node is not null").collect()
+    assert {r.node: r.root for r in again} == {x: find(x) for x in list(root) if x is not None and x != "lone"}
+    none = spark.createDataFrame([], "src string, dst string")
+    assert partition.connected_components(none).collect() == []
