@@ -27,18 +27,14 @@ from pyspark.sql.window import Window
 from lodestone.llm._common import stage
 
 CAPACITY, END = 2048, 0
-#: Distinct space-separated chunks whose ids a task keeps; beyond, it starts afresh.
-CACHED = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_GAP = re.compile(r" (?=\S)")
 
 
-class TokenBytes(dict):
-    """Ids, as little-endian 32-bit bytes, of a chunk of text between spaces.
+class TokenBytes:
+    """Ids, as little-endian 32-bit bytes, of a text.
 
-    The byte-level pattern never crosses a space that a non-space follows, so chunks (each with its leading
-    space) can be encoded apart, and a corpus repeats most of them. Added tokens of the JSON file are cut out first,
-    leftmost and longest, and have their own ids.
+    Added tokens of the JSON file are cut out first, leftmost and longest, and have their own ids; what is between is encoded
+    whole, as looking up its chunks in a cache takes longer than their encoding.
     """
 
     def __init__(self, path: str):
@@ -57,14 +53,6 @@ class TokenBytes(dict):
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = np.asarray(self._encoding.encode_ordinary(chunk), dtype="<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, 4 bytes each."""
         if self._cut is None or not self._cut.search(text):
@@ -73,11 +61,7 @@ class TokenBytes(dict):
         return b"".join([self._added[p] if k % 2 else self._plain(p) for k, p in enumerate(self._cut.split(text))])
 
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _GAP.split(text)
-        head = self[parts[0]] if parts[0] else b""
-        return head + b"".join([self[" " + p] for p in parts[1:]])
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def _tokenize(path: str, capacity: int, end: int):

@@ -123,3 +123,22 @@ def test_plan_uses_every_piece_once(counts):
 
 def test_plan_finds_exact_complements():
     assert sum(m for _, m in packing.plan_packing({60: 5, 40: 5, 50: 2, 30: 3, 35: 3}, 100)) == 5 + 1 + 3 - 1
+
+
+def test_a_text_is_encoded_in_one_call():
+    """Different words cost no call each, and a text between added tokens is encoded whole."""
+    import public_tokenizers
+
+    own, calls = packing.TokenBytes(public_tokenizers.path("byte_bpe_50k.json")), []
+    real = own._encoding
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a, **k: calls.append(name) or getattr(real, name)(*a, **k)
+
+    text = "  ".join(f"word{k}\n x{k * k}" for k in range(500))
+    want = np.asarray(real.encode_ordinary(text), "<u4").tobytes()
+    own._encoding = Counted()
+    assert own.encode(text) == want and len(calls) == 1
+    end = own._added["<|endoftext|>"]
+    assert own.encode(text + "<|endoftext|>" + text) == want + end + want and len(calls) == 3
