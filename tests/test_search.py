@@ -165,3 +165,19 @@ def test_texts_are_ranked_without_being_shuffled(spark, monkeypatch):
     assert d.where(lexical.token_line(text) != F.array_join(lexical.tokens(text), " ")).count() == 0
     one = lexical._packed(d).selectExpr("sum(length(terms) + length(counts)) as bytes", "sum(aggregate(posts, 0L, (a, x) -> a + x)) as posts").first()
     assert one["bytes"] <= 3 * one["posts"]
+
+
+def test_few_queries_make_no_row_for_a_pair(spark, monkeypatch):
+    """Vectors go through matrix products where they lie: the rows that are ranked are the best of each block."""
+    t, rng = catalogue._Tables(spark, DATA), random.Random(2)
+    made, best = [], dense.top
+    monkeypatch.setattr(dense, "top", lambda hits, *a: made.append(hits.count()) or best(hits, *a))
+    q = t.asked.limit(5)
+    got = dense.knn(t.corpus.repartition(2), q, 7)
+    assert dense._bounded(q) and made[0] <= 2 * 5 * 7
+    exact = best(t.corpus.crossJoin(q.withColumnRenamed("vec", "q")).select("query_id", "evidence_id", F.round(dense.dot(F.col("vec"), F.col("q")), dense.ROUND).alias("score")), "score", 7)
+    assert got.exceptAll(exact.select(got.columns)).count() == 0 and got.count() == exact.count()
+    c = spark.createDataFrame([(f"é{k}", [float(rng.randrange(3)), 1.0]) for k in range(40)], "evidence_id string, vec array<double>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0])], "query_id string, vec array<double>")
+    exact = best(c.crossJoin(q.withColumnRenamed("vec", "q")).select("query_id", "evidence_id", F.round(dense.dot(F.col("vec"), F.col("q")), dense.ROUND).alias("score")), "score", 9)
+    assert dense.knn(c, q, 9).exceptAll(exact).count() == 0 and dense.knn(c, q.limit(0), 9).count() == dense.knn(c.limit(0), q, 9).count() == 0
