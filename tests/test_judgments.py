@@ -54,7 +54,7 @@ def test_no_row_for_each_pair_of_a_class(spark, monkeypatch):
     def refused(t):
         raise AssertionError("all pairs of a class")
 
-    want = {n: sorted(map(tuple, catalogue.queries()[n](spark, DATA).collect())) for n in ("experiment_choice",)}
+    want = {n: sorted(map(tuple, catalogue.queries()[n](spark, DATA).collect())) for n in ("temporal_correctness", "experiment_choice")}
     monkeypatch.setattr(catalogue._Tables, "same_label", property(refused))
     for name, rows in want.items():
         assert rows and sorted(map(tuple, catalogue.queries()[name](spark, DATA).collect())) == rows
