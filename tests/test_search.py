@@ -181,3 +181,45 @@ def test_few_queries_make_no_row_for_a_pair(spark, monkeypatch):
     q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0])], "query_id string, vec array<double>")
     exact = best(c.crossJoin(q.withColumnRenamed("vec", "q")).select("query_id", "evidence_id", F.round(dense.dot(F.col("vec"), F.col("q")), dense.ROUND).alias("score")), "score", 9)
     assert dense.knn(c, q, 9).exceptAll(exact).count() == 0 and dense.knn(c, q.limit(0), 9).count() == dense.knn(c.limit(0), q, 9).count() == 0
+
+
+def test_many_queries_leave_vectors_where_they_lie(spark, monkeypatch):
+    """However many queries there are, what finds the best of each has no exchange of vectors, and ranks as all pairs do."""
+    rng = random.Random(6)
+    c = spark.createDataFrame([(k, [float(rng.randrange(4)), float(rng.randrange(3))]) for k in range(90)], "evidence_id long, vec array<float>").repartition(5)
+    q = c.where("evidence_id % 4 = 0").withColumnRenamed("evidence_id", "query_id")
+    pairs = c.crossJoin(q.withColumnRenamed("vec", "q")).select("query_id", "evidence_id", F.round(dense.dot(F.col("vec"), F.col("q")), dense.ROUND).alias("score"))
+    best, plans = dense.top, []
+    want = sorted(map(tuple, best(pairs, "score", 6).collect()))
+    monkeypatch.setattr(dense, "top", lambda hits, *a: plans.append(hits._jdf.queryExecution().executedPlan().toString()) or best(hits, *a))
+    c, q = lexical._saved(c), lexical._saved(q)
+    for small in (False, True):  # the blocks of queries
+        monkeypatch.setattr(dense, "_bounded", lambda df, b=small: b and "qids" in df.columns)
+        monkeypatch.setattr(dense, "BLOCK", 7)
+        assert sorted(map(tuple, dense.knn(c, q, 6).select("query_id", "evidence_id", "score", "rank").collect())) == want
+    assert len(plans) == 2 and all("Exchange hash" not in p for p in plans)
+    assert dense.knn(c, q.limit(0), 6).count() == dense.knn(c.limit(0), q, 6).count() == 0
+
+
+def test_only_asked_words_are_counted_apart(spark, monkeypatch):
+    """Words that no query has are not shuffled, an asked term keeps its count, and its hash is no other word's."""
+    words = spark.createDataFrame([(f"w{k % 3000}", 1 + k % 2) for k in range(6000)], "term string, n long")
+    asked = spark.createDataFrame([("a", f"w{k}", 1) for k in range(0, 40)] + [("b", "w1", 2), ("b", "none", 1)], "query_id string, term string, qtf long")
+    df, hashed = lexical._counted_terms(words, asked)
+    got = {r.term: r.df for r in df.collect()}
+    want = {r.term: r.df for r in words.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    assert all(got[f"w{k}"] == want[f"w{k}"] for k in range(40)) and got.items() <= want.items() and len(got) < 100
+    monkeypatch.setattr(lexical, "_meet", lambda terms, seed, real=lexical._meet: seed < 2 or real(terms, seed))
+    again, other = lexical._counted_terms(words, asked)
+    told = again.select(other(F.col("term")).alias("h"), F.xxhash64(F.lit(2), "term").alias("want")).collect()
+    assert told and all(r.h == r.want for r in told) and {f"w{k}" for k in range(40)} <= {r.term for r in again.collect()}
+
+
+def test_packed_blocks_compress(spark):
+    """Postings of long texts take about a byte each once compressed: common words have low numbers, and steps are short."""
+    import zlib
+
+    rng = random.Random(9)
+    d = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.5)) % 90000}" for _ in range(400))) for k in range(400)], "evidence_id long, text string").coalesce(1)
+    rows = lexical._packed(d).select("terms", "counts", F.aggregate("posts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).collect()
+    assert sum(len(zlib.compress(r.terms, 1)) + len(zlib.compress(r.counts, 1)) for r in rows) < 1.1 * sum(r.n for r in rows)
