@@ -223,3 +223,36 @@ def test_packed_blocks_compress(spark):
     d = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.5)) % 90000}" for _ in range(400))) for k in range(400)], "evidence_id long, text string").coalesce(1)
     rows = lexical._packed(d).select("terms", "counts", F.aggregate("posts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).collect()
     assert sum(len(zlib.compress(r.terms, 1)) + len(zlib.compress(r.counts, 1)) for r in rows) < 1.1 * sum(r.n for r in rows)
+
+
+def test_texts_of_the_same_words_are_ranked_once(spark, monkeypatch):
+    """Copies of texts and of queries make no pairs of their own, and each of them is ranked as if it were alone, ties by id."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    rows = [(k, [texts[k % 40], texts[k % 40].upper().replace(" ", " , "), None][k % 3 if k % 11 == 0 else k % 2]) for k in range(400)] + [(None, texts[0])]
+    d = spark.createDataFrame(rows, "evidence_id long, text string").repartition(5)
+    q = spark.createDataFrame([(k, texts[k % 7]) for k in range(30)] + [(None, texts[3])], "query_id long, query string")
+    weighed, terms, _ = lexical.index(d)
+    want = _plain(lexical._saved(weighed), lexical.query_terms(q).join(terms, "term"), 15)
+    made, best = [], lexical.top
+    monkeypatch.setattr(lexical, "top", lambda hits, *a: made.append(hits.count()) or best(hits, *a))
+    got = lexical.bm25_topk(d, q, 15)
+    columns, key = ("query_id", "evidence_id", "score", "rank"), lambda r: (r[0] is not None, r[0] or 0, r[3])
+    told = lambda x: sorted((tuple(r) for r in x.select(*columns).collect()), key=key)
+    a, b = told(got), told(want)
+    assert [r[:2] + r[3:] for r in a] == [r[:2] + r[3:] for r in b] and all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(a, b, strict=True))
+    assert 0 < made[0] <= 7 * 40  # the different queries with the different texts
+
+
+def test_words_are_found_as_the_pattern_finds_them(spark, monkeypatch):
+    """Packing finds words in the bytes of many texts at once; they are the pattern's, and end where their text ends."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aZ_09.:/- é\n\x00😀x") for _ in range(rng.randrange(0, 30))) for _ in range(600)] + [None, "", "9a", "a9", "-1.5:b/c-", "12.34", "a.", ".a"]
+    d = spark.createDataFrame(list(enumerate(texts)), "evidence_id long, text string").coalesce(1)
+    for size in (1 << 22, 50):
+        monkeypatch.setattr(lexical, "SLICE", size)
+        monkeypatch.setattr(lexical, "TEXTS", 100)
+        got = lexical._packed(d).select(F.explode(F.arrays_zip("words", "posts")).alias("x")).groupBy("x.words").agg(F.sum("x.posts").alias("n"))
+        want = d.select(F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("words")).groupBy("words").agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert lexical._packed(d).agg(F.sum("total")).first()[0] == d.agg(F.sum(F.size(lexical.tokens(F.col("text"))))).first()[0]
